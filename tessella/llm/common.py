@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,48 @@ def partitions(df: DataFrame) -> int:
 
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+def by_groups(keys: int, function):
+    """A ``mapInArrow`` function over rows sorted by their first ``keys`` long
+    columns: ``function(batch, starts)`` gets whole groups only.  A group is held
+    in memory, so this is for groups whose size the caller has bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for i in range(keys):
+                key = batch.column(i).to_numpy(zero_copy_only=False)
+                change[1:] |= key[1:] != key[:-1]
+            starts = np.flatnonzero(change)
+            last = int(starts[-1])
+            rest = batch.slice(last)
+            if last:
+                yield from function(batch.slice(0, last), starts[:-1])
+        if rest is not None:
+            yield from function(rest, np.zeros(1, np.int64))
+
+    return run
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """A binary array from the rows of a contiguous 2-d array."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = (np.arange(len(rows) + 1, dtype=np.int64) * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def rows_of_binary(column: pa.Array, kind, width: int) -> np.ndarray:
+    """The reverse of ``binary_rows`` for ``width`` items of ``kind`` a row."""
+    if not len(column):
+        return np.empty((0, width), kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind).reshape(len(column), width)
