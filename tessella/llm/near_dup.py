@@ -317,7 +317,7 @@ def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     wide = sets.where("blocks > 1")
     rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
     pivots = wide.select("root", "cid", "shingles", "blocks").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS)
-    pivots = pivots.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), "cid", "shingles")
+    pivots = pivots.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "cid", "shingles")
     rows = sets.select("root", "block", "cid", "shingles").union(pivots)
     links = rows.repartition(n, "root", "block").sortWithinPartitions("root", "block").mapInArrow(by_groups(2, _block), "u binary, v binary")
     links = written(links, "links")
@@ -330,7 +330,7 @@ def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = of.groupBy("root", "comp").agg(F.countDistinct("cid").alias("k"))
     main = sizes.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     of = written(of.join(main, "root"), "undecided")
-    probes = of.where("comp != main").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), "cid", "shingles", "comp", F.lit(True).alias("probe"))
+    probes = of.where("comp != main").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "cid", "shingles", "comp", F.lit(True).alias("probe"))
     both = of.select("root", "block", "cid", "shingles", "comp", F.lit(False).alias("probe")).union(probes)
     more = both.repartition(n, "root", "block").sortWithinPartitions("root", "block").mapInArrow(by_groups(2, _across), "u binary, v binary")
     return components(links.union(more), "exact")
