@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Where public tokenizers' files are; a parameter of the operators that read them.
+TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
@@ -27,7 +31,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    from .lattice_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES = {
+    "op6_lattice_lm": op6_lattice_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
     "op7_substring_dedup": op7_substring_dedup,

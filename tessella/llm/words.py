@@ -25,17 +25,17 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Multiplier of the rolling hash over word hashes.
 ROLL = U64(0xD6E8FEB86659FD93)
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, size: int, key: str) -> np.ndarray:
-    table = _powers.get(key)
+def power_table(base: int, size: int) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for at least ``size`` exponents."""
+    table = _powers.get(base)
     if table is None or len(table) < size:
-        size = max(size, SLICE_BYTES + 65)
-        table = np.full(size, base, dtype=U64)
+        table = np.full(max(size, SLICE_BYTES + 65), base, dtype=U64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        _powers[key] = table
+        _powers[base] = table
     return table
 
 
@@ -76,8 +76,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Words:
@@ -114,10 +114,10 @@ class Words:
         """A 64-bit hash of each word's bytes (with A-Z lower-cased if asked)."""
         if not len(self.start):
             return np.empty(0, U64)
-        data = _LOWER[self.data] if lower else self.data
+        data = LOWER[self.data] if lower else self.data
         n = len(data)
-        up = _power_table(BASE, n + 1, "up")
-        down = _power_table(INVERSE, n + 1, "down")
+        up = power_table(BASE, n + 1)
+        down = power_table(INVERSE, n + 1)
         sums = np.zeros(n + 1, dtype=U64)
         np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
