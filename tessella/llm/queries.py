@@ -37,7 +37,16 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULAR
     return score_texts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import KEEP, fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_quality_cnn": op1_quality_cnn,
     "op6_lattice_lm": op6_lattice_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dup": op10_near_dup,
