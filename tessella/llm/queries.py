@@ -45,7 +45,16 @@ def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
+def op4_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mix_flow import mix, round_robin
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("sources"))
+    mixed = mix(docs, round_robin, budget=1.5)
+    return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
 QUERIES = {
+    "op4_mix_flow": op4_mix_flow,
     "op1_quality_cnn": op1_quality_cnn,
     "op6_lattice_lm": op6_lattice_lm,
     "op9_decontaminate": op9_decontaminate,
