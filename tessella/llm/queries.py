@@ -53,7 +53,15 @@ def op4_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
 
 
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zstd import archived
+
+    records = archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op5_warc_zstd": op5_warc_zstd,
     "op4_mix_flow": op4_mix_flow,
     "op1_quality_cnn": op1_quality_cnn,
     "op6_lattice_lm": op6_lattice_lm,
@@ -63,6 +71,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc_zstd": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS r FROM p WHERE n >= 100 GROUP BY h)
+SELECT p.page_id, n AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN r IS NULL OR r = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r IS NULL OR r = p.page_id THEN NULL ELSE r END AS refers_to
+FROM p LEFT JOIN first ON p.h = first.h
+""",
     "op10_near_dup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 2),
