@@ -4,22 +4,25 @@ Words are ``[^\x20\x09-\x0D]+``.  Every window of ``k`` words is an edge of the
 Bruijn graph over (k-1)-word nodes.  A document's word goes when it lies in an edge
 that also occurs in a document with a smaller id.
 
+0. *Copies.* A document whose whole text a smaller document has loses all its words
+   (if they make one window) and leaves the graph to that document.
 1. *Sampling.* Each edge holds k-4 five-word shingles; the one with the smallest
    hash is its anchor, so equal edges have equal anchors, and neighbouring edges
    mostly share one.  Only about every fifth word is an anchor.  Anchors that
    occur in one document alone cannot belong to a repeated edge.
 2. *Edges.* Documents that hold repeated anchors give the edges under these
-   anchors, and an aggregate per edge finds its source (the smallest document),
-   whether other documents hold it, and whether words differ before or after it
-   (a branch).
-3. *Compaction.* The edges join back to their occurrences; consecutive positions
-   of one document with the same source and no branch between them are one path.
-4. *Verification.* Each occurrence carries a second, independent hash of its
-   words; a path counts only where this equals its source's.  Then the paths
-   meet the text, and the words they cover go.
-
-All statistics cover all documents.  Joins are sort-merge joins whose skewed keys
-Spark may split; per document only its own anchors and paths are gathered.
+   anchors.  Per edge, the occurrence in the smallest document is the source, and
+   every occurrence in a later document is matched with it.
+3. *Compaction.* Consecutive positions of one document with one source do not
+   branch and form one path; it ends where the source changes.
+4. *Verification.* Edges are told apart by a second, independent hash besides the
+   64-bit one.  The paths then meet the text, and the words they cover go.
+
+Batches combine before they shuffle: of an anchor's or edge's occurrences in one
+Arrow batch only the smallest document's go to the exchange, since the others
+already have a smaller holder.  A passage in a third of all documents thus sends a
+row per batch, not per document, and the sorted rows are read as a stream with one
+source in memory.  Per document only its own anchors and paths are gathered.
 
 Defined cases: a null text has no words; a null id counts as larger than every
 id; rows with one id are not "smaller" than each other, and each is judged by its
@@ -34,147 +37,258 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import by_batch, id_key
+from .common import LAST_ID, by_batch, id_key, partitions
 
 ANCHOR = 5
 U64 = np.uint64
 
 
-def _anchored(words: W.Words, k: int):
-    """Edge hashes, second hashes, and each edge's anchor index; -1-free: only
-    edges inside one row.  Returns (edge start indices, edge, check, anchor hash)."""
-    hashes = words.hashes()
-    five = min(ANCHOR, k)
-    inside = W.whole(words.first, k)
-    at = np.flatnonzero(inside)
-    if not len(at):
-        empty = np.empty(0, U64)
-        return at, empty, empty, empty, hashes
-    shingle = W.rolling(hashes, five)
-    least = W.minimizers(shingle, k - five + 1)[at]
-    edge = W.rolling(hashes, k)[at]
-    check = W.rolling(W.mix(hashes ^ U64(0xA5A5A5A55A5A5A5A)), k)[at]
-    return at, edge, check, shingle[least], hashes
-
-
-def _anchors(k: int):
-    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+def _texts(batch: pa.RecordBatch, column: int):
+    """Slices of a batch's texts as (first row, last row, words)."""
+    data, offsets = W.text_buffers(batch.column(column))
+    for a, z in W.slices(offsets):
+        yield a, z, W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], kinds: list) -> list[np.ndarray]:
+    return [np.concatenate(x) if parts else np.empty(0, kind) for x, kind in zip(zip(*parts) if parts else kinds, kinds)]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Mask of the rows that begin a run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    if len(new):
+        new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
+def _anchors(k: int, direct: bool):
+    """Anchors of a batch's documents.  Without ``direct``: a row per anchor, its
+    smallest document, and whether the batch has others (``many``).  With it: the
+    other documents' rows, whose anchors are known to repeat."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = W.text_buffers(batch.column(1))
-        out = []
-        for a, z in W.slices(offsets):
-            words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-            inside = W.whole(words.first, k)
-            at = np.flatnonzero(inside)
-            if not len(at):
-                continue
-            five = min(ANCHOR, k)
-            shingle = W.rolling(words.hashes(), five)
-            least = W.minimizers(shingle, k - five + 1)[at]
-            new = np.ones(len(least), bool)
-            new[1:] = least[1:] != least[:-1]
-            least = least[new]
-            row = words.row_of()[least]
-            out.append(pa.record_batch([pa.array(shingle[least].view(np.int64)), pa.array(ids[a:z][row])], names=["anchor", "doc"]))
-        return out
+        parts = []
+        for a, z, words in _texts(batch, 1):
+            at = np.flatnonzero(W.whole(words.first, k))
+            if len(at):
+                five = min(ANCHOR, k)
+                shingle = W.rolling(words.hashes(), five)
+                least = W.minimizers(shingle, k - five + 1)[at]
+                least = least[_starts(least)]
+                parts.append((shingle[least], ids[a:z][words.row_of()[least]]))
+        anchor, doc = _joined(parts, [U64, np.int64])
+        order = np.lexsort((doc, anchor))
+        anchor, doc = anchor[order], doc[order]
+        first = _starts(anchor)
+        group = np.cumsum(first) - 1
+        head = np.flatnonzero(first)
+        others = doc != doc[head][group] if len(head) else np.zeros(0, bool)
+        if direct:
+            others &= _starts(anchor, doc)
+            return pa.record_batch([pa.array(doc[others]), pa.array(anchor[others].view(np.int64))], names=["doc", "anchor"])
+        many = np.zeros(len(head), bool)
+        many[group[others]] = True
+        return pa.record_batch([pa.array(anchor[head].view(np.int64)), pa.array(doc[head]), pa.array(many)], names=["anchor", "doc", "many"])
 
     return by_batch(run)
 
 
+def _repeated(batches):
+    """Rows sorted by anchor and document -> those whose anchor has two documents.
+
+    A stream: of the anchor being read, at most one row is held back."""
+    held = None  # (anchor, document, known to repeat)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, doc, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if held is not None:
+            anchor, doc, many = np.append(held[0], anchor), np.append(held[1], doc), np.append(held[2], many)
+        head = np.flatnonzero(_starts(anchor))
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(anchor))))
+        known = np.logical_or.reduceat(many, head)
+        known[group[doc != doc[head][group]]] = True
+        emit = known[group]
+        if held is not None and held[2]:
+            emit[0] = False  # given out before
+        yield pa.record_batch([pa.array(doc[emit]), pa.array(anchor[emit])], names=["doc", "anchor"])
+        held = (anchor[-1], doc[head[-1]], bool(known[-1]))
+
+
 def _edges(k: int):
-    """Edges under the repeated anchors that came with each document."""
+    """Edges under the repeated anchors that came with each document.
 
-    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    ``source`` is filled where the batch itself shows a smaller document with the
+    edge; the rest goes on to meet the other batches.  ``place`` packs 30 bits of
+    the text's hash and the word index; ``check`` is the second hash."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        parts = []
+        for a, z, words in _texts(batch, 1):
+            at = np.flatnonzero(W.whole(words.first, k))
+            if len(at):
+                five = min(ANCHOR, k)
+                shingle = W.rolling(words.hashes(), five)
+                least = W.minimizers(shingle, k - five + 1)[at]
+                least = least[_starts(least)]
+                parts.append((shingle[least], ids[a:z][words.row_of()[least]]))
+        anchor, doc = _joined(parts, [U64, np.int64])
+        order = np.lexsort((doc, anchor))
+        anchor, doc = anchor[order], doc[order]
+        first = _starts(anchor)
+        group = np.cumsum(first) - 1
+        head = np.flatnonzero(first)
+        others = doc != doc[head][group] if len(head) else np.zeros(0, bool)
+        if direct:
+            others &= _starts(anchor, doc)
+            return pa.record_batch([pa.array(doc[others]), pa.array(anchor[others].view(np.int64))], names=["doc", "anchor"])
+        many = np.zeros(len(head), bool)
+        many[group[others]] = True
+        return pa.record_batch([pa.array(anchor[head].view(np.int64)), pa.array(doc[head]), pa.array(many)], names=["anchor", "doc", "many"])
+
+    return by_batch(run)
+
+
+def _repeated(batches):
+    """Rows sorted by anchor and document -> those whose anchor has two documents.
+
+    A stream: of the anchor being read, at most one row is held back."""
+    held = None  # (anchor, document, known to repeat)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, doc, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if held is not None:
+            anchor, doc, many = np.append(held[0], anchor), np.append(held[1], doc), np.append(held[2], many)
+        head = np.flatnonzero(_starts(anchor))
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(anchor))))
+        known = np.logical_or.reduceat(many, head)
+        known[group[doc != doc[head][group]]] = True
+        emit = known[group]
+        if held is not None and held[2]:
+            emit[0] = False  # given out before
+        yield pa.record_batch([pa.array(doc[emit]), pa.array(anchor[emit])], names=["doc", "anchor"])
+        held = (anchor[-1], doc[head[-1]], bool(known[-1]))
+
+
+def _edges(k: int):
+    """Edges under the repeated anchors that came with each document.
+
+    ``source`` is filled where the batch itself shows a smaller document with the
+    edge; the rest goes on to meet the other batches.  ``place`` packs 31 bits of
+    the text's hash and the word index; ``mark`` the second hash and the next word
+    (or, with a source, whether the next words agree)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         part = batch.column(2).to_numpy(zero_copy_only=False)
         hits = batch.column(3)
-        found = hits.values.to_numpy(zero_copy_only=False)
+        found = hits.values.to_numpy(zero_copy_only=False).view(U64)
         ends = hits.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        data, offsets = W.text_buffers(batch.column(1))
-        out = []
-        for a, z in W.slices(offsets):
-            words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-            at, edge, check, anchor, hashes = _anchored(words, k)
-            if not len(at):
-                continue
-            known = np.unique(found[ends[a] : ends[z]].view(U64))
-            if not len(known):
+        pieces = []
+        for a, z, words in _texts(batch, 1):
+            at = np.flatnonzero(W.whole(words.first, k))
+            # The slice's anchors together: an edge let through by another
+            # document's anchor finds no second holder later on.
+            known = np.unique(found[ends[a] : ends[z]])
+            if not len(at) or not len(known):
                 continue
-            # A superset over the slice's documents is enough here: an edge that
-            # one document alone holds falls out in the next aggregate.
-            spot = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            keep = known[spot] == anchor
-            at, edge, check = at[keep], edge[keep], check[keep]
+            hashes = words.hashes()
+            five = min(ANCHOR, k)
+            shingle = W.rolling(hashes, five)
+            anchor = shingle[W.minimizers(shingle, k - five + 1)[at]]
+            at = at[known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor]
             row = words.row_of()[at]
-            # 16 bits of the word before and after; 0 marks the document's end.
-            before = np.where(at > words.first[row], hashes[np.maximum(at - 1, 0)] & U64(0x7FFF) | U64(1), U64(0))
-            last = np.minimum(at + k, len(hashes) - 1)
-            after = np.where(at + k < words.first[row + 1], hashes[last] & U64(0x7FFF) | U64(1), U64(0))
-            out.append(
-                pa.record_batch(
-                    [
-                        pa.array(edge.view(np.int64)),
-                        pa.array(ids[a:z][row]),
-                        pa.array(part[a:z][row]),
-                        pa.array((at - words.first[row]).astype(np.int32)),
-                        pa.array((check >> U64(33)).astype(np.int32)),
-                        pa.array(before.astype(np.int16)),
-                        pa.array(after.astype(np.int16)),
-                    ],
-                    names=["edge", "doc", "part", "pos", "check", "before", "after"],
-                )
-            )
-        return out
+            check = W.rolling(W.mix(hashes ^ U64(0xA5A5A5A55A5A5A5A)), k)[at]
+            place = part[a:z][row] << 32 | (at - words.first[row])
+            pieces.append((W.rolling(hashes, k)[at], check >> U64(48), ids[a:z][row], place))
+        edge, check, doc, place = _joined(pieces, [U64, U64, np.int64, np.int64])
+        order = np.lexsort((doc, check, edge))
+        edge, check, doc, place = edge[order], check[order], doc[order], place[order]
+        head = np.flatnonzero(_starts(edge, check))
+        origin = np.repeat(head, np.diff(np.append(head, len(edge))))
+        later = doc != doc[origin]
+        # Finished rows need no edge: a few bits of their place spread them over the tasks.
+        key = np.where(later, W.mix(place.view(U64)) >> U64(52), edge).view(np.int64)
+        check = np.where(later, U64(0), check).astype(np.int32)
+        source = pa.array(doc[origin], mask=~later)
+        return pa.record_batch([pa.array(key), pa.array(doc), pa.array(place), pa.array(check), source], names=["edge", "doc", "place", "check", "source"])
 
     return by_batch(run)
 
 
+def _matched(batches):
+    """Edge rows sorted by edge, second hash and document -> each occurrence behind
+    its source: ``doc``, ``place``, ``source``."""
+    held = None  # (edge, check, source document)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge, doc, place, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        source = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
+        yield _out(doc[done], place[done], source[done])
+        edge, doc, place, check = edge[~done], doc[~done], place[~done], check[~done]
+        if not len(edge):
+            continue
+        if held is not None:
+            edge, check, doc, place = np.append(held[0], edge), np.append(held[1], check), np.append(held[2], doc), np.append(0, place)
+        head = np.flatnonzero(_starts(edge, check))
+        origin = np.repeat(head, np.diff(np.append(head, len(edge))))
+        later = doc != doc[origin]
+        yield _out(doc[later], place[later], doc[origin[later]])
+        held = (edge[-1], check[-1], doc[head[-1]])
+
+
+def _out(doc: np.ndarray, place: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(doc), pa.array(place), pa.array(source)], names=["doc", "place", "source"])
+
+
 def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Occurrences of one document in one row -> its paths (start, edges, source)."""
-    occ = batch.column(2)
+    """A document's matched occurrences in one row -> its paths."""
+    occ = batch.column(1)
     ends = occ.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    pos, src, branch = (occ.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    place, source = (occ.values.field(i).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for i in range(2))
     row = np.repeat(np.arange(len(batch)), np.diff(ends))
-    pos, src, branch = pos[ends[0] : ends[-1]], src[ends[0] : ends[-1]], branch[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    order = np.lexsort((pos, row))
-    pos, src, branch, row = pos[order], src[order], branch[order], row[order]
-    same = np.zeros(len(pos), bool)
-    again = np.zeros(len(pos), bool)
-    if len(pos):
-        again[1:] = (row[1:] == row[:-1]) & (pos[1:] == pos[:-1])  # repeated rows of a table
-    pos, src, branch, row = pos[~again], src[~again], branch[~again], row[~again]
-    same = np.zeros(len(pos), bool)
-    if len(pos):
-        # bit 1 of branch: several words follow the edge; bit 0: several come before it
-        same[1:] = (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + 1) & (src[1:] == src[:-1]) & (branch[:-1] & 2 == 0) & (branch[1:] & 1 == 0)
-    head = np.flatnonzero(~same)
-    length = np.diff(np.append(head, len(pos)))
-    counts = np.bincount(row[head], minlength=len(batch)) if len(head) else np.zeros(len(batch), np.int64)
-    where = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(where, pa.array(x)) for x in (pos[head].astype(np.int32), length.astype(np.int32), src[head])]
-    return pa.record_batch([batch.column(0), batch.column(1), *lists], names=["doc", "part", "start", "edges", "source"])
+    order = np.lexsort((place, row))
+    spot, source, row = place[order], source[order], row[order]
+    once = _starts(row, spot)  # repeated rows of a table give repeated places
+    spot, source, row = spot[once], source[once], row[once]
+    new = np.ones(len(spot), bool)
+    new[1:] = (row[1:] != row[:-1]) | (spot[1:] != spot[:-1] + 1) | (source[1:] != source[:-1])
+    head = np.flatnonzero(new)
+    length = np.diff(np.append(head, len(spot)))
+    where = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[head], minlength=len(batch)))]).astype(np.int32))
+    lists = (spot[head] >> 32, (spot[head] & 0xFFFFFFFF).astype(np.int32), length.astype(np.int32), source[head])
+    return pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(where, pa.array(x)) for x in lists)], names=["doc", "part", "start", "edges", "source"])
 
 
 def _keep(k: int):
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         data, offsets = W.text_buffers(batch.column(1))
-        starts, lengths = batch.column(2), batch.column(3)
-        ends = starts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        start_all, length_all = (x.values.to_numpy(zero_copy_only=False) for x in (starts, lengths))
+        own = batch.column(2).to_numpy(zero_copy_only=False)
+        copy = batch.column(6).to_numpy(zero_copy_only=False)
+        ends = batch.column(3).offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        part_all, start_all, length_all = (batch.column(i).values.to_numpy(zero_copy_only=False) for i in (3, 4, 5))
         out = []
         for a, z in W.slices(offsets, 4 << 20):
             words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
             rows, n = z - a, len(words)
             path_row = np.repeat(np.arange(rows), np.diff(ends[a : z + 1]))
-            s = words.first[path_row] + start_all[ends[a] : ends[z]]
-            e = s + length_all[ends[a] : ends[z]] + (k - 1)
+            mine = part_all[ends[a] : ends[z]] == own[a:z][path_row]  # rows of one id may differ in text
+            s = (words.first[path_row] + start_all[ends[a] : ends[z]])[mine]
+            e = s + length_all[ends[a] : ends[z]][mine] + (k - 1)
             cover = np.zeros(n + 1, np.int64)
             np.add.at(cover, s, 1)
             np.add.at(cover, e, -1)
-            kept = np.cumsum(cover[:n]) == 0
-            total = np.concatenate([[0], np.cumsum(kept)])
             n_words = np.diff(words.first)
+            kept = (np.cumsum(cover[:n]) == 0) & ~np.repeat(copy[a:z] & (n_words >= k), n_words)
+            total = np.concatenate([[0], np.cumsum(kept)])
             n_kept = total[words.first[1:]] - total[words.first[:-1]]
             # Kept words one after the other, a space after each but a row's last.
             ws, we = words.start[kept], words.end[kept]
@@ -195,53 +309,56 @@ def _keep(k: int):
             text_ends = np.concatenate([[0], np.cumsum(text_size)]).astype(np.int32)
             text = pa.StringArray.from_buffers(rows, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(buffer.tobytes()))
             columns = [pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), text]
-            rest = [batch.column(i).slice(a, rows) for i in range(4, batch.num_columns)]
-            names = batch.schema.names[4:]
+            rest = [batch.column(i).slice(a, rows) for i in range(7, batch.num_columns)]
+            names = batch.schema.names[7:]
             out.append(pa.record_batch([*rest, *columns], names=[*names, "n_words", "n_removed", "kept_text"]))
         return out
 
     return by_batch(run)
 
 
+def _texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, text, part, copy``.  Every use joins on ``doc`` from the same two
+    columns, so that Spark shuffles the texts once and reads that shuffle again."""
+    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    marks = texts.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    least = marks.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
+    copies = marks.join(least, ["h1", "h2"]).where("least < doc").groupBy("doc").agg(F.collect_set("h1").alias("copies"))
+    whole = F.xxhash64("text")
+    joined = texts.join(copies.hint("merge"), "doc", "left")
+    return joined.select("doc", "text", whole.bitwiseAND(F.lit(0x3FFFFFFF)).alias("part"), F.coalesce(F.array_contains("copies", whole), F.lit(False)).alias("copy"))
+
+
+def _paths(texts: DataFrame, k: int) -> DataFrame:
+    n = partitions(texts)
+    own = texts.where("not copy")
+    plain = own.select("doc", "text")
+    anchors = plain.mapInArrow(_anchors(k, False), "anchor long, doc long, many boolean")
+    met = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "doc long, anchor long")
+    known = plain.mapInArrow(_anchors(k, True), "doc long, anchor long")
+    hits = met.union(known).groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
+    edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long")
+    rows = edges.repartition(n, "edge").sortWithinPartitions("edge", "check", "doc")
+    found = rows.mapInArrow(_matched, "doc long, place long, source long").groupBy("doc").agg(F.collect_list(F.struct("place", "source")).alias("occ"))
+    return found.mapInArrow(by_batch(_compact), "doc long, part array<long>, start array<int>, edges array<int>, source array<long>")
+
+
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
-    """Per document with repeats: ``doc``, ``part`` (its text's hash), and arrays
-    ``start`` (word index), ``edges`` (windows in the path), ``source`` (smallest
-    document with these windows, always smaller than ``doc``)."""
-    base = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    anchors = base.mapInArrow(_anchors(k), "anchor long, doc long")
-    repeated = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
-    hits = anchors.join(repeated, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
-    texts = base.select("doc", "text", F.xxhash64("text").alias("part"))
-    edges = texts.join(hits, "doc").select("doc", "text", "part", "hits").mapInArrow(
-        _edges(k), "edge long, doc long, part long, pos int, check int, before short, after short"
-    )
-    graph = edges.groupBy("edge").agg(
-        F.min("doc").alias("source"),
-        F.max("doc").alias("last"),
-        F.min("check").alias("check_lo"),
-        F.max("check").alias("check_hi"),
-        (F.min("before") != F.max("before")).alias("merges"),
-        (F.min("after") != F.max("after")).alias("forks"),
-    )
-    graph = graph.where("source < last").select(
-        "edge", "source", "check_lo", (F.col("check_lo") != F.col("check_hi")).alias("clash"), (F.col("merges").cast("int") + 2 * F.col("forks").cast("int")).alias("branch")
-    )
-    used = edges.select("edge", "doc", "part", "pos", "check").join(graph, "edge").where(F.col("source") < F.col("doc"))
-    # Two word sequences under one hash (the checks differ) are told apart by the pair.
-    plain = used.where(~F.col("clash") & (F.col("check") == F.col("check_lo"))).select("doc", "part", "pos", "source", "branch")
-    found = plain.groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "source", "branch")).alias("occ"))
-    return found.mapInArrow(by_batch(_compact), "doc long, part long, start array<int>, edges array<int>, source array<long>")
+    """Per document with repeats, whole copies aside: ``doc`` and, for each path,
+    arrays ``part`` (30 bits of the text's hash), ``start`` (word index), ``edges``
+    (windows in the path) and ``source`` (a smaller document with these windows)."""
+    return _paths(_texts_by_id(docs, id_col, text_col), k)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """``docs``' id with ``n_words``, ``n_removed`` and ``kept_text`` (kept words
     joined by one space), a row for each input row."""
-    paths = repeated_paths(docs, id_col, text_col, k).select("doc", "part", "start", "edges")
-    base = docs.select(F.col(id_col).alias("out_id"), id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("part", F.xxhash64("text"))
+    texts = _texts_by_id(docs, id_col, text_col)
+    paths = _paths(texts, k).select("doc", F.col("part").alias("parts"), "start", "edges")
     none = F.array().cast("array<int>")
-    joined = base.join(paths, ["doc", "part"], "left").select(
-        "doc", "text", F.coalesce("start", none).alias("start"), F.coalesce("edges", none).alias("edges"), "out_id"
+    joined = texts.join(paths.hint("merge"), "doc", "left").select(
+        "doc", "text", "part", F.coalesce("parts", none.cast("array<long>")).alias("parts"), F.coalesce("start", none).alias("start"), F.coalesce("edges", none).alias("edges"), "copy", F.col("doc").alias("id")
     )
-    kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_keep(k), f"out_id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("out_id", id_col)
+    kept = joined.mapInArrow(_keep(k), "id long, n_words long, n_removed long, kept_text string")
+    back = F.nullif(F.col("id"), F.lit(LAST_ID)).cast(docs.schema[id_col].dataType)
+    return kept.select(back.alias(id_col), "n_words", "n_removed", "kept_text")
