@@ -60,7 +60,14 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nra_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES = {
+    "op2_nra_topk": op2_nra_topk,
     "op5_warc_zstd": op5_warc_zstd,
     "op4_mix_flow": op4_mix_flow,
     "op1_quality_cnn": op1_quality_cnn,
@@ -71,6 +78,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_nra_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+""",
     "op5_warc_zstd": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
 first AS (SELECT h, min(page_id) AS r FROM p WHERE n >= 100 GROUP BY h)
