@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table, written
 
 #: Where public tokenizers' files are; a parameter of the operators that read them.
 TOKENIZERS = "/opt/tokenizers"
@@ -66,7 +66,39 @@ def op2_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import control_conversation, format_pieces, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pieces = written(format_pieces(rows.unionByName(control_conversation(spark))), "chat")
+    return read_back(pieces)
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after four commits: all documents counted by two tokenizer versions;
+    whole copies deleted; counts revised for texts whose lines are trimmed; and the
+    deletes sent once more, which changes nothing."""
+    from .token_rollup import RollupStore, byte_bpe, count_tokens
+
+    one, two = f"{tokenizers}/byte_bpe_50k.tiktoken", f"{tokenizers}/byte_bpe_multi_50k.tiktoken"
+    versions = {"byte_bpe_50k/1": lambda: byte_bpe(one), "byte_bpe_multi_50k/1": lambda: byte_bpe(two)}
+    docs = table(spark, sf_dir, "documents")
+    store = RollupStore(spark, new_path(spark, "rollup"))
+    store.commit("1-inserts", inserts=count_tokens(docs, versions, ["doc_id", "source", "lang"]))
+    marks = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    least = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    copies = marks.join(least, ["h1", "h2"]).where("least < doc_id").select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"))
+    store.commit("2-deletes", deletes=copies)
+    trimmed = F.regexp_replace("text", r"[ \t]+(?=\n|$)|(?<=\n)[ \t]+|\n+$", "")
+    changed = docs.select("doc_id", trimmed.alias("new"), "text").where("new != text").select("doc_id", F.col("new").alias("text"))
+    store.commit("3-revisions", revisions=count_tokens(changed, versions, ["doc_id"]))
+    store.commit("2-deletes", deletes=copies)
+    return store.totals()
+
+
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op8_token_rollup": op8_token_rollup,
     "op2_nra_topk": op2_nra_topk,
     "op5_warc_zstd": op5_warc_zstd,
     "op4_mix_flow": op4_mix_flow,
@@ -78,6 +110,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 25 + 2 * length(role) - length(translate(role, '<[|\', '')) + 2 * length(text) - length(translate(text, '<[|\', '')) AS size FROM c),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant')::BIGINT AS n_examples, coalesce(sum(stop) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars
+FROM p GROUP BY conv_id
+""",
     "op2_nra_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
