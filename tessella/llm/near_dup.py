@@ -14,10 +14,15 @@ the set is empty and linked with nothing.  Two documents are linked if
    similarity s stays together in some child with the survival probability of a
    branching process of mean 2s, at any depth; ``trees`` follows from ``recall``.
 3. *Small nodes* (at most ``NODE``) are compared exhaustively by their minhash
-   sketches, and each gives a star per sketch component, never all pairs.  *Large
-   nodes* are branched again down to ``DEPTH``; one that is still large there hangs
-   on one member as a whole.  Both only join *candidate clusters*, which hold every
-   true group whole; wrong members cost time, not correctness.
+   sketches, and each gives a star per sketch component, never all pairs.  In a
+   *large node* each set is held against the node's head: sets whose sketches agree
+   in ``SETTLED`` of their places hang on it and branch no further, so a large
+   group of near copies does not multiply; those that agree in ``UNSURE`` hang on
+   it and go on too (a set similar to a settled one agrees at least as much, by
+   the triangle inequality of Jaccard distance); the rest just goes on.  Whatever
+   is still large at ``DEPTH`` hangs on the head.  All this only joins *candidate
+   clusters*, which hold every true group whole; wrong members cost time, not
+   correctness.
 4. *Full sets.* Each cluster's full sets are compared exactly, by inverted lists,
    in blocks of bounded size.  A larger cluster has several blocks that share
    pivots; members whose links to the largest component are not yet shown are then
@@ -48,7 +53,9 @@ U64 = np.uint64
 SKETCH = 64
 BRANCH = 2
 NODE = 256
-DEPTH = 4
+DEPTH = 8
+SETTLED = 0.6
+UNSURE = 0.2
 #: A sketch of a pair at 0.8 agrees in 0.8 of its places, give or take 0.05.
 SKETCH_SHARE = 0.55
 BLOCK_SETS = 2048
@@ -155,6 +162,13 @@ def _deeper(first_place: int):
     return by_batch(run)
 
 
+def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(node, key, sketch, head, head's sketch) -> the share of places that agree."""
+    own, head = (rows_of_binary(batch.column(i), np.uint16, SKETCH) for i in (2, 4))
+    share = (own == head).mean(axis=1)
+    return pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(share)], names=["node", "key", "sketch", "head", "share"])
+
+
 def _forest(links: np.ndarray) -> np.ndarray:
     """Each member's component (its smallest index) in a small symmetric matrix."""
     m = len(links)
@@ -208,12 +222,17 @@ def candidate_edges(classes: DataFrame, trees: int) -> DataFrame:
         n = partitions(classes)
         found = small.repartition(n, "node").sortWithinPartitions("node", "key").mapInArrow(by_groups(1, _compare_small), "u long, v long")
         edges = found if edges is None else edges.union(found)
-        large = held.where(F.col("m") > NODE)
-        if depth == DEPTH:
-            return edges.union(large.select(F.col("key").alias("u"), F.col("head").alias("v")))
+        large = held.where(F.col("m") > NODE).select("node", "key", "sketch", "head")
         if large.isEmpty():
             return edges
-        rows = large.select("node", "key", "sketch").mapInArrow(_deeper(used), "node long, key long")
+        if depth == DEPTH:
+            return edges.union(large.select(F.col("key").alias("u"), F.col("head").alias("v")))
+        heads = large.where("key = head").select("node", F.col("sketch").alias("head_sketch")).dropDuplicates(["node"])
+        judged = large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch")
+        judged = written(judged.mapInArrow(by_batch(_agree), "node long, key long, sketch binary, head long, share double"), f"judged{depth}")
+        edges = edges.union(judged.where(F.col("share") >= UNSURE).select(F.col("key").alias("u"), F.col("head").alias("v")))
+        open_rows = judged.where(F.col("share") < SETTLED).select("node", "key", "sketch")
+        rows = written(open_rows.mapInArrow(_deeper(used), "node long, key long"), f"rows{depth}")
     return edges
 
 
@@ -305,7 +324,9 @@ def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     ``members``: ``cid, rep, n, root`` (root: the cluster); ``texts``: ``doc, text``.
     """
     n = partitions(members)
-    sets = members.select(F.col("rep").alias("doc"), "cid", "root").join(texts, "doc").select("text", "cid", "root")
+    # Merged at every size: the members grow with the documents.
+    own = members.select(F.col("rep").alias("doc"), "cid", "root").hint("merge")
+    sets = own.join(texts, "doc").select("text", "cid", "root")
     sets = sets.mapInArrow(by_batch(_set_rows), "cid binary, root long, shingles binary")
     weight = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     weight = weight.select(
