@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import MB, by_batch
+from .common import MB, by_batch, keep_rows
 
 U64 = np.uint64
 SHINGLE = 5
@@ -250,3 +250,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "n_words")).alias("best")
     found = found.groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a leaking window, with all their columns: a pass over
+    the texts per block of items, and no shuffle."""
+    for block in _item_blocks(benchmark, item_col, item_text):
+        search = _leaks(Items([text for _, text in block]))
+
+        def clean(column: pa.Array, search=search) -> np.ndarray:
+            data, offsets = W.text_buffers(column)
+            out = np.ones(len(column), bool)
+            for a, z in W.slices(offsets):
+                words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+                out[[a + row for row, *_ in search(words)]] = False
+            return out
+
+        docs = keep_rows(docs, text_col, clean)
+    return docs

@@ -35,7 +35,7 @@ from .common import by_batch, written
 
 U64 = np.uint64
 HEAD = 200_000
-PASSES = 2
+PASSES = 3
 #: Added to each piece's expected count, so that unseen pieces keep some weight.
 SMOOTH = 0.1
 LONGEST = 24  # bytes of the longest piece taken from a vocabulary

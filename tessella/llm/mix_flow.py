@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
@@ -41,20 +42,21 @@ MAX_PATTERNS = 100_000
 LEVEL_BITS, LEVELS = 8, 3
 
 
-def count_words(docs: DataFrame, text_col: str, out: str = "size") -> DataFrame:
-    """``docs`` with each text's number of words (null texts: 0)."""
+def count_words(docs: DataFrame, text_col: str, keep: bool, out: str = "size") -> DataFrame:
+    """``docs`` with each text's number of words (null texts: 0), and the text
+    itself if it is to be kept."""
     place = docs.columns.index(text_col)
+    columns = [i for i in range(len(docs.columns)) if keep or i != place]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = W.text_buffers(batch.column(place))
         sizes = [np.diff(W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]).first) for a, z in W.slices(offsets)]
         sizes = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-        kept = [batch.column(i) for i in range(batch.num_columns) if i != place]
-        return pa.record_batch([*kept, pa.array(sizes.astype(np.int64))], names=[*(n for i, n in enumerate(names) if i != place), out])
+        return pa.record_batch([*(batch.column(i) for i in columns), pa.array(sizes.astype(np.int64))], names=[*names, out])
 
-    names = list(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields) if i != place)
-    return docs.mapInArrow(by_batch(run), f"{fields}{', ' if fields else ''}`{out}` long")
+    names = [docs.columns[i] for i in columns]
+    schema = T.StructType([docs.schema.fields[i] for i in columns]).add(out, "long")
+    return docs.mapInArrow(by_batch(run), schema)
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = REPEATS) -> list[float]:
@@ -184,13 +186,14 @@ def _take(rows: DataFrame, quota: DataFrame) -> DataFrame:
     return whole.unionByName(last).drop("low", "left")
 
 
-def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources", budget: float = 1.5, most: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "sources", budget: float = 1.5, most: int = REPEATS, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
     """``docs``' ids with ``size, sources, taken`` and, per document, ``targets`` (a
     map from source to the source's target) and ``source_sizes``.
 
     ``sources_col`` is an array of source names (a null element is the null source).
     ``weights`` gives each source its weight: a function from the sources in code
     point order, null last, to a list.  ``budget``: the mix's share of all words.
+    ``carry``: columns of ``docs`` that come along, under their own names.
     """
     place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     base = docs.select(
@@ -199,8 +202,9 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
         place.alias("order"),
         F.array_distinct(F.col(sources_col)).alias("sources"),
         F.col(text_col).cast("string").alias("text"),
+        *(F.col(c).alias(f"c_{i}") for i, c in enumerate(carry) if c not in (id_col, text_col)),
     )
-    sized = count_words(base, "text").withColumn("sources", F.coalesce(F.sort_array("sources", asc=False), F.array().cast("array<string>")))
+    sized = count_words(base, "text", text_col in carry).withColumn("sources", F.coalesce(F.sort_array("sources", asc=False), F.array().cast("array<string>")))
     sized = sized.withColumn("place", F.shiftrightunsigned("order", 64 - LEVEL_BITS * LEVELS))
     sized = written(sized, "sized")
     pattern_rows = sized.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
@@ -225,7 +229,8 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
     plan = spark.createDataFrame(table, "pattern int, sources array<string>, rounds long, part long, names array<string>, targets array<double>, source_sizes array<long>")
     rows = sized.join(F.broadcast(plan.select("pattern", F.to_json("sources").alias("key"), "rounds", "targets", "source_sizes")), F.to_json("sources") == F.col("key"))
     taken = _take(rows.drop("key"), plan.select("pattern", "part"))
-    return taken.select(F.col("id").alias(id_col), "size", "sources", "targets", "source_sizes", (F.col("rounds") * F.col("size") + F.col("fresh")).alias("taken"))
+    own = [F.col("text" if c == text_col else f"c_{i}").alias(c) for i, c in enumerate(carry) if c != id_col]
+    return taken.select(F.col("id").alias(id_col), "size", "sources", "targets", "source_sizes", (F.col("rounds") * F.col("size") + F.col("fresh")).alias("taken"), *own)
 
 
 def round_robin(names: Sequence, cycle: Sequence[int] = (3, 1, 2)) -> list[int]:

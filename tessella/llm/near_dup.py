@@ -376,3 +376,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.nullif(F.coalesce("least", "doc"), F.lit(LAST_ID))
     out = out.select(F.col("out_id"), F.col("n").alias("n_shingles"), least.alias("component_id"))
     return out.withColumn("kept", F.col("out_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("out_id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Repeated rows (same id and text) count once; documents without words stay."""
+    found = near_duplicates(docs, id_col, text_col, recall)
+    kept = found.where("kept").select(F.col(id_col).alias("__kept")).distinct()
+    rows = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.col(id_col))
+    return rows.withColumn("__nth", F.row_number().over(again)).where(F.col("__nth") == 1).drop("__nth")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import by_batch
+from .common import by_batch, keep_rows
 
 BLOCK = 32
 STEPS = BLOCK // 2
@@ -228,3 +228,12 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("out_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(by_batch(run), f"out_id {kind}, score double").withColumnRenamed("out_id", id_col)
+
+
+def keep_good(docs: DataFrame, net: Network, text_col: str = "text", least: float = KEEP) -> DataFrame:
+    """The documents that score ``least`` or more, with all their columns."""
+
+    def good(column: pa.Array) -> np.ndarray:
+        return score_bytes(net, *W.text_buffers(column)) >= least
+
+    return keep_rows(docs, text_col, good)

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,7 +269,9 @@ def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(where, pa.array(x)) for x in lists)], names=["doc", "part", "start", "edges", "source"])
 
 
-def _keep(k: int):
+def _keep(k: int, plain: bool):
+    """Each text's kept words; without ``plain`` an untouched text stays as it was."""
+
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         data, offsets = W.text_buffers(batch.column(1))
         own = batch.column(2).to_numpy(zero_copy_only=False)
@@ -308,6 +311,8 @@ def _keep(k: int):
             text_size = stop[first_kept[1:]] - stop[first_kept[:-1]] - (n_kept > 0)
             text_ends = np.concatenate([[0], np.cumsum(text_size)]).astype(np.int32)
             text = pa.StringArray.from_buffers(rows, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(buffer.tobytes()))
+            if not plain:
+                text = pc.if_else(pa.array(n_kept == n_words), batch.column(1).slice(a, rows), text)
             columns = [pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), text]
             rest = [batch.column(i).slice(a, rows) for i in range(7, batch.num_columns)]
             names = batch.schema.names[7:]
@@ -317,27 +322,28 @@ def _keep(k: int):
     return by_batch(run)
 
 
-def _texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, text, part, copy``.  Every use joins on ``doc`` from the same two
+def _texts_by_id(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """``doc, text, part, copy`` and the carried columns as ``rest``.  Every use joins on ``doc`` from the same
     columns, so that Spark shuffles the texts once and reads that shuffle again."""
-    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rest = F.struct(*carry) if carry else F.lit(0)
+    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
     marks = texts.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
     least = marks.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
     copies = marks.join(least, ["h1", "h2"]).where("least < doc").groupBy("doc").agg(F.collect_set("h1").alias("copies"))
     whole = F.xxhash64("text")
     joined = texts.join(copies.hint("merge"), "doc", "left")
-    return joined.select("doc", "text", whole.bitwiseAND(F.lit(0x3FFFFFFF)).alias("part"), F.coalesce(F.array_contains("copies", whole), F.lit(False)).alias("copy"))
+    return joined.select("doc", "text", "rest", whole.bitwiseAND(F.lit(0x3FFFFFFF)).alias("part"), F.coalesce(F.array_contains("copies", whole), F.lit(False)).alias("copy"))
 
 
 def _paths(texts: DataFrame, k: int) -> DataFrame:
     n = partitions(texts)
     own = texts.where("not copy")
-    plain = own.select("doc", "text")
+    plain = own.select("doc", "text", "rest")
     anchors = plain.mapInArrow(_anchors(k, False), "anchor long, doc long, many boolean")
     met = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "doc long, anchor long")
     known = plain.mapInArrow(_anchors(k, True), "doc long, anchor long")
     hits = met.union(known).groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
-    edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long")
+    edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits", "rest").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long")
     rows = edges.repartition(n, "edge").sortWithinPartitions("edge", "check", "doc")
     found = rows.mapInArrow(_matched, "doc long, place long, source long").groupBy("doc").agg(F.collect_list(F.struct("place", "source")).alias("occ"))
     return found.mapInArrow(by_batch(_compact), "doc long, part array<long>, start array<int>, edges array<int>, source array<long>")
@@ -347,18 +353,32 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document with repeats, whole copies aside: ``doc`` and, for each path,
     arrays ``part`` (30 bits of the text's hash), ``start`` (word index), ``edges``
     (windows in the path) and ``source`` (a smaller document with these windows)."""
-    return _paths(_texts_by_id(docs, id_col, text_col), k)
+    return _paths(_texts_by_id(docs, id_col, text_col, []), k)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, k: int, carry: list[str], plain: bool) -> DataFrame:
+    texts = _texts_by_id(docs, id_col, text_col, carry)
+    paths = _paths(texts, k).select("doc", F.col("part").alias("parts"), "start", "edges")
+    none = F.array().cast("array<int>")
+    lists = (F.coalesce("parts", none.cast("array<long>")).alias("parts"), F.coalesce("start", none).alias("start"), F.coalesce("edges", none).alias("edges"))
+    joined = texts.join(paths.hint("merge"), "doc", "left").select("doc", "text", "part", *lists, "copy", F.col("doc").alias("id"), "rest")
+    kind = texts.schema["rest"].dataType.simpleString()
+    return joined.mapInArrow(_keep(k, plain), f"id long, rest {kind}, n_words long, n_removed long, kept_text string")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """``docs``' id with ``n_words``, ``n_removed`` and ``kept_text`` (kept words
     joined by one space), a row for each input row."""
-    texts = _texts_by_id(docs, id_col, text_col)
-    paths = _paths(texts, k).select("doc", F.col("part").alias("parts"), "start", "edges")
-    none = F.array().cast("array<int>")
-    joined = texts.join(paths.hint("merge"), "doc", "left").select(
-        "doc", "text", "part", F.coalesce("parts", none.cast("array<long>")).alias("parts"), F.coalesce("start", none).alias("start"), F.coalesce("edges", none).alias("edges"), "copy", F.col("doc").alias("id")
-    )
-    kept = joined.mapInArrow(_keep(k), "id long, n_words long, n_removed long, kept_text string")
+    kept = _kept(docs, id_col, text_col, k, [], True)
     back = F.nullif(F.col("id"), F.lit(LAST_ID)).cast(docs.schema[id_col].dataType)
     return kept.select(back.alias(id_col), "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
+    """``docs`` with their columns and shortened texts.  A text that loses nothing
+    stays as it was; one that loses words is its kept words joined by one space; one
+    that loses all its words goes."""
+    columns = docs.columns
+    kept = _kept(docs, id_col, text_col, k, [c for c in columns if c != text_col], False)
+    kept = kept.where("n_words = 0 or n_removed < n_words")
+    return kept.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in columns))
