@@ -1,6 +1,725 @@
-"""Registered queries of the library and their DuckDB SQL."""
+"""Registered queries of the library and their DuckDB SQL.
+
+Each query runs an operator over whole tables.  Doubles are rounded to nine places on
+both sides, since engines add in different orders; undefined values are NULL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import measures as M
+from ..functions import text as X
+from ..operators import bootstrap, corpus, entropy, morphology, quality, ratios, runs, tokenizers, training
+from .inputs import CURVES, LINES, PAIRS, PARALLEL, curves, lines, pairs, parallel_documents, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+ARMS = {a.name: a.count for a in (tokenizers.BYTE, tokenizers.CHAR, tokenizers.WORD)}
+EDGES = [0, 5, 10, 20, 40]
+LABELS = M.bin_labels(EDGES)
+#: A short merge list for the native encoder (a fixed value of these queries).
+MERGES = [("t", "h"), ("i", "n"), ("e", "r"), ("a", "n"), ("o", "n"), ("e", "n"), ("r", "e"), ("th", "e"), ("▁", "the"), ("in", "g"), ("▁", "o"), ("d", "e")]
+SUFFIX = r"(ing|ed|tion|ment|en|er)$"
+
+W = X.WHITE
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            # a column named pivot must be quoted in DuckDB
+            ORACLE_SQL[function.__name__] = re.sub(r'(?<![\w"])pivot(?![\w"])', '"pivot"', sql)
+        return function
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if df.schema[c].dataType == T.DoubleType() else F.col(c) for c in df.columns))
+
+
+def w(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^{W}]+')"
+
+
+def s(x: str) -> str:
+    return f"regexp_replace({x}, '^[{W}]+|[{W}]+$', '', 'g')"
+
+
+def arm_values(x: str) -> str:
+    return f"(VALUES ('byte', strlen({x})), ('char', length({x})), ('word', len({w(x)})))"
+
+
+ARM_PARTS = f"""parts AS (SELECT a.arm, p.conv_id, p.idx, a.n::BIGINT AS source, b.n::BIGINT AS pivot FROM pairs p,
+  LATERAL {arm_values("p.src")} AS a(arm, n), LATERAL {arm_values("p.pivot")} AS b(arm, n) WHERE a.arm = b.arm)"""
+
+
+def arm_parts(spark: SparkSession, d: str) -> DataFrame:
+    texts = pairs(spark, d)
+    # Both sides of a pair are in one row: each arm counts both, without a join.
+    held = F.array(*(F.struct(F.lit(n).alias("arm"), c(F.col("src")).cast("long").alias("source"), c(F.col("pivot")).cast("long").alias("pivot")) for n, c in ARMS.items()))
+    rows = texts.select("conv_id", "idx", F.size(X.words(F.col("src"))).alias("source_words"), F.size(X.words(F.col("pivot"))).alias("pivot_words"), F.explode(held).alias("t"))
+    return rows.select("conv_id", "idx", "source_words", "pivot_words", "t.*")
+
+
+# --- ratios ------------------------------------------------------------------------
+
+POOLED = """round(sum(source)::DOUBLE / nullif(sum(pivot), 0), 9) AS value, count(*) AS n, sum(source)::BIGINT AS source_total, sum(pivot)::BIGINT AS pivot_total,
+  count(*) FILTER (pivot = 0) AS n_undefined, round(avg(source::DOUBLE / nullif(pivot, 0)), 9) AS mean, round(stddev_pop(source::DOUBLE / nullif(pivot, 0)), 9) AS std"""
+
+
+@query(f"WITH {PAIRS}, {ARM_PARTS} SELECT arm, {POOLED} FROM parts GROUP BY arm")
+def tpp_by_arm(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.pooled(arm_parts(spark, d), ["arm"]))
+
+
+@query(f"""WITH {PARALLEL}, t AS (SELECT p.lang, a.arm, a.n::BIGINT AS source, b.n::BIGINT AS pivot FROM par p, LATERAL {arm_values("p.src")} AS a(arm, n), LATERAL {arm_values("p.pivot")} AS b(arm, n) WHERE a.arm = b.arm)
+SELECT lang, arm, {POOLED} FROM t GROUP BY ALL""")
+def parity_by_pivot(spark: SparkSession, d: str) -> DataFrame:
+    docs = parallel_documents(spark, d)
+    keys = ["lang", "k", "arm"]
+    source = ratios.count_tokens(docs.select("lang", "k", "src"), ARMS, "src")
+    pivot = ratios.count_tokens(docs.select("lang", "k", "pivot"), ARMS, "pivot")
+    return rounded(ratios.pooled(ratios.ratio_parts(source, pivot, keys), ["lang", "arm"]))
+
+
+@query(f"""WITH e AS (SELECT lang, unnest(CASE WHEN len({w("text")}) = 0 THEN [NULL] ELSE {w("text")} END) AS word FROM documents)
+SELECT lang, round(sum(strlen(word))::DOUBLE / nullif(count(word), 0), 9) AS value, count(word) AS n, coalesce(sum(strlen(word)), 0)::BIGINT AS n_tokens, count(*) FILTER (strlen(word) = 0) AS n_undefined FROM e GROUP BY lang""")
+def fertility(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.fertility(table(spark, d, "documents"), ["lang"], ARMS["byte"]))
+
+
+@query(f"""WITH {PARALLEL}, t AS (SELECT lang, coalesce(list_sum(list_transform({w("src")}, lambda x: length(x))), 0)::BIGINT AS t, len({w("pivot")})::BIGINT AS w FROM par)
+SELECT lang, round(sum(t)::DOUBLE / nullif(sum(w), 0), 9) AS value, sum(w)::BIGINT AS n, sum(t)::BIGINT AS n_tokens, count(*) FILTER (w = 0) AS n_undefined FROM t GROUP BY lang""")
+def fertility_reference(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.fertility_against(parallel_documents(spark, d), ["lang"], ARMS["char"], "src", "pivot"))
+
+
+@query(f"""SELECT lang, round(sum(strlen(text))::DOUBLE / nullif(sum(len({w("text")})), 0), 9) AS value, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes, sum(len({w("text")}))::BIGINT AS n_tokens, count(*) FILTER (len({w("text")}) = 0) AS n_undefined
+FROM documents GROUP BY lang""")
+def compression(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.compression(table(spark, d, "documents"), ["lang"], ARMS["word"]))
+
+
+@query(f"WITH {PAIRS}, {ARM_PARTS} SELECT arm, conv_id, idx, source, pivot, round(source::DOUBLE / nullif(pivot, 0), 9) AS ratio FROM parts")
+def per_pair_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.per_pair(arm_parts(spark, d).select("arm", "conv_id", "idx", "source", "pivot")))
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT sum(length(src))::BIGINT AS chars_source, sum(length(pivot))::BIGINT AS chars_pivot, sum(strlen(src))::BIGINT AS bytes_source, sum(strlen(pivot))::BIGINT AS bytes_pivot,
+  sum(len({w("src")}))::BIGINT AS tokens_source, sum(len({w("pivot")}))::BIGINT AS tokens_pivot FROM pairs)
+SELECT 'turns' AS corpus, *, round(tokens_source::DOUBLE / nullif(tokens_pivot, 0), 9) AS tpp, round(chars_source::DOUBLE / nullif(chars_pivot, 0), 9) AS char_ratio,
+  round(tokens_source::DOUBLE * chars_pivot / nullif(chars_source::DOUBLE * tokens_pivot, 0), 9) AS density_ratio, round(bytes_source::DOUBLE / nullif(bytes_pivot, 0), 9) AS byte_ratio,
+  round(tokens_source::DOUBLE * bytes_pivot / nullif(bytes_source::DOUBLE * tokens_pivot, 0), 9) AS byte_density_ratio FROM t""")
+def decomposition(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d).withColumn("corpus", F.lit("turns"))
+    return rounded(ratios.decomposition(rows, ["corpus"], ARMS["word"], "src", "pivot"))
+
+
+@query(f"""WITH {PAIRS}, {ARM_PARTS}, v AS (SELECT arm, source::DOUBLE / nullif(pivot, 0) AS x FROM parts)
+SELECT arm, count(*) AS n, count(*) FILTER (x IS NULL) AS n_undefined, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM v GROUP BY arm""")
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ratios.metric_summary(ratios.per_pair(arm_parts(spark, d)), ["arm"], "ratio"))
+
+
+# --- strata and entropy ------------------------------------------------------------
+
+
+def strata_sql(side: str) -> str:
+    bins = ", ".join(f"({i}, '{x}')" for i, x in enumerate(LABELS))
+    return f"""{PAIRS}, t AS (SELECT a.arm, a.n::BIGINT AS source, b.n::BIGINT AS pivot, len({w("p.src")}) AS source_words, len({w("p.pivot")}) AS pivot_words FROM pairs p, LATERAL {arm_values("p.src")} AS a(arm, n), LATERAL {arm_values("p.pivot")} AS b(arm, n) WHERE a.arm = b.arm),
+g AS (SELECT arm, greatest(len(list_filter({EDGES}, lambda e: e <= {side}_words)) - 1, 0)::INTEGER AS bin, count(*) AS n_pairs, sum(source)::DOUBLE / nullif(sum(pivot), 0) AS value, avg(source_words) AS mean_source_words, avg(pivot_words) AS mean_pivot_words FROM t GROUP BY ALL),
+strata_{side} AS (SELECT k.arm, b.bin, b.label, coalesce(g.n_pairs, 0)::BIGINT AS n_pairs, round(g.value, 9) AS value, round(g.mean_source_words, 9) AS mean_source_words, round(g.mean_pivot_words, 9) AS mean_pivot_words, coalesce(g.n_pairs, 0) < 10 AS sparse
+  FROM (SELECT DISTINCT arm FROM t) k CROSS JOIN (VALUES {bins}) AS b(bin, label) LEFT JOIN g ON g.arm = k.arm AND g.bin = b.bin)"""
+
+
+def strata(spark: SparkSession, d: str, side: str) -> DataFrame:
+    return rounded(ratios.by_length(arm_parts(spark, d), ["arm"], f"{side}_words", EDGES, LABELS, 10))
+
+
+@query(f"WITH {strata_sql('source')} SELECT * FROM strata_source")
+def tpp_by_length_src(spark: SparkSession, d: str) -> DataFrame:
+    return strata(spark, d, "source")
+
+
+@query(f"WITH {strata_sql('pivot')} SELECT * FROM strata_pivot")
+def tpp_by_length_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return strata(spark, d, "pivot")
+
+
+def two_strata_sql(body: str) -> str:
+    first = strata_sql("source")
+    second = strata_sql("pivot").replace("t AS (SELECT a.arm", "t2 AS (SELECT a.arm").replace("g AS (", "g2 AS (").replace("FROM t GROUP", "FROM t2 GROUP").replace("arm FROM t)", "arm FROM t2)").replace("LEFT JOIN g ON g.arm = k.arm AND g.bin", "LEFT JOIN g2 g ON g.arm = k.arm AND g.bin")
+    return f"WITH {first}, {second.split('role = ' + chr(39) + 'assistant' + chr(39) + '), ', 1)[1]}, {body}"
+
+
+@query(
+    two_strata_sql("""e AS (SELECT arm, sign(max_by(value, bin) - min_by(value, bin)) AS a FROM strata_source WHERE value IS NOT NULL AND NOT sparse GROUP BY arm HAVING count(*) > 1),
+f AS (SELECT arm, sign(max_by(value, bin) - min_by(value, bin)) AS b FROM strata_pivot WHERE value IS NOT NULL AND NOT sparse GROUP BY arm HAVING count(*) > 1)
+SELECT count(*) FILTER (a * b < 0) AS n_flips, count(*) AS n_groups FROM e JOIN f USING (arm)""")
+)
+def length_gradient_flips(spark: SparkSession, d: str) -> DataFrame:
+    return runs.gradient_flips(strata(spark, d, "source"), strata(spark, d, "pivot"), ["arm"])
+
+
+@query(
+    two_strata_sql("""j AS (SELECT a.arm, a.bin, a.value AS l, b.value AS r FROM strata_source a JOIN strata_pivot b ON a.arm = b.arm AND a.bin = b.bin AND a.value IS NOT NULL AND b.value IS NOT NULL AND NOT a.sparse AND NOT b.sparse)
+SELECT count(*) FILTER (r - l > 0) AS n_below, count(*) AS n_bins, round(min(r - l), 9) AS least_gap, round(max(r - l), 9) AS most_gap FROM j""")
+)
+def dense_bin_gap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(runs.dense_gap(strata(spark, d, "source"), strata(spark, d, "pivot"), ["arm"]))
+
+
+@query(
+    two_strata_sql("""j AS (SELECT a.arm, a.bin, a.n_pairs + b.n_pairs AS n FROM strata_source a JOIN strata_pivot b ON a.arm = b.arm AND a.bin = b.bin AND a.value IS NOT NULL AND b.value IS NOT NULL AND NOT a.sparse AND NOT b.sparse)
+SELECT arm, bin, n::BIGINT AS n_pairs FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY n DESC, bin) AS k FROM j) WHERE k = 1""")
+)
+def busiest_joint_bin(spark: SparkSession, d: str) -> DataFrame:
+    return runs.busiest_bin(strata(spark, d, "source"), strata(spark, d, "pivot"), ["arm"])
+
+
+@query(f"WITH {strata_sql('source')} SELECT arm, round(sum(mean_source_words * n_pairs) / nullif(sum(n_pairs), 0), 6) AS mean_source_words, sum(n_pairs)::BIGINT AS n_pairs FROM strata_source GROUP BY arm")
+def corpus_mean_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = strata(spark, d, "source").withColumn("mean_source_words", F.coalesce("mean_source_words", F.lit(0.0)))
+    return rounded(runs.weighted_mean(rows, ["arm"], "mean_source_words", "n_pairs"), 6)
+
+
+def renyi_sql(counts: str) -> str:
+    return f"""c AS ({counts}), t AS (SELECT lang, sum(c) AS n, count(*) AS n_types FROM c GROUP BY lang),
+h AS (SELECT c.lang, t.n::BIGINT AS n, t.n_types::BIGINT AS n_types, a.alpha, log2(sum(pow(c.c / t.n::DOUBLE, a.alpha))) / (1 - a.alpha) AS h FROM c JOIN t USING (lang), (VALUES (0.5::DOUBLE), (2.0), (3.0)) AS a(alpha) GROUP BY c.lang, t.n, t.n_types, a.alpha)
+SELECT lang, n, n_types, alpha, round(h, 9) AS entropy_bits, round(h / nullif(log2(n_types), 0), 9) AS efficiency, round(h / log2(50000.0::DOUBLE), 9) AS efficiency_nominal FROM h"""
+
+
+@query("WITH " + renyi_sql(f"SELECT lang, word AS token, count(*) AS c FROM (SELECT lang, unnest({w('text')}) AS word FROM documents) GROUP BY ALL"))
+def renyi_efficiency(spark: SparkSession, d: str) -> DataFrame:
+    counts = entropy.unigram_counts(table(spark, d, "documents"), ["lang"], X.words(F.col("text")))
+    return rounded(entropy.renyi(counts, ["lang"], [0.5, 2.0, 3.0], 50000))
+
+
+# --- bootstraps --------------------------------------------------------------------
+
+DRAW = "('0x' || substr(md5(b || ':' || k), 1, 8))::BIGINT"
+REPLICATES = 40
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, idx) - 1 AS pos, count(*) OVER () AS n, length(src) AS source, length(pivot) AS pivot FROM pairs),
+r AS (SELECT b, {DRAW} % (SELECT max(n) FROM p) AS pos FROM range({REPLICATES}) AS x(b), range((SELECT max(n) FROM p)) AS y(k)),
+v AS (SELECT b, sum(source)::DOUBLE / nullif(sum(pivot), 0) AS ratio FROM r JOIN p USING (pos) GROUP BY b)
+SELECT 'turns' AS corpus, round(quantile_cont(ratio, 0.025), 9) AS ci_low, round(quantile_cont(ratio, 0.975), 9) AS ci_high, count(ratio) AS n_defined FROM v""")
+def tpp_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bootstrap.ratio_interval(char_parts(spark, d), ["corpus"], ["conv_id", "idx"], REPLICATES))
+
+
+def char_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d)
+    return rows.select(F.lit("turns").alias("corpus"), "conv_id", "idx", F.length("src").cast("long").alias("source"), F.length("pivot").cast("long").alias("pivot"))
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, idx) - 1 AS pos, count(*) OVER () AS n, length(src) AS source, length(pivot) AS pivot FROM pairs),
+z AS (SELECT max(n) AS n, ceil(max(n) / 10.0)::BIGINT AS m FROM p),
+r AS (SELECT b, k, {DRAW} % m AS block, n, least(10, n - ({DRAW} % m) * 10) AS size FROM z, range({REPLICATES}) AS x(b), range((SELECT 2 * m FROM z)) AS y(k)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY b ORDER BY k) - size AS before FROM r),
+i AS (SELECT b, block * 10 + o AS pos FROM c, range(10) AS q(o) WHERE before < n AND o < least(size, n - before)),
+v AS (SELECT b, sum(source)::DOUBLE / nullif(sum(pivot), 0) AS ratio FROM i JOIN p USING (pos) GROUP BY b)
+SELECT 'turns' AS corpus, round(quantile_cont(ratio, 0.025), 9) AS ci_low, round(quantile_cont(ratio, 0.975), 9) AS ci_high, count(ratio) AS n_defined FROM v""")
+def tpp_block_ci(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bootstrap.ratio_interval(char_parts(spark, d), ["corpus"], ["conv_id", "idx"], REPLICATES, length=10))
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, idx) - 1 AS pos, count(*) OVER () AS n, strlen(src) AS a1, strlen(pivot) AS a2, len({w("src")}) AS b1, len({w("pivot")}) AS b2 FROM pairs),
+r AS (SELECT b, {DRAW} % (SELECT max(n) FROM p) AS pos FROM range({REPLICATES}) AS x(b), range((SELECT max(n) FROM p)) AS y(k)),
+v AS (SELECT b, sum(a1)::DOUBLE / nullif(sum(a2), 0) - sum(b1)::DOUBLE / nullif(sum(b2), 0) AS delta FROM r JOIN p USING (pos) GROUP BY b)
+SELECT 'turns' AS corpus, round(quantile_cont(delta, 0.025), 9) AS ci_low, round(quantile_cont(delta, 0.975), 9) AS ci_high, count(delta) AS n_defined,
+  CASE WHEN quantile_cont(delta, 0.025) > 0 THEN 'above' WHEN quantile_cont(delta, 0.975) < 0 THEN 'below' ELSE 'straddles' END AS verdict FROM v""")
+def tpp_paired_delta(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d)
+    byte, word = ARMS["byte"], ARMS["word"]
+    cols = {"a_source": byte(F.col("src")), "a_pivot": byte(F.col("pivot")), "b_source": word(F.col("src")), "b_pivot": word(F.col("pivot"))}
+    parts = rows.select(F.lit("turns").alias("corpus"), "conv_id", "idx", *(c.cast("long").alias(n) for n, c in cols.items()))
+    return rounded(runs.interval_verdicts(bootstrap.delta_interval(parts, ["corpus"], ["conv_id", "idx"], REPLICATES), 0.0))
+
+
+@query()
+def tpp_stream_ci(spark: SparkSession, d: str) -> DataFrame:
+    """The interval by NumPy's own generator, which SQL cannot replay."""
+    return bootstrap.stream_ratio_interval(char_parts(spark, d).withColumn("pos", F.col("conv_id") * 1000 + F.col("idx")), ["corpus"], "pos", 200, seed=7)
+
+
+# --- corpus ------------------------------------------------------------------------
+
+PLAIN_RULES = quality.Rules(letters=r"\p{L}", clean=r"\p{L}" + quality.ASCII_REST, markers=("der", "die", "und", "le", "la", "les", "des", "el", "los"))
+MARKS = "['der', 'die', 'und', 'le', 'la', 'les', 'des', 'el', 'los']"
+REAL = f"list_filter({w('text')}, lambda x: regexp_matches(x, '\\p{{L}}'))"
+CORE = f"regexp_replace(regexp_replace(text, '[!-/:-@\\[-`{{-~\\x{{9}}-\\x{{D}}\\x{{20}}]+$', ''), '[{W}]', '', 'g')"
+CASCADE = f"""CASE WHEN len(list_intersect(list_distinct({w("text")}), {MARKS})) >= 2 THEN 'hindi'
+  WHEN (CASE WHEN length({CORE}) = 0 THEN 0 ELSE length(regexp_replace({CORE}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length({CORE}) END) < 0.85 THEN 'letter_fraction'
+  WHEN len({REAL}) NOT BETWEEN 3 AND 40 THEN 'n_words'
+  WHEN coalesce(list_sum(list_transform({REAL}, lambda x: length(x)))::DOUBLE / nullif(len({REAL}), 0), 0) NOT BETWEEN 3.0 AND 14.0 THEN 'word_length'
+  WHEN NOT regexp_full_match(text, '[\\p{{L}}{quality.ASCII_REST}]*') THEN 'non_slp1' END"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).withColumn("drop_reason", quality.drop_reason(F.col("text"), F.col("text"), PLAIN_RULES, latin=False))
+
+
+@query(f"WITH {LINES} SELECT doc_id, n, {CASCADE} AS drop_reason FROM lines")
+def quality_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return judged(spark, d).select("doc_id", "n", "drop_reason")
+
+
+@query(f"""WITH {LINES}, j AS (SELECT source, coalesce({CASCADE}, 'kept') AS reason FROM lines) SELECT source, reason, count(*) AS n FROM j GROUP BY ROLLUP (source, reason)""")
+def quality_drop_counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.drop_counts(judged(spark, d), "source")
+
+
+EXCLUDED = f"""ex AS (SELECT DISTINCT sha256({s("t")}) AS hash FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM benchmark) WHERE {s("t")} <> '')"""
+
+
+def excluded(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where(X.strip(F.col("text")) != "")
+    return corpus.exclusion_hashes(items)
+
+
+@query(f"WITH {LINES}, {EXCLUDED} SELECT source, count(*) AS n_in, count(*) FILTER (ex.hash IS NOT NULL) AS n_leaked FROM lines LEFT JOIN ex ON ex.hash = sha256({s('text')}) GROUP BY source")
+def exclusion_hash_anti(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.leak_counts(lines(spark, d), excluded(spark, d), ["source"])
+
+
+@query(f"WITH {EXCLUDED}, b AS (SELECT sha256({s('text')}) AS hash FROM benchmark) SELECT count(*) AS n_checked, count(*) FILTER (ex.hash IS NULL) AS n_missing FROM b LEFT JOIN ex USING (hash)")
+def exclusion_check(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.coverage(table(spark, d, "benchmark"), excluded(spark, d))
+
+
+K = 24
+
+
+def sql_shingles(letters: str, k: int = K) -> str:
+    return f"CASE WHEN length({letters}) >= {k} THEN list_distinct(list_transform(generate_series(1, length({letters}) - {k - 1}), lambda i: substr({letters}, i, {k}))) WHEN length({letters}) > 0 THEN [{letters}] ELSE [] END"
+
+
+LETTERS = "regexp_replace(text, '[^\\p{L}]', '', 'g')"
+INDEX = f"""ix AS (SELECT DISTINCT 'bench' || (item_id % 3)::VARCHAR AS eval_source, unnest({sql_shingles("l")}) AS shingle FROM (SELECT item_id, {LETTERS} AS l FROM benchmark)),
+ds AS (SELECT doc_id, source, unnest({sql_shingles("l")}) AS shingle FROM (SELECT doc_id, source, {LETTERS} AS l FROM documents)),
+hit AS (SELECT DISTINCT doc_id, source, eval_source FROM ds JOIN ix USING (shingle))"""
+
+
+def overlaps(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").withColumn("eval", F.concat(F.lit("bench"), (F.col("item_id") % 3).cast("string")))
+    return corpus.shingle_overlaps(table(spark, d, "documents"), corpus.shingle_index(items, K, "text", "eval"), K, "doc_id")
+
+
+@query(f"WITH {INDEX} SELECT doc_id, eval_source FROM hit")
+def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(spark, d)
+
+
+@query(f"WITH {INDEX} SELECT eval_source, count(*) AS n_docs FROM hit GROUP BY eval_source")
+def shingle_drops_per_source(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(spark, d).groupBy("eval_source").agg(F.count("*").alias("n_docs"))
+
+
+FIRST = f"""dd AS (SELECT *, row_number() OVER (PARTITION BY {s("text")} ORDER BY source_rank, pos) AS k FROM lines WHERE {s("text")} <> '')"""
+
+
+@query(f"WITH {LINES}, {FIRST} SELECT source, doc_id, n FROM dd WHERE k = 1")
+def dedup_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.dedup_across_sources(lines(spark, d)).select("source", "doc_id", "n")
+
+
+@query(f"""WITH {LINES}, {FIRST}, a AS (SELECT source, count(*) AS n_in, count(*) FILTER ({s("text")} = '') AS n_blank FROM lines GROUP BY source), b AS (SELECT source, count(*) AS n_out FROM dd WHERE k = 1 GROUP BY source)
+SELECT source, n_in, n_blank, coalesce(n_out, 0)::BIGINT AS n_out, n_in - n_blank - coalesce(n_out, 0) AS n_duplicate FROM a LEFT JOIN b USING (source)""")
+def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.dedup_counts(lines(spark, d), ["source"])
+
+
+@query("""SELECT source, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, (sum(strlen(text)) + count(*))::BIGINT AS file_bytes,
+  md5(sum(('0x' || substr(sha256(text), 1, 15))::HUGEINT)::VARCHAR) AS fingerprint FROM documents GROUP BY source""")
+def training_corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.manifest(table(spark, d, "documents"), ["source"])
+
+
+def sql_unit(key: str, seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"""WITH o AS (SELECT doc_id, strlen(text) + 1 AS b, {sql_unit("doc_id", 3)} AS u FROM documents), r AS (SELECT doc_id, sum(b) OVER (ORDER BY u, doc_id) - b AS before FROM o)
+SELECT doc_id FROM r WHERE before < 500000""")
+def byte_matched_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.byte_prefix(table(spark, d, "documents"), "doc_id", 500_000, 3).select("doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE lang <> 'en' OR {sql_unit('doc_id', 5)} < 0.28782")
+def bernoulli_sample(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.bernoulli(table(spark, d, "documents"), "doc_id", 0.28782, 5, F.col("lang") == "en").select("doc_id", "source")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), h AS (SELECT source FROM g ORDER BY {sql_unit("source", 11)}, source LIMIT (SELECT greatest(1, floor(count(*) * 0.2))::BIGINT FROM g))
+SELECT doc_id, d.source, h.source IS NOT NULL AS held_out FROM documents d LEFT JOIN h ON h.source = d.source""")
+def group_holdout(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held = corpus.holdout_groups(docs, "source", 0.2, 11).withColumn("held", F.lit(True))
+    return docs.join(held, "source", "left").select("doc_id", "source", F.coalesce("held", F.lit(False)).alias("held_out"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, text FROM documents ORDER BY {sql_unit("doc_id", 13)}, doc_id LIMIT 20), ix AS (SELECT DISTINCT unnest({sql_shingles("l", 40)}) AS shingle FROM (SELECT {LETTERS} AS l FROM h)),
+ds AS (SELECT doc_id, unnest({sql_shingles("l", 40)}) AS shingle FROM (SELECT doc_id, {LETTERS} AS l FROM documents)), near AS (SELECT DISTINCT doc_id FROM ds SEMI JOIN ix USING (shingle))
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h) AND doc_id NOT IN (SELECT doc_id FROM near)""")
+def heldout_near_dup_removal(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.holdout_rows(table(spark, d, "documents"), "doc_id", 20, 13, 40)[1].select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {sql_unit('doc_id', 17)}, doc_id LIMIT 50")
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.sample_n(table(spark, d, "documents"), "doc_id", 50, 17).select("doc_id")
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, idx FROM pairs WHERE {s('src')} <> '' AND {s('pivot')} <> ''")
+def aligned_filter(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.aligned(pairs(spark, d), ["src", "pivot"]).select("conv_id", "idx")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), chr(1)), '([.।॥])', '\\1' || chr(1), 'g'), chr(1))) AS p FROM documents),
+c AS (SELECT doc_id, {s(f"regexp_replace(p, '[{W}]+', ' ', 'g')")} AS text FROM l) SELECT doc_id, text AS line, count(*) AS n FROM c WHERE len({REAL}) >= 2 GROUP BY ALL""")
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.explode(X.document_lines(F.col("text"))).alias("line"))
+    return docs.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT page_id, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS title, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS body FROM pages)
+SELECT page_id, title, md5(array_to_string(list_filter(string_split(body, chr(10)), lambda x: {s("x")} <> '' AND NOT starts_with({s("x")}, '==') AND {s("x")} <> {s("title")} AND length({s("x")}) >= 20), chr(10))) AS body_md5 FROM t""")
+def boilerplate_strip(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    body = F.regexp_replace("html", "<[^>]*>", "\n")
+    return pages.select("page_id", title.alias("title"), F.md5(X.without_boilerplate(body, title)).alias("body_md5"))
+
+
+@query(f"""WITH {LINES}, {EXCLUDED}, ix AS (SELECT DISTINCT unnest({sql_shingles("l")}) AS shingle FROM (SELECT {LETTERS} AS l FROM benchmark)),
+near AS (SELECT DISTINCT pos FROM (SELECT pos, unnest({sql_shingles("l")}) AS shingle FROM (SELECT pos, {LETTERS} AS l FROM lines)) SEMI JOIN ix USING (shingle)),
+a AS (SELECT l.source, l.source_rank, l.pos, sha256({s("l.text")}) AS h, coalesce({CASCADE.replace("text", "l.text")}, CASE WHEN ex.hash IS NOT NULL THEN 'hash' END, CASE WHEN near.pos IS NOT NULL THEN 'shingle' END) AS reason
+  FROM lines l LEFT JOIN ex ON ex.hash = sha256({s("l.text")}) LEFT JOIN near ON near.pos = l.pos),
+f AS (SELECT source, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY source_rank, pos) > 1 THEN 'duplicate' ELSE coalesce(reason, 'kept') END AS reason FROM a)
+SELECT source, reason, count(*) AS n FROM f GROUP BY ROLLUP (source, reason)""")
+def accept_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    index = corpus.shingle_index(table(spark, d, "benchmark"), K).select("eval_source", "shingle")
+    reason = quality.drop_reason(F.col("text"), F.col("text"), PLAIN_RULES, latin=False)
+    rows = corpus.accept(lines(spark, d), excluded(spark, d), index, K, "pos", reason, ["source_rank", "pos"])
+    return corpus.drop_counts(rows, "source")
+
+
+@query(f"WITH {LINES}, g AS (SELECT source_rank, source, count(*) AS n FROM lines GROUP BY ALL) SELECT source, (sum(n) OVER (ORDER BY source_rank) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY source_rank))::BIGINT AS stop FROM g")
+def line_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.line_ranges(lines(spark, d), "source_rank", "source")
+
+
+@query("WITH r AS (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) - length(text) AS before FROM documents) SELECT source, doc_id FROM r WHERE before < 20000")
+def char_cap(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.char_cap(table(spark, d, "documents"), "doc_id", 20000, by=["source"]).select("source", "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0")
+def strided_sample(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.every_nth(table(spark, d, "documents"), "doc_id", 7).select("doc_id")
+
+
+@query(f"""SELECT doc_id, len({REAL}) AS n_real, round(coalesce(list_sum(list_transform({REAL}, lambda x: length(x)))::DOUBLE / nullif(len({REAL}), 0), 0), 9) AS mean_word_length,
+  round(CASE WHEN length({CORE}) = 0 THEN 0 ELSE length(regexp_replace({CORE}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length({CORE}) END, 9) AS letter_fraction, length(regexp_replace(text, '[{W}]', '', 'g')) AS nonspace, sha256({s("text")}) AS hash,
+  md5({s(f"regexp_replace(text, '[{W}]+', ' ', 'g')")}) AS collapsed, regexp_matches(text, '[A-Za-z]') AS latin FROM documents""")
+def text_scalars(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return rounded(
+        table(spark, d, "documents").select(
+            "doc_id", F.size(X.real_words(t)).cast("long").alias("n_real"), X.mean_word_length(t).alias("mean_word_length"), X.letter_fraction(t, r"\p{L}").alias("letter_fraction"), X.nonspace_length(t).cast("long").alias("nonspace"),
+            X.sentence_hash(t).alias("hash"), F.md5(X.normalise_line(t)).alias("collapsed"), t.rlike("[A-Za-z]").alias("latin"),
+        )
+    )
+
+
+# --- tokenizers --------------------------------------------------------------------
+
+SQL_PIECES = "list_filter(string_split(replace('▁' || replace(text, ' ', '▁'), '▁', chr(1) || '▁'), chr(1)), lambda x: x <> '')"
+
+
+def sql_replay(x: str) -> str:
+    out = f"regexp_replace({x}, '(.)', chr(2) || '\\1' || chr(3), 'gs')"
+    for a, b in MERGES:
+        out = f"replace({out}, chr(2) || '{a}' || chr(3) || chr(2) || '{b}' || chr(3), chr(2) || '{a}{b}' || chr(3))"
+    return out
+
+
+@query(f"SELECT piece, count(*) AS c FROM (SELECT unnest({SQL_PIECES}) AS piece FROM benchmark) GROUP BY piece")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return training.piece_counts(table(spark, d, "benchmark"))
+
+
+@query(f"""WITH p AS (SELECT piece, count(*) AS c FROM (SELECT unnest({SQL_PIECES}) AS piece FROM benchmark) GROUP BY piece), q AS (SELECT c, piece, unnest(generate_series(1, length(piece) - 1)) AS i FROM p WHERE length(piece) > 1)
+SELECT substr(piece, i, 1) AS left, substr(piece, i + 1, 1) AS right, sum(c)::BIGINT AS c FROM q GROUP BY ALL""")
+def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return training.pair_counts(table(spark, d, "benchmark"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, {sql_replay(f"array_to_string({SQL_PIECES}, chr(4))")} AS r, len({SQL_PIECES}) AS k FROM documents) SELECT doc_id, (length(r) - length(replace(r, chr(2), '')) - k + 1)::BIGINT AS n_tokens FROM r""")
+def bpe_encode_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokenizers.check_merges(MERGES)
+    return table(spark, d, "documents").select("doc_id", tokenizers.replay_count(F.col("text"), MERGES).alias("n_tokens"))
+
+
+@query(
+    "WITH "
+    + renyi_sql(f"""SELECT lang, token, count(*) AS c FROM (SELECT lang, unnest(list_filter(string_split(replace({sql_replay("piece")}, chr(3), ''), chr(2)), lambda x: x <> '')) AS token
+  FROM (SELECT lang, unnest({SQL_PIECES}) AS piece FROM documents)) GROUP BY ALL""")
+)
+def renyi_bpe(spark: SparkSession, d: str) -> DataFrame:
+    # Each distinct piece is merged once, and its symbols weigh as often as it occurs.
+    counts = table(spark, d, "documents").select("lang", F.explode(tokenizers.pieces(F.col("text"))).alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("c"))
+    symbols = F.filter(F.split(F.translate(tokenizers.replay(F.col("piece"), MERGES), tokenizers.RIGHT, ""), tokenizers.LEFT), lambda x: x != "")
+    tokens = counts.select("lang", "c", F.explode(symbols).alias("token")).groupBy("lang", "token").agg(F.sum("c").alias("c"))
+    return rounded(entropy.renyi(tokens, ["lang"], [0.5, 2.0, 3.0], 50000))
+
+
+@query()
+def bpe_train(spark: SparkSession, d: str) -> DataFrame:
+    return training.train_bpe(table(spark, d, "benchmark"), 150).table(spark)
+
+
+@query()
+def unigram_train(spark: SparkSession, d: str) -> DataFrame:
+    model = training.train_unigram(table(spark, d, "benchmark"), 200)
+    return spark.createDataFrame(sorted(model.logs.items()), "piece string, log_prob double")
+
+
+@query("SELECT arm, count(*) AS n, count(*) AS n_tiling FROM documents, (VALUES ('char'), ('word')) AS a(arm) GROUP BY arm")
+def span_tiling(spark: SparkSession, d: str) -> DataFrame:
+    arms = {a.name: a for a in (tokenizers.CHAR, tokenizers.WORD)}
+    docs = table(spark, d, "documents").select("text")
+    held = F.array(*(F.struct(F.lit(n).alias("arm"), tokenizers.spans_tile_column(F.col("text"), a.spans(F.col("text"))).alias("ok")) for n, a in arms.items()))
+    return docs.select(F.explode(held).alias("a")).groupBy("a.arm").agg(F.count("*").alias("n"), F.count_if("a.ok").alias("n_tiling"))
+
+
+# --- boundaries --------------------------------------------------------------------
+
+WORDS = f"""ws AS (SELECT doc_id, unnest({w("text")}) AS word FROM documents), dw AS (SELECT DISTINCT doc_id, lower(word) AS word FROM ws),
+b AS (SELECT doc_id, word, CASE WHEN length(word) < 3 THEN NULL WHEN regexp_matches(word, '{SUFFIX}') THEN [length(word) - length(regexp_extract(word, '{SUFFIX}'))] ELSE []::BIGINT[] END AS gold,
+  list_filter(generate_series(1, length(word) - 1), lambda i: i % 4 = 0) AS predicted FROM dw)"""
+
+
+def gold_words(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct words of each document, with suffix boundaries as gold and a cut every
+    four characters as prediction."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word")).select("doc_id", F.lower("word").alias("word")).distinct()
+    n = F.length("word")
+    cut = n - F.length(F.regexp_extract("word", SUFFIX, 0))
+    empty = F.array().cast("array<int>")
+    gold = F.when(n < 3, F.lit(None).cast("array<int>")).when(F.col("word").rlike(SUFFIX), F.array(cut)).otherwise(empty)
+    cuts = F.when(n > 1, F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i % 4 == 0)).otherwise(empty)
+    return rows.select("doc_id", "word", gold.alias("gold"), cuts.alias("predicted"))
+
+
+@query(f"""WITH {WORDS}, t AS (SELECT count(*) AS n_words, count(*) FILTER (gold IS NULL) AS n_excluded, sum(len(list_intersect(predicted, gold))) FILTER (gold IS NOT NULL)::BIGINT AS n_matched, sum(len(predicted)) FILTER (gold IS NOT NULL)::BIGINT AS n_predicted, sum(len(gold))::BIGINT AS n_gold FROM b),
+pr AS (SELECT *, n_matched::DOUBLE / nullif(n_predicted, 0) AS p, n_matched::DOUBLE / nullif(n_gold, 0) AS r FROM t)
+SELECT 'all' AS subset, n_words, n_excluded, n_matched, n_predicted, n_gold, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM pr""")
+def morphscore_exact(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).withColumn("subset", F.lit("all"))
+    return rounded(morphology.boundary_scores(rows, ["subset"], "predicted", "gold"))
+
+
+@query()
+def morphscore_tol1(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).withColumn("subset", F.lit("all"))
+    return rounded(morphology.boundary_scores(rows, ["subset"], "predicted", "gold", 1))
+
+
+@query(f"""WITH {WORDS}, sp AS (SELECT word, gold, list_transform(generate_series(0, (length(word) - 1) // 4), lambda i: {{'s': i * 4, 'e': least(i * 4 + 4, length(word))}}) AS spans FROM b WHERE gold IS NOT NULL)
+SELECT 'all' AS subset, count(*) AS n_words, sum(len(spans))::BIGINT AS n_tokens, sum(len(gold))::BIGINT AS n_boundaries, sum(len(list_filter(spans, lambda x: len(list_filter(gold, lambda g: x.s < g AND g < x.e)) > 0)))::BIGINT AS n_violating_tokens,
+  sum(len(list_filter(gold, lambda g: len(list_filter(spans, lambda x: x.s < g AND g < x.e)) > 0)))::BIGINT AS n_violated_boundaries,
+  round(sum(len(list_filter(gold, lambda g: len(list_filter(spans, lambda x: x.s < g AND g < x.e)) > 0)))::DOUBLE / nullif(sum(len(gold)), 0), 9) AS violations_per_boundary FROM sp""")
+def boundary_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).where("gold is not null").withColumn("subset", F.lit("all"))
+    n = F.length("word")
+    spans = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda i: F.struct((i * 4).alias("start"), F.least(i * 4 + 4, n).alias("end")))
+    return rounded(morphology.merge_violations(rows.withColumn("spans", spans), ["subset"], "spans", "gold"))
+
+
+@query(f"""WITH {WORDS} SELECT doc_id, word, word AS plain, gold::INTEGER[] AS offsets, CASE WHEN len(gold) = 1 THEN substr(word, 1, gold[1]) || chr(31) || substr(word, gold[1] + 1) ELSE word END AS marked FROM b WHERE gold IS NOT NULL""")
+def strip_markers(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).where("gold is not null")
+    rows = rows.withColumn("marked", X.mark(F.col("word"), F.col("gold"), morphology.MARKER))
+    plain, offsets = X.strip_markers(F.col("marked"), morphology.MARKER)
+    return rows.select("doc_id", "word", plain.alias("plain"), offsets.alias("offsets"), "marked")
+
+
+LEMMA = "regexp_replace(word, '(ing|ed|en|er)$', 'a')"
+LCP = f"list_max(list_filter(generate_series(0, least(length(word), length({LEMMA}))), lambda i: substr(word, 1, i) = substr({LEMMA}, 1, i)))"
+FUSED = "(cut = length(lemma) - 1 AND cut < length(word) AND regexp_matches(right(lemma, 1), '^[aAiIuUfFxXeEoO]$') AND regexp_matches(substr(word, cut + 1, 1), '^[aAiIuUfFxXeEoO]$'))"
+
+
+@query(f"""WITH {WORDS}, l AS (SELECT word, {LEMMA} AS lemma, {LCP} AS cut FROM b), g AS (SELECT *, CASE WHEN cut < 2 OR cut >= length(word) OR lemma IN ('', '_') THEN NULL ELSE cut END AS lcp FROM l),
+r AS (SELECT 'lcp' AS rule, word, lemma, lcp AS cut FROM g UNION ALL SELECT 'sandhi_aware', word, lemma, CASE WHEN cut = length(lemma) OR {FUSED} THEN lcp END FROM g)
+SELECT rule, count(*) AS n_segments, count(cut) AS n_cuts, count(*) FILTER (cut < length(lemma)) AS n_inside_lemma, count(*) FILTER (cut < length(lemma) AND {FUSED}) AS n_fused,
+  round(count(*) FILTER (cut < length(lemma))::DOUBLE / nullif(count(cut), 0), 9) AS fraction_inside_lemma, round(count(*) FILTER (cut < length(lemma) AND {FUSED})::DOUBLE / nullif(count(cut), 0), 9) AS fraction_fused FROM r GROUP BY rule""")
+def stem_audit(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).select("word", F.regexp_replace("word", "(ing|ed|en|er)$", "a").alias("lemma"), F.lit("").alias("upos"))
+    return rounded(morphology.stem_audit(rows, "word", "lemma", "upos"))
+
+
+@query()
+def morphscore_delta_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Paired F1 difference of two cut rules over documents, by NumPy's generator."""
+    import pandas as pd
+
+    rows = gold_words(spark, d).where("gold is not null")
+    other = F.filter("predicted", lambda i: i % 8 == 0)
+    per = rows.groupBy("doc_id").agg(
+        *(F.sum(c).cast("long").alias(n) for n, c in (("am", F.size(F.array_intersect("predicted", "gold"))), ("ap", F.size("predicted")), ("ag", F.size("gold")), ("bm", F.size(F.array_intersect(other, F.col("gold")))), ("bp", F.size(other)), ("bg", F.size("gold"))))
+    ).withColumn("subset", F.lit("all"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id")
+        value, low, high = bootstrap.stream_f1_delta(group[["am", "ap", "ag"]].to_numpy(), group[["bm", "bp", "bg"]].to_numpy(), 200, 7, 0.95)
+        return pd.DataFrame([[group["subset"].iloc[0], value, low, high]], columns=["subset", "delta", "ci_low", "ci_high"])
+
+    return per.groupBy("subset").applyInPandas(run, "subset string, delta double, ci_low double, ci_high double")
+
+
+@query()
+def aligned_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = gold_words(spark, d).where("size(gold) = 1").select("word", "gold").distinct()
+    cut = F.col("gold")[0]
+    segments = F.array(F.substring("word", F.lit(1), cut), F.concat(F.lit("a"), F.substring("word", cut + 1, F.length("word"))))
+    return rows.select("word", morphology.aligned_offsets(F.col("word"), segments).alias("offsets"))
+
+
+@query()
+def reconciled_turns(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d)
+    model = F.regexp_replace(F.regexp_replace("src", r"[.,]", ""), r"(ing|tion)\b", " $1")
+    return rows.select("conv_id", "idx", morphology.reconciled(F.col("src"), model).alias("r")).select("conv_id", "idx", "r.*")
+
+
+SPLIT_TURN = "regexp_replace(src, '[.,]', '', 'g')"
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT conv_id * 1000 + idx AS id, src, {SPLIT_TURN} AS o FROM pairs),
+ch AS (SELECT id, c, -1 AS d FROM (SELECT id, unnest(string_split(regexp_replace(src, '\\s', '', 'g'), '')) AS c FROM t) UNION ALL SELECT id, c, 1 FROM (SELECT id, unnest(string_split(regexp_replace(o, '\\s', '', 'g'), '')) AS c FROM t)),
+r AS (SELECT id, c, sum(d) AS d, regexp_matches(c, '^\\p{{L}}$') AS l FROM ch GROUP BY id, c), g AS (SELECT c, l, sum(d) AS d FROM r GROUP BY ALL),
+a AS (SELECT sum(length(regexp_replace(src, '[^\\p{{L}}]', '', 'g')))::BIGINT AS letters_raw, sum(length(regexp_replace(o, '[^\\p{{L}}]', '', 'g')))::BIGINT AS letters_out FROM t)
+SELECT letters_raw, letters_out, (SELECT coalesce(sum(-d) FILTER (l AND d < 0), 0)::BIGINT FROM r) AS letters_lost_gross, (SELECT coalesce(sum(d) FILTER (l AND d > 0), 0)::BIGINT FROM r) AS letters_gained_gross,
+  (SELECT coalesce(sum(-d) FILTER (NOT l AND d < 0), 0)::BIGINT FROM r) AS others_lost_gross, (SELECT coalesce(sum(d) FILTER (NOT l AND d > 0), 0)::BIGINT FROM r) AS others_gained_gross,
+  (SELECT coalesce(sum(-d) FILTER (l AND d < 0), 0)::BIGINT FROM g) AS letters_lost_net, (SELECT coalesce(sum(d) FILTER (l AND d > 0), 0)::BIGINT FROM g) AS letters_gained_net,
+  (SELECT coalesce(sum(-d) FILTER (NOT l AND d < 0), 0)::BIGINT FROM g) AS others_lost_net, (SELECT coalesce(sum(d) FILTER (NOT l AND d > 0), 0)::BIGINT FROM g) AS others_gained_net, round(letters_out::DOUBLE / nullif(letters_raw, 0), 9) AS letter_retention FROM a""")
+def text_invariants(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("idx")).alias("id"), "src", F.regexp_replace("src", "[.,]", "").alias("o"))
+    return rounded(morphology.text_invariants(rows, "id", "src", "o"))
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT sum(strlen(src))::BIGINT AS tokens_raw, sum(strlen({SPLIT_TURN}))::BIGINT AS tokens_without_lost, sum(strlen({SPLIT_TURN}))::BIGINT AS tokens_out FROM pairs)
+SELECT *, tokens_raw - tokens_out AS tokens_saved, tokens_raw - tokens_without_lost AS deletion_tokens, CASE WHEN tokens_raw > tokens_out THEN round((tokens_raw - tokens_without_lost)::DOUBLE / (tokens_raw - tokens_out), 9) END AS deletion_share FROM t""")
+def deletion_cost(spark: SparkSession, d: str) -> DataFrame:
+    rows = pairs(spark, d).select("src", F.regexp_replace("src", "[.,]", "").alias("o"))
+    return rounded(morphology.deletion_cost(rows, lambda c: ARMS["byte"](c).cast("long"), "src", "o"))
+
+
+# --- runs --------------------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS n_lines, sum(strlen(text) + 1)::BIGINT AS n_tokens, max(strlen(text) + 1)::BIGINT AS longest FROM documents GROUP BY source")
+def encode_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    encoded = tokenizers.encode_corpus(docs.select("doc_id", "text"), tokenizers.byte_ids(F.col("text")), 256, 257, "doc_id")
+    sized = encoded.select("doc_id", F.size("ids").cast("long").alias("n")).join(docs.select("doc_id", "source"), "doc_id")
+    return sized.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+
+
+@query(f"""WITH c AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest({w("text")}) AS word FROM documents) GROUP BY ALL), t AS (SELECT lang, sum(c) AS total, sum(c * length(word)) AS chars FROM c GROUP BY lang)
+SELECT c.lang, sum(c.c)::BIGINT AS n_tokens, round(sum(-c.c * ln(c.c / t.total::DOUBLE)), 6) AS total_nats, round(sum(-c.c * ln(c.c / t.total::DOUBLE)) / ln(2) / sum(c.c * length(c.word)), 9) AS bits_per_char FROM c JOIN t USING (lang) GROUP BY c.lang""")
+def bits_per_char_unigram(spark: SparkSession, d: str) -> DataFrame:
+    counts = entropy.unigram_counts(table(spark, d, "documents"), ["lang"], X.words(F.col("text")))
+    rows = runs.unigram_bits(counts, ["lang"])
+    return rows.select("lang", "n_tokens", F.round("total_nats", 6).alias("total_nats"), F.round("bits_per_char", 9).alias("bits_per_char"))
+
+
+@query(f"""WITH t AS (SELECT lang, source, sum(strlen(text)) AS b, sum(strlen(text))::DOUBLE / sum(len({w("text")})) AS bpt FROM documents GROUP BY ALL), p AS (SELECT lang, round_even(b * 2 / bpt, 0)::BIGINT AS tokens FROM t)
+SELECT lang, count(*) AS n_runs, sum(tokens)::BIGINT AS tokens, round(sum(tokens) / 52214400.0::DOUBLE, 9) AS hours FROM p GROUP BY ROLLUP (lang)""")
+def token_budget_plan(spark: SparkSession, d: str) -> DataFrame:
+    sizes = ratios.compression(table(spark, d, "documents"), ["lang", "source"], ARMS["word"])
+    rows = sizes.select("lang", runs.token_budget(F.col("n_bytes") * 2, F.col("n_bytes") / F.col("n_tokens")).alias("tokens"))
+    return rounded(runs.plan_table(rows, "lang", "tokens", 14504.0))
+
+
+@query(f"WITH {CURVES}, b AS (SELECT arm, seed, min(value) AS best FROM curves WHERE value IS NOT NULL GROUP BY ALL) SELECT b.arm, b.seed, b.best, min(c.step)::INTEGER AS best_step FROM b JOIN curves c ON c.arm = b.arm AND c.seed = b.seed AND c.value = b.best GROUP BY ALL")
+def best_bpc(spark: SparkSession, d: str) -> DataFrame:
+    return runs.best(curves(spark, d), ["arm", "seed"], "value", "step")
+
+
+@query(f"WITH {CURVES}, f AS (SELECT arm, seed, step, value, row_number() OVER (PARTITION BY arm, seed ORDER BY step) AS k FROM curves WHERE value <= 5.0) SELECT arm, seed, step::INTEGER AS crossing_step, value AS crossing_value FROM f WHERE k = 1")
+def first_crossing(spark: SparkSession, d: str) -> DataFrame:
+    return runs.first_crossing(curves(spark, d), ["arm", "seed"], "value", "step", F.lit(5.0))
+
+
+@query(f"WITH {CURVES} SELECT arm, step::INTEGER AS step, count(*) AS n, trunc(avg(step * 64))::BIGINT AS tokens_seen, round(avg(value), 9) AS value FROM curves GROUP BY ALL")
+def mean_curve(spark: SparkSession, d: str) -> DataFrame:
+    rows = curves(spark, d).withColumn("tokens_seen", F.col("step") * 64)
+    return rounded(runs.mean_curve(rows, ["arm"], "step", ["tokens_seen"], ["value"]))
+
+
+@query(f"WITH {CURVES}, b AS (SELECT arm, seed, min(value) AS v FROM curves GROUP BY ALL) SELECT arm, count(*) AS n_runs, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM b GROUP BY arm")
+def seed_stats(spark: SparkSession, d: str) -> DataFrame:
+    lows = curves(spark, d).groupBy("arm", "seed").agg(F.min("value").alias("v"))
+    return rounded(runs.seed_stats(lows, ["arm"], "v"))
+
+
+@query(f"WITH {CURVES} SELECT arm, seed, min_by(value, step) AS first, max_by(value, step) AS last, min(value) AS lowest, count(*) AS n FROM curves WHERE step <= 200 GROUP BY ALL")
+def curve_summary(spark: SparkSession, d: str) -> DataFrame:
+    return runs.last_and_first(runs.until(curves(spark, d), "step", 200), ["arm", "seed"], "value", "step")
+
+
+@query(f"""WITH {CURVES}, b AS (SELECT arm, seed, min(value) AS v FROM curves GROUP BY ALL), t AS (SELECT seed, v AS threshold FROM b WHERE arm = (SELECT min(arm) FROM b)), c AS (SELECT arm, c.seed, min(step) AS step FROM curves c JOIN t USING (seed) WHERE value <= threshold * 1.5 GROUP BY ALL)
+SELECT arm, seed, step::INTEGER AS crossing_step FROM c""")
+def reference_crossings(spark: SparkSession, d: str) -> DataFrame:
+    rows = curves(spark, d)
+    lows = rows.groupBy("arm", "seed").agg(F.min("value").alias("v"))
+    first = lows.agg(F.min("arm").alias("arm"))
+    thresholds = lows.join(F.broadcast(first), "arm").select("seed", F.col("v").alias("threshold"))
+    joined = rows.join(F.broadcast(thresholds), "seed")  # a row per seed
+    return runs.first_crossing(joined, ["arm", "seed"], "value", "step", F.col("threshold") * 1.5).select("arm", "seed", "crossing_step")
+
+
+@query("""WITH a(arm, family, vocab) AS (VALUES ('byte', 'byte', 256), ('char', 'char', 0), ('word', 'word', 0)), p(first, second) AS (VALUES ('byte', 'char'), ('char', 'word'), ('word', 'none'))
+SELECT p.first, p.second, CASE WHEN x.arm IS NULL OR y.arm IS NULL THEN 'missing' WHEN x.vocab IS DISTINCT FROM y.vocab THEN 'differs in vocab' END AS problem FROM p LEFT JOIN a x ON x.arm = p.first LEFT JOIN a y ON y.arm = p.second""")
+def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
+    arms = spark.createDataFrame([("byte", "byte", 256), ("char", "char", 0), ("word", "word", 0)], "arm string, family string, vocab int")
+    wanted = spark.createDataFrame([("byte", "char"), ("char", "word"), ("word", "none")], "first string, second string")
+    return runs.check_pairs(wanted, arms, ["vocab"])
+
+
+@query("""WITH r AS (SELECT t, s, a, k FROM (VALUES ('one'), ('two')) AS x(t), (VALUES ('small'), ('large')) AS y(s), (VALUES ('byte'), ('char'), ('word')) AS z(a), (VALUES (0), (1), (2)) AS q(k))
+SELECT t AS track, s AS size, a AS arm, k AS seed FROM r WHERE NOT (t = 'one' AND k = 0)""")
+def pending_runs(spark: SparkSession, d: str) -> DataFrame:
+    def dim(name: str, values: list) -> DataFrame:
+        return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+    planned = runs.enumerate_runs(dim("track", ["one", "two"]), dim("size", ["small", "large"]), dim("arm", ["byte", "char", "word"]), dim("seed", [0, 1, 2]))
+    return runs.pending(planned, planned.where("track = 'one' and seed = 0"), ["track", "size", "arm", "seed"])
+
+
+@query("SELECT step::INTEGER AS step, round(CASE WHEN step < 20 THEN 0.001 * (step + 1) / 20.0 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * least((step - 20) / 180.0, 1.0))) END, 9) AS rate FROM range(250) AS r(step)")
+def learning_rates(spark: SparkSession, d: str) -> DataFrame:
+    steps = spark.range(250).select(F.col("id").cast("int").alias("step"))
+    return rounded(steps.select("step", M.learning_rate(F.col("step"), 0.001, 0.0001, 20, 200).alias("rate")))
+
+
+@query(f"WITH {PAIRS}, {ARM_PARTS}, v AS (SELECT arm, sum(source)::DOUBLE / sum(pivot) AS x FROM parts GROUP BY arm) SELECT list(round(x, 9) ORDER BY arm) AS values, 'turns' AS corpus FROM v")
+def ratio_progression(spark: SparkSession, d: str) -> DataFrame:
+    rows = rounded(ratios.pooled(arm_parts(spark, d), ["arm"])).withColumn("corpus", F.lit("turns"))
+    return runs.progression(rows, ["corpus"], "arm", "value")
