@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import MB, new_path
 
-ARCHIVE_BYTES = 32 * MB
+ARCHIVE_RECORDS = 10_000
 LEAST_SHARED = 100
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16 * 1024
@@ -56,7 +56,7 @@ def _record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
 
 
-def record(kind: str, page_id: str | None, url: str | None, digest: str, refers_to: str | None, payload: bytes) -> bytes:
+def record(kind: str, page_id: str | None, url: str | None, digest: str, refers_to: str | None, payload: bytes, size: int) -> bytes:
     """One WARC record.  A revisit has an empty block and its payload's length and
     digest in its headers."""
     block = b"" if kind == "revisit" else payload
@@ -68,7 +68,7 @@ def record(kind: str, page_id: str | None, url: str | None, digest: str, refers_
         lines.append(f"X-Page-ID: {page_id}")
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {len(payload)}"]
+        lines += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {size}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -180,7 +180,7 @@ def make_dictionary(samples: list[bytes]) -> bytes:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         plain = b"".join(samples)[-DICTIONARY_BYTES:]
-        return plain + record("response", "0", "https://", "0" * 64, None, b"")
+        return plain + record("response", "0", "https://", "0" * 64, None, b"", 0)
 
 
 def _frames(dictionary: bytes):
@@ -189,13 +189,15 @@ def _frames(dictionary: bytes):
 
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        count = 0  # the text writer begins a new file at the same records
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 out = []
-                for kind, page_id, url, digest, refers_to, payload in zip(*(batch.column(i).slice(s, 256).to_pylist() for i in range(6))):
+                for kind, page_id, url, digest, refers_to, payload, size in zip(*(batch.column(i).slice(s, 256).to_pylist() for i in range(7))):
                     # The reader walks frames, so a separator inside one does no harm.
-                    out.append(lead + encoder.compress(record(kind, page_id, url, digest, refers_to, payload)))
-                    lead = b""
+                    frame = encoder.compress(record(kind, page_id, url, digest, refers_to, payload, size))
+                    out.append(frame if count % ARCHIVE_RECORDS else lead + frame)
+                    count += 1
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["frame"])
 
     return run
@@ -218,17 +220,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         "url",
         "digest",
         F.when(again, F.col("least")).cast("string").alias("refers_to"),
-        "payload",
+        F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
+        "size",
     )
     picked = base.select(F.xxhash64("digest", "id").alias("h"), "id", "digest").orderBy("h", "digest").limit(SAMPLE_ROWS).select("digest").distinct()
     samples = base.join(F.broadcast(picked), "digest", "left_semi").dropDuplicates(["digest"])
     samples = samples.select("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("start")).collect()
     dictionary = make_dictionary([bytes(r["start"]) for r in sorted(samples, key=lambda r: r["digest"])])
-    total = base.agg(F.sum(F.col("size") + 500)).first()[0] or 0
-    count = max(1, -(-int(total) // ARCHIVE_BYTES))
-    dealt = rows.repartition(count, F.xxhash64("page_id", "digest", "url"))
-    frames = dealt.mapInArrow(_frames(dictionary), "frame binary").select(F.col("frame").cast("string").alias("frame"))
-    frames.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 0).text(path)
+    frames = rows.mapInArrow(_frames(dictionary), "frame binary").select(F.col("frame").cast("string").alias("frame"))
+    frames.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
