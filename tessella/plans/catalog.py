@@ -642,11 +642,11 @@ def encode_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest({w("text")}) AS word FROM documents) GROUP BY ALL), t AS (SELECT lang, sum(c) AS total, sum(c * length(word)) AS chars FROM c GROUP BY lang)
-SELECT c.lang, sum(c.c)::BIGINT AS n_tokens, round(sum(-c.c * ln(c.c / t.total::DOUBLE)), 6) AS total_nats, round(sum(-c.c * ln(c.c / t.total::DOUBLE)) / ln(2) / sum(c.c * length(c.word)), 9) AS bits_per_char FROM c JOIN t USING (lang) GROUP BY c.lang""")
+SELECT c.lang, sum(c.c)::BIGINT AS n_tokens, round(sum(-c.c * ln(c.c / t.total::DOUBLE)), 3) AS total_nats, round(sum(-c.c * ln(c.c / t.total::DOUBLE)) / ln(2) / sum(c.c * length(c.word)), 9) AS bits_per_char FROM c JOIN t USING (lang) GROUP BY c.lang""")
 def bits_per_char_unigram(spark: SparkSession, d: str) -> DataFrame:
     counts = entropy.unigram_counts(table(spark, d, "documents"), ["lang"], X.words(F.col("text")))
     rows = runs.unigram_bits(counts, ["lang"])
-    return rows.select("lang", "n_tokens", F.round("total_nats", 6).alias("total_nats"), F.round("bits_per_char", 9).alias("bits_per_char"))
+    return rows.select("lang", "n_tokens", F.round("total_nats", 3).alias("total_nats"), F.round("bits_per_char", 9).alias("bits_per_char"))
 
 
 @query(f"""WITH t AS (SELECT lang, source, sum(strlen(text)) AS b, sum(strlen(text))::DOUBLE / sum(len({w("text")})) AS bpt FROM documents GROUP BY ALL), p AS (SELECT lang, round_even(b * 2 / bpt, 0)::BIGINT AS tokens FROM t)
