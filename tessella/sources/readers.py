@@ -34,7 +34,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file, idx, line`` of text files read whole; lines end at ``\\n`` only, and a
     final line end makes no extra line."""
     paths = [path] if isinstance(path, str) else list(path)
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     body = F.regexp_replace("value", "\n$", "")
     return whole.where("value != ''").select("file", F.posexplode(F.split(body, "\n")).alias("idx", "line")).withColumn("idx", F.col("idx").cast("long"))
 
