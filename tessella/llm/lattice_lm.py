@@ -40,7 +40,10 @@ PASSES = 3
 SMOOTH = 0.1
 LONGEST = 24  # bytes of the longest piece taken from a vocabulary
 LONG_WORD = 512  # bytes; longer words are scored one at a time
-CACHE = 1 << 19
+CACHE = 1 << 21
+SLOT_BITS = 20
+#: Bytes of text whose new words go through the lattice together.
+SLICE = 1 << 20
 NONE = -np.inf
 _MARK = 0x20  # the byte that leads a word
 
@@ -78,61 +81,55 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         self.logs = logs
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        starts = ends - [len(p) for p in pieces]
-        self.lengths = sorted({len(p) for p in pieces})
-        self.up = W.power_table(W.BASE, LONG_WORD + 2)
-        self.down = W.power_table(W.INVERSE, LONG_WORD + 2)
-        keys = np.array([self._key(data[s:e]) for s, e in zip(starts, ends)], U64)
-        self.bits = max(8, math.ceil(math.log2(max(1, len(pieces)) * 8)))
-        # Sorted keys, with each bucket's first place: a probe is a short run.
-        bucket = (keys >> U64(64 - self.bits)).astype(np.int64)
+        size = np.array([len(p) for p in pieces])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        self.lengths = sorted(set(size.tolist()))
+        self.up = W.power_table(W.BASE, len(data) + 1)
+        self.down = W.power_table(W.INVERSE, len(data) + 1)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * self.up[: len(data)])])
+        keys = self._mixed((sums[start + size] - sums[start]) * self.down[start], size)
         order = np.argsort(keys)
         self.sorted, self.ids = keys[order], order
-        self.first = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
-        self.deep = int(np.diff(self.first).max(initial=0))
-
-    def _key(self, piece: np.ndarray) -> np.uint64:
-        total = 0
-        for i, b in enumerate(piece.tolist()):
-            total = (total + (b + 1) * int(self.up[i])) & ((1 << 64) - 1)
-        return W.mix(np.array([total + len(piece) * 0x632BE59BD9B4E019 & ((1 << 64) - 1)], U64))[0]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The piece number of each key, -1 where there is none."""
-        at = self.first[(keys >> U64(64 - self.bits)).astype(np.int64)]
-        out = np.full(len(keys), -1, np.int64)
-        last = len(self.sorted) - 1
-        for step in range(self.deep):
-            spot = np.minimum(at + step, last)
-            same = self.sorted[spot] == keys
-            out[same] = self.ids[spot[same]]
-        return out
+        # One byte per slot says whether any piece may have the key: most have not.
+        self.maybe = np.zeros(1 << SLOT_BITS, bool)
+        self.maybe[(keys >> U64(64 - SLOT_BITS)).astype(np.intp)] = True
+
+    @staticmethod
+    def _mixed(raw: np.ndarray, length) -> np.ndarray:
+        """A byte range's key: its hash spread over the upper bits, told apart by length."""
+        return (raw + np.asarray(length).astype(U64) * U64(0x632BE59BD9B4E019)) * U64(0xD6E8FEB86659FD93)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys that are pieces, and the pieces."""
+        at = np.flatnonzero(self.maybe[(keys >> U64(64 - SLOT_BITS)).astype(np.intp)])
+        held = keys[at]
+        spot = np.minimum(np.searchsorted(self.sorted, held), len(self.sorted) - 1)
+        same = self.sorted[spot] == held
+        return at[same], self.ids[spot[same]]
 
     def edges(self, text: np.ndarray):
-        """For words of one length (rows of bytes): ``(start, length, piece)`` with
-        ``piece`` a column over the words."""
+        """For words of one length (rows of bytes): ``(start, length, rows, pieces)``
+        in the order of their starts."""
         n, size = text.shape
-        sums = np.zeros((n, size + 1), U64)
-        np.cumsum((text.astype(U64) + U64(1)) * self.up[:size], axis=1, out=sums[:, 1:])
+        # positions by rows: a range's sums of all words lie side by side
+        sums = np.zeros((size + 1, n), U64)
+        np.cumsum((text.T.astype(U64) + U64(1)) * self.up[:size, None], axis=0, out=sums[1:])
         for start in range(size):
-            down = self.down[start]
             for length in self.lengths:
                 if start + length > size:
                     break
-                raw = (sums[:, start + length] - sums[:, start]) * down + U64(length * 0x632BE59BD9B4E019 & ((1 << 64) - 1))
-                yield start, length, self.find(W.mix(raw))
+                rows, piece = self.find(self._mixed((sums[start + length] - sums[start]) * self.down[start], length))
+                if len(rows):
+                    yield start, length, rows, piece
 
     def forward(self, text: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations of each word."""
         n, size = text.shape
         alpha = np.full((size + 1, n), NONE)
         alpha[0] = 0.0
-        padded = np.append(self.logs, NONE)
-        for start, length, piece in self.edges(text):
-            have = np.flatnonzero(piece >= 0)
-            if len(have):
-                alpha[start + length, have] = np.logaddexp(alpha[start + length, have], alpha[start, have] + padded[piece[have]])
+        for start, length, rows, piece in self.edges(text):
+            end = alpha[start + length]
+            end[rows] = np.logaddexp(end[rows], alpha[start][rows] + self.logs[piece])
         return alpha[size]
 
     def expected(self, text: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
@@ -142,17 +139,19 @@ class Lattice:
         beta = np.full((size + 1, n), NONE)
         alpha[0], beta[size] = 0.0, 0.0
         found = []
-        for start, length, piece in self.edges(text):
-            have = np.flatnonzero(piece >= 0)
-            if len(have):
-                found.append((start, length, have, piece[have], self.logs[piece[have]]))
-                alpha[start + length, have] = np.logaddexp(alpha[start + length, have], alpha[start, have] + found[-1][4])
-        for start, length, have, _, log in reversed(found):
-            beta[start, have] = np.logaddexp(beta[start, have], beta[start + length, have] + log)
+        for start, length, rows, piece in self.edges(text):
+            log = self.logs[piece]
+            end = alpha[start + length]
+            end[rows] = np.logaddexp(end[rows], alpha[start][rows] + log)
+            found.append((start, length, rows, piece, log))
         whole = alpha[size]
-        for start, length, have, piece, log in found:
-            share = np.exp(alpha[start, have] + log + beta[start + length, have] - whole[have])
-            into += np.bincount(piece, weights=share * weight[have], minlength=len(into))
+        for start, length, rows, piece, log in reversed(found):
+            through = log + beta[start + length][rows]
+            here = beta[start]
+            here[rows] = np.logaddexp(here[rows], through)
+            # the part of the word's probability that passes over this edge
+            share = np.exp(alpha[start][rows] + through - whole[rows])
+            np.add.at(into, piece, share * weight[rows])
 
     def _stretch(self, word: np.ndarray, lo: int, hi: int) -> list[list[tuple[int, int]]]:
         """``(length, piece)`` of each piece that starts at lo..hi-1 of a long word."""
@@ -165,10 +164,9 @@ class Lattice:
             starts = np.arange(min(hi - lo, len(text) - length + 1))
             if not len(starts):
                 break
-            raw = (sums[starts + length] - sums[starts]) * down[starts] + U64(length * 0x632BE59BD9B4E019 & ((1 << 64) - 1))
-            piece = self.find(W.mix(raw))
-            for i in np.flatnonzero(piece >= 0).tolist():
-                out[i].append((length, int(piece[i])))
+            at, piece = self.find(self._mixed((sums[starts + length] - sums[starts]) * down[starts], length))
+            for i, p in zip(at.tolist(), piece.tolist()):
+                out[i].append((length, p))
         return out
 
     def long_word(self, word: np.ndarray, weight: float = 0.0, into: np.ndarray | None = None) -> float:
@@ -281,9 +279,28 @@ def fit(counts: DataFrame, pieces: list[bytes], scores: np.ndarray, passes: int
     return logs
 
 
-def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray, known: np.ndarray):
+def _head_scores(pieces: list[bytes], logs: np.ndarray):
+    """Words -> the log of their summed segmentations."""
+
+    def run(batches):
+        lattice = Lattice(pieces, logs)
+        for batch in batches:
+            data, start, end = _word_arrays(batch.column(1))
+            out = np.empty(len(start))
+            short = np.flatnonzero(end - start < LONG_WORD)
+            for at, text in _by_length(start[short], end[short], data):
+                out[short[at]] = lattice.forward(text)
+            for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+                out[i] = lattice.long_word(np.append(np.uint8(_MARK), data[start[i] : end[i]]))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out)], names=["h", "c", "log"])
+
+    return run
+
+
+def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray, known: np.ndarray, scores: np.ndarray):
     """Documents -> a row each with its lattice score and what the ``HEAD`` words add
-    to the base; other words follow, a row per document and word, for the join."""
+    to the base; other words follow, a row per document and word, for the join.
+    ``keys``: the head's hashes in order, with ``known`` (base) and ``scores``."""
 
     def word_scores(lattice: Lattice, words: W.Words, at: np.ndarray) -> np.ndarray:
         start, end = words.start[at], words.end[at]
@@ -298,29 +315,41 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
     def run(batches):
         lattice = Lattice(pieces, logs)
         cache_key, cache = np.zeros(CACHE, U64), np.zeros(CACHE)
+        bucket = np.searchsorted(keys >> U64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=U64))
+        deep = int(np.diff(bucket).max(initial=0))
         names = ["out_id", "part", "h", "n", "n_known", "base", "score", "held_out"]
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(2))
             data = W.LOWER[data]
             part = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, z in W.slices(offsets):
+            for a, z in W.slices(offsets, SLICE):
                 words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
                 rows, h, row = z - a, words.hashes(), words.row_of()
-                slot = (h & U64(CACHE - 1)).astype(np.int64)
-                value = cache[slot]
-                miss = np.flatnonzero(cache_key[slot] != h)
+                place = (h >> U64(64 - SLOT_BITS)).astype(np.intp)
+                spot = bucket[place]
+                # a bucket of the head's table holds a word or two: look at them in turn
+                in_head = np.zeros(len(h), bool)
+                for step in range(deep):
+                    there = np.minimum(bucket[place] + step, max(len(keys) - 1, 0))
+                    same = (keys[there] == h) if len(keys) else in_head
+                    spot[same] = there[same]
+                    in_head |= same
+                value = np.empty(len(h))
+                value[in_head] = scores[spot[in_head]]
+                rest = np.flatnonzero(~in_head)
+                slot = (h[rest] & U64(CACHE - 1)).astype(np.intp)
+                value[rest] = cache[slot]
+                miss = rest[cache_key[slot] != h[rest]]
                 if len(miss):
                     new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
                     logp = word_scores(lattice, words, miss[at])
                     value[miss] = logp[back]
-                    where = (new & U64(CACHE - 1)).astype(np.int64)
+                    where = (new & U64(CACHE - 1)).astype(np.intp)
                     # of several new words in one slot the last stays, key and value alike
                     cache_key[where] = new
                     kept = cache_key[where] == new
                     cache[where[kept]] = logp[kept]
                 score = np.bincount(row, weights=value, minlength=rows) / math.log(10) + model["end_log10"]
-                spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                in_head = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
                 base = np.bincount(row[in_head], weights=known[spot[in_head]], minlength=rows) if len(keys) else np.zeros(rows)
                 ids, own, held = (batch.column(i).slice(a, rows) for i in (0, 1, 3))
                 spread = W.mix(part[a:z].view(U64) + np.arange(a, z).astype(U64))
@@ -335,7 +364,6 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
                     held,
                 ]
                 yield pa.record_batch(columns, names=names)
-                rest = np.flatnonzero(~in_head)
                 if len(rest):
                     order = rest[np.lexsort((h[rest], row[rest]))]
                     new = np.ones(len(order), bool)
@@ -368,7 +396,7 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     tokens, types = n_words + n_train, sums["v"] + (1 if n_train else 0)
     shift = math.log10(tokens + types + 1)
     logs = fit(counts, pieces, scores)
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toPandas()
+    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "word", "c").mapInArrow(_head_scores(pieces, logs), "h long, c long, log double").toPandas()
     keys = top["h"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     model = {
@@ -379,9 +407,10 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         "end_known": int(n_train > 0),
     }
     known = np.log10(top["c"].to_numpy(float)[order] + 1) - shift
+    head = top["log"].to_numpy(float)[order] + model["word_log"]
     kind = docs.schema[id_col].dataType.simpleString()
     rows = base.select("out_id", F.xxhash64("text").alias("part"), "text", "held_out").mapInArrow(
-        _score(pieces, logs, model, keys[order], known), f"out_id {kind}, part long, h long, n long, n_known long, base double, score double, held_out boolean"
+        _score(pieces, logs, model, keys[order], known, head), f"out_id {kind}, part long, h long, n long, n_known long, base double, score double, held_out boolean"
     )
     joined = rows.join(counts.select("h", "c"), "h", "left")
     own = F.col("score").isNotNull()
