@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import path_exists
 
+#: Characters that are encoded at once, at least.
+PART = 1 << 16
 KEYS = ["source", "lang", "version"]
 LEDGER = "doc_id long, source string, lang string, version string, docs long, tokens long"
 DELTAS = "source string, lang string, version string, docs long, tokens long"
@@ -127,19 +129,19 @@ def byte_bpe(path: str) -> Callable[[list[str]], list[int]]:
 
 
 def _parts(text: str) -> Iterator[str]:
-    """The text in stretches that the pattern never joins: cut before a line's first
-    letter, where the whitespace run before it ends with a line end."""
-    if len(text) < 1 << 16:
-        yield text
-        return
+    """The text in stretches whose tokens are the whole text's: cut before a line end
+    that a word follows at once.  The pattern never joins that line end with the white
+    space before it, nor with the word."""
     start = 0
-    while start < len(text):
-        stop = text.find("\n", start + (1 << 16))
+    while len(text) - start > PART:
+        stop = text.find("\n", start + PART)
         while 0 <= stop < len(text) - 1 and text[stop + 1].isspace():
             stop = text.find("\n", stop + 1)
-        stop = len(text) if stop < 0 else stop + 1
+        if stop < 0:
+            break
         yield text[start:stop]
         start = stop
+    yield text[start:]
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable[[], Callable[[list[str]], list[int]]]], columns: list[str], text_col: str = "text") -> DataFrame:
