@@ -35,13 +35,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """Narrow rows in fewer tasks, though never fewer than the cluster has cores: a
+    Python worker per shuffle partition costs more than iterations' small rows do."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-partitions(df) // 16)))
+
+
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 
     It cuts the lineage: a lost executor costs a reread, not a recomputation.
+    ``compact`` writes ``few`` files: iterations over narrow rows would else make a
+    file per shuffle partition each round.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if compact:
+        df = few(df)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,46 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, partitions, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on undirected edges stored once, ``u`` > ``v``.
+def _star(large: bool):
+    """One star step over rows ``(u, v)`` sorted by both: a stream that holds one
+    node's smallest neighbour, however many neighbours it has.
 
-    Large: every node points its larger neighbours at its smallest neighbour (or
-    itself).  Small: every node points its smaller neighbours, and itself, at the
-    smallest of them.  A hot centre is an aggregate plus a join that Spark may split.
+    Large: a node hangs its larger neighbours on the smallest of itself and all
+    neighbours (rows come in both directions).  Small: it hangs its smaller
+    neighbours, and itself, on the smallest of them (rows have ``u > v``).
     """
-    if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        # neighbours larger than c hang on c's minimum
-        out = edges.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least, "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        out = hung.union(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the node being read and the smallest of it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            start = np.ones(len(u), bool)
+            start[1:] = u[1:] != u[:-1]
+            head = np.flatnonzero(start)
+            size = np.diff(np.append(head, len(u)))
+            least = np.minimum(u[head], v[head]) if large else v[head]
+            goes_on = held is not None and held[0] == u[0]
+            if goes_on:
+                least[0] = held[1]
+            held = (u[-1], least[-1])
+            on = np.repeat(least, size)
+            again = np.zeros(len(u), bool)
+            again[1:] = ~start[1:] & (v[1:] == v[:-1])
+            if large:
+                keep = (v > u) & ~again
+                yield pa.record_batch([pa.array(v[keep]), pa.array(on[keep])], names=["u", "v"])
+            else:
+                keep = (v != on) & ~again
+                own = slice(1, None) if goes_on else slice(None)
+                yield pa.record_batch([pa.array(np.concatenate([v[keep], u[head][own]])), pa.array(np.concatenate([on[keep], least[own]]))], names=["u", "v"])
+
+    return run
+
+
+def _step(edges: DataFrame, large: bool) -> DataFrame:
+    rows = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    dealt = rows.repartition(partitions(edges), "u").sortWithinPartitions("u", "v")
+    return few(dealt).mapInArrow(_star(large), "u long, v long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``node, root`` for every node of ``edges`` (columns ``u`` and ``v`` of one
-    orderable type); the root is the component's smallest node.
+    """``node, root`` for every node of ``edges`` (long columns ``u`` and ``v``); the
+    root is the component's smallest node.
 
-    Self loops and repeated edges are allowed; null ends are dropped.  Each round
-    is written to the shared folder, and rounds end when the edges stay the same.
+    Self loops and repeated edges are allowed; null ends are dropped.  Each round is
+    written to the shared folder, and rounds end when the edges stay the same.
     """
     edges = edges.where("u is not null and v is not null and u != v")
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, compact=True)
     seen = None
     while True:
-        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        edges = written(_star(_star(edges, True), False), name)
+        edges = written(_step(_step(edges, True), False), name, compact=True)
     # Stars now: every u hangs on its root.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

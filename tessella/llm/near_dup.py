@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import LAST_ID, binary_rows, by_batch, by_groups, id_key, partitions, rows_of_binary, written
+from .common import LAST_ID, by_batch, by_groups, few, id_key, partitions, rows_of_binary, written
 from .components import components
 
 U64 = np.uint64
@@ -100,16 +101,22 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return (W.mix(least) >> U64(48)).astype(np.uint16)
 
 
-def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-    digests, sketches, sizes = [], [], []
-    for shingles in shingle_sets(batch.column(2)):
-        sizes.append(len(shingles))
-        digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-        sketches.append(_sketch(shingles).tobytes() if len(shingles) else None)
-    return pa.record_batch(
-        [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-        names=["out_id", "doc", "cid", "n", "sketch"],
-    )
+#: Rows whose sets are in memory at once.
+ROWS = 512
+
+
+def _describe(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    out = []
+    for s in range(0, batch.num_rows, ROWS):
+        part = batch.slice(s, ROWS)
+        digests, sketches, sizes = [], [], []
+        for shingles in shingle_sets(part.column(2)):
+            sizes.append(len(shingles))
+            digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
+            sketches.append(_sketch(shingles).tobytes() if len(shingles) else None)
+        columns = [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+        out.append(pa.record_batch(columns, names=["out_id", "doc", "cid", "n", "sketch"]))
+    return out
 
 
 def _child(node: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -212,28 +219,29 @@ def candidate_edges(classes: DataFrame, trees: int) -> DataFrame:
     """``u, v`` edges whose components hold every pair of similar classes whole
     (with the recall that ``trees`` gives).  ``classes``: ``key`` and ``sketch``."""
     used = min(trees * BRANCH, SKETCH // 2)
-    edges = None
+    small, edges = [], []
     rows = classes.select("key", "sketch").mapInArrow(_roots(trees), "node long, key long")
     for depth in range(2, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("key").alias("head")).where("m > 1")
         held = rows.join(sizes, "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "m", "head")
-        held = written(held, f"nodes{depth}")
-        small = held.where(F.col("m") <= NODE).select("node", "key", "sketch")
-        n = partitions(classes)
-        found = small.repartition(n, "node").sortWithinPartitions("node", "key").mapInArrow(by_groups(1, _compare_small), "u long, v long")
-        edges = found if edges is None else edges.union(found)
+        held = written(held, f"nodes{depth}", compact=True)
+        small.append(held.where(F.col("m") <= NODE).select("node", "key", "sketch"))
         large = held.where(F.col("m") > NODE).select("node", "key", "sketch", "head")
         if large.isEmpty():
-            return edges
+            break
         if depth == DEPTH:
-            return edges.union(large.select(F.col("key").alias("u"), F.col("head").alias("v")))
+            edges.append(large.select(F.col("key").alias("u"), F.col("head").alias("v")))
+            break
         heads = large.where("key = head").select("node", F.col("sketch").alias("head_sketch")).dropDuplicates(["node"])
-        judged = large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch")
+        judged = few(large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch"))
         judged = written(judged.mapInArrow(by_batch(_agree), "node long, key long, sketch binary, head long, share double"), f"judged{depth}")
-        edges = edges.union(judged.where(F.col("share") >= UNSURE).select(F.col("key").alias("u"), F.col("head").alias("v")))
+        edges.append(judged.where(F.col("share") >= UNSURE).select(F.col("key").alias("u"), F.col("head").alias("v")))
         open_rows = judged.where(F.col("share") < SETTLED).select("node", "key", "sketch")
         rows = written(open_rows.mapInArrow(_deeper(used), "node long, key long"), f"rows{depth}")
-    return edges
+    # Nodes' numbers tell their depths apart, so all small ones are compared at once.
+    nodes = reduce(DataFrame.union, small).repartition(partitions(classes), "node").sortWithinPartitions("node", "key")
+    found = few(nodes).mapInArrow(by_groups(1, _compare_small), "u long, v long")
+    return reduce(DataFrame.union, edges, found)
 
 
 class _Links:
@@ -254,107 +262,123 @@ class _Links:
         return 100 * both >= 80 * (self.size[i] + self.size - both)
 
 
-def _block(batch: pa.RecordBatch, starts: np.ndarray):
-    """Blocks (root, block) of classes with their sets -> (u, v) exact link stars."""
-    cids, sets = batch.column(2), batch.column(3)
-    us, vs = [], []
+def _groups(batch: pa.RecordBatch, starts: np.ndarray):
+    """Each block's first row, end, and the rows of its distinct classes."""
+    cids = batch.column(2)
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-        if e - s < 2:
-            continue
         held = dict(zip(cids.slice(s, e - s).to_pylist(), range(s, e)))
-        names = list(held)
-        if len(names) < 2:
-            continue
-        links = _Links([np.frombuffer(sets[held[x]].as_buffer(), U64) for x in names])
-        label = np.arange(len(names))
-        groups = len(names)
-        for i in range(len(names)):
-            if groups == 1:
-                break
-            linked = links.of(i)
-            joined = np.unique(label[linked])
-            if len(joined) > 1:
-                groups -= len(joined) - 1
-                label[np.isin(label, joined)] = joined[0]
-        for i in np.flatnonzero(label != np.arange(len(names))).tolist():
-            us.append(names[i])
-            vs.append(names[label[i]])
-    if us:
-        yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+        yield s, e, list(held.values())
+
+
+def _block(batch: pa.RecordBatch, starts: np.ndarray):
+    """Blocks (root, block) of classes with their sets and keys -> every class with
+    its component's smallest key within the block."""
+    keys, sets = batch.column(4).to_numpy(), batch.column(3)
+    out, labels = [], []
+    for _, _, rows in _groups(batch, starts):
+        names = keys[rows]
+        order = np.argsort(names, kind="stable")
+        rows, names = [rows[i] for i in order.tolist()], names[order]
+        label = np.arange(len(rows))
+        if len(rows) > 1:
+            links, groups = _Links([np.frombuffer(sets[r].as_buffer(), U64) for r in rows]), len(rows)
+            for i in range(len(rows)):
+                if groups == 1:
+                    break
+                joined = np.unique(label[links.of(i)])
+                if len(joined) > 1:
+                    groups -= len(joined) - 1
+                    label[np.isin(label, joined)] = joined[0]
+        out.extend(rows)
+        labels.append(names[label])
+    if out:
+        take = batch.take(pa.array(out, pa.int64()))
+        yield pa.record_batch([take.column(0), take.column(1), take.column(2), take.column(4), take.column(5), pa.array(np.concatenate(labels))], names=["root", "block", "cid", "key", "blocks", "label"])
 
 
 def _across(batch: pa.RecordBatch, starts: np.ndarray):
     """Blocks with their classes and the cluster's undecided ones (``probe``) ->
-    exact links between different components."""
+    exact links between different components (``label``)."""
     us, vs = [], []
+    probe_all, label_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 4))
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-        part = batch.slice(s, e - s)
-        probe = np.flatnonzero(part.column(5).to_numpy(zero_copy_only=False))
+        probe = np.flatnonzero(probe_all[s:e])
         if not len(probe) or len(probe) == e - s:
             continue
-        names, component = part.column(2).to_pylist(), part.column(4).to_pylist()
-        links = _Links([np.frombuffer(x.as_buffer(), U64) for x in part.column(3)])
-        known = {}
-        component = np.array([known.setdefault(x, len(known)) for x in component])
+        label = label_all[s:e]
+        links = _Links([np.frombuffer(x.as_buffer(), U64) for x in batch.column(3).slice(s, e - s)])
         for i in probe.tolist():
-            other = np.flatnonzero(links.of(i) & (component != component[i]))
             # one link to each component it meets is enough
-            _, first = np.unique(component[other], return_index=True)
-            for j in other[first].tolist():
-                us.append(names[i])
-                vs.append(names[j])
+            met = np.unique(label[links.of(i) & (label != label[i])])
+            us.extend([label[i]] * len(met))
+            vs.extend(met.tolist())
     if us:
-        yield pa.record_batch([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(doc, text, cid, ...) -> the rows whose text has the class's set, with it."""
-    sets = shingle_sets(batch.column(0))
-    own = batch.column(1).to_pylist()
-    keep = [i for i, x in enumerate(sets) if len(x) and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i]]
-    return pa.record_batch(
-        [pa.array([own[i] for i in keep], pa.binary()), batch.column(2).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-        names=["cid", "root", "shingles"],
-    )
+def _set_rows(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """(text, cid, root, key) -> the rows whose text has the class's set, with it."""
+    out = []
+    for s in range(0, batch.num_rows, ROWS):
+        part = batch.slice(s, ROWS)
+        sets, own = shingle_sets(part.column(0)), part.column(1).to_pylist()
+        keep = [i for i, x in enumerate(sets) if len(x) and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i]]
+        take = pa.array(keep, pa.int64())
+        columns = [part.column(1).take(take), part.column(2).take(take), part.column(3).take(take), pa.array([sets[i].tobytes() for i in keep], pa.binary())]
+        out.append(pa.record_batch(columns, names=["cid", "root", "key", "shingles"]))
+    return out
 
 
 def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``cid, root`` of exact components among candidate clusters' classes.
+    """``cid, comp`` of exact components among candidate clusters' classes.
 
-    ``members``: ``cid, rep, n, root`` (root: the cluster); ``texts``: ``doc, text``.
+    ``members``: ``cid, rep, n, key, root`` (root: the cluster); ``texts``: ``doc,
+    text``.  A cluster of one block is settled in its task; only larger ones need
+    their blocks joined.
     """
     n = partitions(members)
     # Merged at every size: the members grow with the documents.
-    own = members.select(F.col("rep").alias("doc"), "cid", "root").hint("merge")
-    sets = own.join(texts, "doc").select("text", "cid", "root")
-    sets = sets.mapInArrow(by_batch(_set_rows), "cid binary, root long, shingles binary")
+    own = members.select(F.col("rep").alias("doc"), "cid", "root", "key").hint("merge")
+    sets = own.join(texts, "doc").select("text", "cid", "root", "key")
+    sets = sets.mapInArrow(by_batch(_set_rows), "cid binary, root long, key long, shingles binary")
     weight = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     weight = weight.select(
-        "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")
-    )
-    sets = written(
-        sets.join(weight, "root").select("root", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long").alias("block"), "cid", "shingles", "blocks"), "sets"
+        "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
+    columns = ["root", "block", "cid", "shingles", "key", "blocks"]
+    sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", compact=True)
     wide = sets.where("blocks > 1")
-    rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
-    pivots = wide.select("root", "cid", "shingles", "blocks").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS)
-    pivots = pivots.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "cid", "shingles")
-    rows = sets.select("root", "block", "cid", "shingles").union(pivots)
-    links = rows.repartition(n, "root", "block").sortWithinPartitions("root", "block").mapInArrow(by_groups(2, _block), "u binary, v binary")
-    links = written(links, "links")
-    found = components(links, "exact")
-    if wide.isEmpty():
-        return found
+    several = not wide.isEmpty()
+    rows = sets
+    if several:
+        rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
+        pivots = wide.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("root", _blocks_of(), "cid", "shingles", "key", "blocks")
+        rows = sets.union(pivots)
+    dealt = few(rows.repartition(n, "root", "block").sortWithinPartitions("root", "block"))
+    labelled = dealt.mapInArrow(by_groups(2, _block), "root long, block long, cid binary, key long, blocks long, label long")
+    labelled = written(labelled, "labelled")
+    settled = labelled.where("blocks = 1").select("cid", F.col("label").alias("comp"))
+    if not several:
+        return settled
+    open_rows = labelled.where("blocks > 1")
+    links = open_rows.select(F.col("key").alias("u"), F.col("label").alias("v"))
+    found = written(components(links, "joined").select("node", F.col("root").alias("comp")), "joined", compact=True)
     # Members outside their cluster's largest component meet all its other blocks.
-    of = wide.join(found.withColumnRenamed("node", "cid").withColumnRenamed("root", "comp"), "cid", "left")
-    of = of.select("root", "block", "cid", "shingles", F.coalesce("comp", "cid").alias("comp"), "blocks")
-    sizes = of.groupBy("root", "comp").agg(F.countDistinct("cid").alias("k"))
-    main = sizes.groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    of = written(of.join(main, "root"), "undecided")
-    probes = of.where("comp != main").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "cid", "shingles", "comp", F.lit(True).alias("probe"))
-    both = of.select("root", "block", "cid", "shingles", "comp", F.lit(False).alias("probe")).union(probes)
-    more = both.repartition(n, "root", "block").sortWithinPartitions("root", "block").mapInArrow(by_groups(2, _across), "u binary, v binary")
-    return components(links.union(more), "exact")
+    comp = F.coalesce("comp", "key").alias("label")
+    of = wide.join(found, wide["key"] == found["node"], "left").select("root", "block", "cid", "shingles", comp, "blocks")
+    sizes = of.groupBy("root", "label").agg(F.countDistinct("cid").alias("k"))
+    main = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    of = written(of.join(main, "root"), "undecided", compact=True)
+    probes = of.where("label != main").select("root", _blocks_of(), "cid", "shingles", "label", F.lit(True).alias("probe"))
+    both = of.select("root", "block", "cid", "shingles", "label", F.lit(False).alias("probe")).union(probes)
+    more = few(both.repartition(n, "root", "block").sortWithinPartitions("root", "block")).mapInArrow(by_groups(2, _across), "u long, v long")
+    final = components(links.union(more), "joined").select("node", F.col("root").alias("comp"))
+    held = wide.select("cid", "key").distinct()
+    return settled.union(held.join(final, held["key"] == final["node"], "left").select("cid", F.coalesce("comp", "key")))
+
+
+def _blocks_of():
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999) -> DataFrame:
@@ -364,11 +388,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = written(texts.mapInArrow(by_batch(_describe), f"out_id {kind}, doc long, cid binary, n long, sketch binary"), "described")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("key", F.xxhash64("cid")), "classes")
-    clusters = components(written(candidate_edges(classes, trees), "candidates"), "clusters")
-    members = written(classes.join(clusters.withColumnRenamed("node", "key"), "key").select("cid", "rep", "n", "root"), "members")
-    exact = exact_components(members, texts.select("doc", "text"))
-    exact = written(exact.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "groups")
+    classes = written(classes.withColumn("key", F.xxhash64("cid")), "classes", compact=True)
+    clusters = components(written(candidate_edges(classes, trees), "candidates", compact=True), "clusters")
+    members = written(classes.join(clusters.withColumnRenamed("node", "key"), "key").select("cid", "rep", "n", "key", "root"), "members", compact=True)
+    exact = written(exact_components(members, texts.select("doc", "text")), "groups", compact=True)
     least = exact.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = classes.select("cid", "rep").join(exact.join(least, "comp").select("cid", "least"), "cid", "left")
     labels = labels.select("cid", F.coalesce("least", "rep").alias("least"))
