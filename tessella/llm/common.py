@@ -41,18 +41,21 @@ def few(df: DataFrame) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-partitions(df) // 16)))
 
 
-def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, compact: bool = False, scratch: list[str] | None = None) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 
     It cuts the lineage: a lost executor costs a reread, not a recomputation.
     ``compact`` writes ``few`` files: iterations over narrow rows would else make a
-    file per shuffle partition each round.
+    file per shuffle partition each round.  The path is added to ``scratch``, for
+    tables that the caller deletes once its result no longer reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if compact:
         df = few(df)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +66,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the tables of ``scratch``."""
+    while scratch:
+        delete_path(spark, scratch.pop())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, partitions, written
+from .common import clear, few, partitions, written
 
 
 def _star(large: bool):
@@ -56,21 +56,26 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return few(dealt).mapInArrow(_star(large), "u long, v long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str, scratch: list[str]) -> DataFrame:
     """``node, root`` for every node of ``edges`` (long columns ``u`` and ``v``); the
     root is the component's smallest node.
 
     Self loops and repeated edges are allowed; null ends are dropped.  Each round is
-    written to the shared folder, and rounds end when the edges stay the same.
+    written to the shared folder, and rounds end when the edges stay the same.  The
+    round before is deleted; the last one's path goes to ``scratch``.
     """
+    spark, before, now = edges.sparkSession, [], []
     edges = edges.where("u is not null and v is not null and u != v")
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, compact=True)
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, compact=True, scratch=now)
     seen = None
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        edges = written(_step(_step(edges, True), False), name, compact=True)
+        before, now = now, []
+        edges = written(_step(_step(edges, True), False), name, compact=True, scratch=now)
+        clear(spark, before)
+    scratch.extend(now)
     # Stars now: every u hangs on its root.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import LAST_ID, by_batch, by_groups, few, id_key, partitions, rows_of_binary, written
+from .common import LAST_ID, by_batch, by_groups, clear, few, id_key, partitions, rows_of_binary, written
 from .components import components
 
 U64 = np.uint64
@@ -215,7 +215,7 @@ def _compare_small(batch: pa.RecordBatch, starts: np.ndarray):
         yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
-def candidate_edges(classes: DataFrame, trees: int) -> DataFrame:
+def candidate_edges(classes: DataFrame, trees: int, scratch: list[str]) -> DataFrame:
     """``u, v`` edges whose components hold every pair of similar classes whole
     (with the recall that ``trees`` gives).  ``classes``: ``key`` and ``sketch``."""
     used = min(trees * BRANCH, SKETCH // 2)
@@ -224,7 +224,7 @@ def candidate_edges(classes: DataFrame, trees: int) -> DataFrame:
     for depth in range(2, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("key").alias("head")).where("m > 1")
         held = rows.join(sizes, "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "m", "head")
-        held = written(held, f"nodes{depth}", compact=True)
+        held = written(held, f"nodes{depth}", compact=True, scratch=scratch)
         small.append(held.where(F.col("m") <= NODE).select("node", "key", "sketch"))
         large = held.where(F.col("m") > NODE).select("node", "key", "sketch", "head")
         if large.isEmpty():
@@ -234,10 +234,10 @@ def candidate_edges(classes: DataFrame, trees: int) -> DataFrame:
             break
         heads = large.where("key = head").select("node", F.col("sketch").alias("head_sketch")).dropDuplicates(["node"])
         judged = few(large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch"))
-        judged = written(judged.mapInArrow(by_batch(_agree), "node long, key long, sketch binary, head long, share double"), f"judged{depth}")
+        judged = written(judged.mapInArrow(by_batch(_agree), "node long, key long, sketch binary, head long, share double"), f"judged{depth}", scratch=scratch)
         edges.append(judged.where(F.col("share") >= UNSURE).select(F.col("key").alias("u"), F.col("head").alias("v")))
         open_rows = judged.where(F.col("share") < SETTLED).select("node", "key", "sketch")
-        rows = written(open_rows.mapInArrow(_deeper(used), "node long, key long"), f"rows{depth}")
+        rows = written(open_rows.mapInArrow(_deeper(used), "node long, key long"), f"rows{depth}", scratch=scratch)
     # Nodes' numbers tell their depths apart, so all small ones are compared at once.
     nodes = reduce(DataFrame.union, small).repartition(partitions(classes), "node").sortWithinPartitions("node", "key")
     found = few(nodes).mapInArrow(by_groups(1, _compare_small), "u long, v long")
@@ -329,7 +329,7 @@ def _set_rows(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
     return out
 
 
-def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
+def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
     """``cid, comp`` of exact components among candidate clusters' classes.
 
     ``members``: ``cid, rep, n, key, root`` (root: the cluster); ``texts``: ``doc,
@@ -346,7 +346,7 @@ def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
         "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
     columns = ["root", "block", "cid", "shingles", "key", "blocks"]
-    sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", compact=True)
+    sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", compact=True, scratch=scratch)
     wide = sets.where("blocks > 1")
     several = not wide.isEmpty()
     rows = sets
@@ -356,23 +356,23 @@ def exact_components(members: DataFrame, texts: DataFrame) -> DataFrame:
         rows = sets.union(pivots)
     dealt = few(rows.repartition(n, "root", "block").sortWithinPartitions("root", "block"))
     labelled = dealt.mapInArrow(by_groups(2, _block), "root long, block long, cid binary, key long, blocks long, label long")
-    labelled = written(labelled, "labelled")
+    labelled = written(labelled, "labelled", scratch=scratch)
     settled = labelled.where("blocks = 1").select("cid", F.col("label").alias("comp"))
     if not several:
         return settled
     open_rows = labelled.where("blocks > 1")
     links = open_rows.select(F.col("key").alias("u"), F.col("label").alias("v"))
-    found = written(components(links, "joined").select("node", F.col("root").alias("comp")), "joined", compact=True)
+    found = written(components(links, "joined", scratch).select("node", F.col("root").alias("comp")), "joined", compact=True, scratch=scratch)
     # Members outside their cluster's largest component meet all its other blocks.
     comp = F.coalesce("comp", "key").alias("label")
     of = wide.join(found, wide["key"] == found["node"], "left").select("root", "block", "cid", "shingles", comp, "blocks")
     sizes = of.groupBy("root", "label").agg(F.countDistinct("cid").alias("k"))
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    of = written(of.join(main, "root"), "undecided", compact=True)
+    of = written(of.join(main, "root"), "undecided", compact=True, scratch=scratch)
     probes = of.where("label != main").select("root", _blocks_of(), "cid", "shingles", "label", F.lit(True).alias("probe"))
     both = of.select("root", "block", "cid", "shingles", "label", F.lit(False).alias("probe")).union(probes)
     more = few(both.repartition(n, "root", "block").sortWithinPartitions("root", "block")).mapInArrow(by_groups(2, _across), "u long, v long")
-    final = components(links.union(more), "joined").select("node", F.col("root").alias("comp"))
+    final = components(links.union(more), "joined", scratch).select("node", F.col("root").alias("comp"))
     held = wide.select("cid", "key").distinct()
     return settled.union(held.join(final, held["key"] == final["node"], "left").select("cid", F.coalesce("comp", "key")))
 
@@ -389,9 +389,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(texts.mapInArrow(by_batch(_describe), f"out_id {kind}, doc long, cid binary, n long, sketch binary"), "described")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("key", F.xxhash64("cid")), "classes", compact=True)
-    clusters = components(written(candidate_edges(classes, trees), "candidates", compact=True), "clusters")
-    members = written(classes.join(clusters.withColumnRenamed("node", "key"), "key").select("cid", "rep", "n", "key", "root"), "members", compact=True)
-    exact = written(exact_components(members, texts.select("doc", "text")), "groups", compact=True)
+    scratch: list[str] = []
+    clusters = components(written(candidate_edges(classes, trees, scratch), "candidates", compact=True, scratch=scratch), "clusters", scratch)
+    members = written(classes.join(clusters.withColumnRenamed("node", "key"), "key").select("cid", "rep", "n", "key", "root"), "members", compact=True, scratch=scratch)
+    exact = written(exact_components(members, texts.select("doc", "text"), scratch), "groups", compact=True)
+    clear(docs.sparkSession, scratch)
     least = exact.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = classes.select("cid", "rep").join(exact.join(least, "comp").select("cid", "least"), "cid", "left")
     labels = labels.select("cid", F.coalesce("least", "rep").alias("least"))
