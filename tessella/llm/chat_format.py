@@ -102,13 +102,14 @@ def example_texts(examples: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in order -> what each conversation's stream says, read from it alone."""
-    now, state, rows = None, None, []
+    now, state, rows, kind = None, None, [], None
 
     def close() -> None:
         conv, turns, whole, chars, loss, size, examples, context = state
         rows.append((conv, turns, whole.hexdigest(), chars, loss.hexdigest(), size, examples, context))
 
     for batch in batches:
+        kind = batch.schema.field(0).type
         for conv, piece, start, stop, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if state is None or conv != now:
                 if state is not None:
@@ -130,29 +131,30 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[7] += stop
             state[5] = stop
         if len(rows) >= 1000:
-            yield _read_out(rows)
+            yield _read_out(rows, kind)
             rows = []
     if state is not None:
         close()
     if rows:
-        yield _read_out(rows)
+        yield _read_out(rows, kind)
 
 
 _READ = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "example_chars"]
 
 
-def _read_out(rows: list) -> pa.RecordBatch:
-    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(c, k) if k else pa.array(c, pa.int64()) for c, k in zip(zip(*rows), kinds)], names=_READ)
+def _read_out(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_READ)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
     """Per conversation: turns and their digest, the text under all its examples'
     loss masks, ``formatted_chars`` of its stream, and ``example_chars``, the length
     of its examples written out."""
-    rows = pieces.select(F.col("conv_id").cast("long"), "piece", "start", "stop", "loss_start", "loss_stop")
+    kind = pieces.schema["conv_id"].dataType.simpleString()
+    rows = pieces.select("conv_id", "piece", "start", "stop", "loss_start", "loss_stop")
     rows = rows.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", "start")
-    return rows.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
+    return rows.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
 
 
 def control_conversation(spark: SparkSession) -> DataFrame:
