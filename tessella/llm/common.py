@@ -151,6 +151,35 @@ def rows_of_binary(column: pa.Array, kind, width: int) -> np.ndarray:
     return data.view(kind).reshape(len(column), width)
 
 
+def whole_copies(marks: DataFrame, doc: str, scratch: list[str] | None = None) -> DataFrame:
+    """The rows of ``marks`` (``doc, h1, h2``, two hashes of a text) whose text a
+    smaller document has.
+
+    Only texts that occur twice are joined back.  Their table is written first, so that
+    both sides of the join come from an exchange and Spark can split a hot text.
+    """
+    least = marks.groupBy("h1", "h2").agg(F.min(doc).alias("least"), F.max(doc).alias("most")).where("least < most")
+    least = written(least.select("h1", "h2", "least"), "copies", compact=True, scratch=scratch)
+    return marks.join(least.hint("merge"), ["h1", "h2"]).where(F.col("least") < F.col(doc)).drop("least")
+
+
+def text_hashes(text: str = "text"):
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
+
+
+def hash_sample(rows: DataFrame, columns: list[str], most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of ``columns``.
+
+    Rows beyond twice the share that is needed are left out before the sort, so the
+    last task of the top-n gets a bounded number of rows however many tasks feed it.
+    """
+    share = 2 * most / max(1, rows.count())
+    h = F.xxhash64(*columns, F.lit(seed))
+    if share < 1:
+        rows = rows.where(h < F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(h, *columns).limit(most)
+
+
 def keep_rows(docs: DataFrame, text_col: str, chosen: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows whose text ``chosen`` marks, with all their columns, in one pass."""
     place = docs.columns.index(text_col)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import LAST_ID, by_batch, id_key, partitions
+from .common import LAST_ID, by_batch, id_key, partitions, text_hashes, whole_copies
 
 ANCHOR = 5
 U64 = np.uint64
@@ -124,8 +124,10 @@ def _edges(k: int):
     """Edges under the repeated anchors that came with each document.
 
     ``source`` is filled where the batch itself shows a smaller document with the
-    edge; the rest goes on to meet the other batches.  ``place`` packs 30 bits of
-    the text's hash and the word index; ``check`` is the second hash."""
+    edge.  Of a document's occurrences of one edge the first goes on to meet the
+    other batches; the others only name it (``like``), so that a document that
+    repeats one word does not send an edge a thousand times.  ``place`` packs 30
+    bits of the text's hash and the word index; ``check`` is the second hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -209,32 +211,35 @@ def _edges(k: int):
             place = part[a:z][row] << 32 | (at - words.first[row])
             pieces.append((W.rolling(hashes, k)[at], check >> U64(48), ids[a:z][row], place))
         edge, check, doc, place = _joined(pieces, [U64, U64, np.int64, np.int64])
-        order = np.lexsort((doc, check, edge))
+        order = np.lexsort((place, doc, check, edge))
         edge, check, doc, place = edge[order], check[order], doc[order], place[order]
         head = np.flatnonzero(_starts(edge, check))
         origin = np.repeat(head, np.diff(np.append(head, len(edge))))
         later = doc != doc[origin]
+        again = ~_starts(edge, check, doc, place >> 32) & ~later
+        own = np.flatnonzero(~again)
+        first = place[own[np.searchsorted(own, np.arange(len(place)), side="right") - 1]] if len(own) else place
         # Finished rows need no edge: a few bits of their place spread them over the tasks.
-        key = np.where(later, W.mix(place.view(U64)) >> U64(52), edge).view(np.int64)
-        check = np.where(later, U64(0), check).astype(np.int32)
-        source = pa.array(doc[origin], mask=~later)
-        return pa.record_batch([pa.array(key), pa.array(doc), pa.array(place), pa.array(check), source], names=["edge", "doc", "place", "check", "source"])
+        done = later | again
+        key = np.where(done, W.mix(place.view(U64)) >> U64(52), edge).view(np.int64)
+        check = np.where(done, U64(0), check).astype(np.int32)
+        source, like = pa.array(doc[origin], mask=~later), pa.array(first, mask=~again)
+        return pa.record_batch([pa.array(key), pa.array(doc), pa.array(place), pa.array(check), source, like], names=["edge", "doc", "place", "check", "source", "like"])
 
     return by_batch(run)
 
 
 def _matched(batches):
     """Edge rows sorted by edge, second hash and document -> each occurrence behind
-    its source: ``doc``, ``place``, ``source``."""
+    its source: ``doc``, ``place``, and ``source`` or ``like``."""
     held = None  # (edge, check, source document)
     for batch in batches:
         if not batch.num_rows:
             continue
-        edge, doc, place, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        source = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
-        yield _out(doc[done], place[done], source[done])
-        edge, doc, place, check = edge[~done], doc[~done], place[~done], check[~done]
+        done = pc.or_(pc.is_valid(batch.column(4)), pc.is_valid(batch.column(5)))
+        ready = batch.filter(done)
+        yield pa.record_batch([ready.column(i) for i in (1, 2, 4, 5)], names=["doc", "place", "source", "like"])
+        edge, doc, place, check = (batch.filter(pc.invert(done)).column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(edge):
             continue
         if held is not None:
@@ -242,22 +247,34 @@ def _matched(batches):
         head = np.flatnonzero(_starts(edge, check))
         origin = np.repeat(head, np.diff(np.append(head, len(edge))))
         later = doc != doc[origin]
-        yield _out(doc[later], place[later], doc[origin[later]])
+        yield pa.record_batch([pa.array(doc[later]), pa.array(place[later]), pa.array(doc[origin[later]]), pa.nulls(int(later.sum()), pa.int64())], names=["doc", "place", "source", "like"])
         held = (edge[-1], check[-1], doc[head[-1]])
 
 
-def _out(doc: np.ndarray, place: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(doc), pa.array(place), pa.array(source)], names=["doc", "place", "source"])
-
-
 def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A document's matched occurrences in one row -> its paths."""
     occ = batch.column(1)
     ends = occ.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    place, source = (occ.values.field(i).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for i in range(2))
+    held = occ.values.slice(ends[0], ends[-1] - ends[0])
+    place = held.field(0).to_numpy(zero_copy_only=False)
+    named = pc.is_valid(held.field(2)).to_numpy(zero_copy_only=False)
+    source, like = (held.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (1, 2))
     row = np.repeat(np.arange(len(batch)), np.diff(ends))
-    order = np.lexsort((place, row))
-    spot, source, row = place[order], source[order], row[order]
+    order = np.lexsort((named, place, row))
+    spot, source, row, like, named = place[order], source[order], row[order], like[order], named[order]
+    # An occurrence that names another goes with it: where that one has a source.
+    plain = np.flatnonzero(~named)
+    if named.any() and len(plain):
+        keys = np.rec.fromarrays([row[plain], spot[plain]])
+        wanted = np.rec.fromarrays([row[named], like[named]])
+        found = np.minimum(np.searchsorted(keys, wanted), len(plain) - 1)
+        hit = keys[found] == wanted
+        source[named] = np.where(hit, source[plain[found]], 0)
+        keep = ~named
+        keep[np.flatnonzero(named)[hit]] = True
+    else:
+        keep = ~named
+    spot, source, row = spot[keep], source[keep], row[keep]
     once = _starts(row, spot)  # repeated rows of a table give repeated places
     spot, source, row = spot[once], source[once], row[once]
     new = np.ones(len(spot), bool)
@@ -327,9 +344,7 @@ def _texts_by_id(docs: DataFrame, id_col: str, text_col: str, carry: list[str])
     columns, so that Spark shuffles the texts once and reads that shuffle again."""
     rest = F.struct(*carry) if carry else F.lit(0)
     texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
-    marks = texts.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
-    least = marks.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
-    copies = marks.join(least, ["h1", "h2"]).where("least < doc").groupBy("doc").agg(F.collect_set("h1").alias("copies"))
+    copies = whole_copies(texts.select("doc", *text_hashes()), "doc").groupBy("doc").agg(F.collect_set("h1").alias("copies"))
     whole = F.xxhash64("text")
     joined = texts.join(copies.hint("merge"), "doc", "left")
     return joined.select("doc", "text", "rest", whole.bitwiseAND(F.lit(0x3FFFFFFF)).alias("part"), F.coalesce(F.array_contains("copies", whole), F.lit(False)).alias("copy"))
@@ -343,9 +358,9 @@ def _paths(texts: DataFrame, k: int) -> DataFrame:
     met = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "doc long, anchor long")
     known = plain.mapInArrow(_anchors(k, True), "doc long, anchor long")
     hits = met.union(known).groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
-    edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits", "rest").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long")
+    edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits", "rest").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long, like long")
     rows = edges.repartition(n, "edge").sortWithinPartitions("edge", "check", "doc")
-    found = rows.mapInArrow(_matched, "doc long, place long, source long").groupBy("doc").agg(F.collect_list(F.struct("place", "source")).alias("occ"))
+    found = rows.mapInArrow(_matched, "doc long, place long, source long, like long").groupBy("doc").agg(F.collect_list(F.struct("place", "source", "like")).alias("occ"))
     return found.mapInArrow(by_batch(_compact), "doc long, part array<long>, start array<int>, edges array<int>, source array<long>")
 
 
