@@ -161,6 +161,28 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
 
 
+def test_many_partitions_in_few_tasks(spark, documents, small_batches, monkeypatch):
+    """More shuffle partitions than tasks: sorted streams run over several of them."""
+    monkeypatch.setattr(near_dup, "NODE", 3)
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = list(enumerate(random_texts(80, 77)))
+        docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+        assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
+        assert sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs, k=4).collect()), key=repr) == brute_dedup(rows, 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_repeated_words_in_a_document(spark):
+    rows = [(1, "a b " * 40), (2, "x " + "a b " * 30 + "y"), (3, "b " * 50), (4, "b " * 20 + "c d"), (5, "c " * 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs).collect()), key=repr) == brute_dedup(rows, 13)
+
+
 def test_keep_one(spark, documents):
     text = " ".join(f"k{i}" for i in range(50))
     docs = documents([(3, text, "en", "a", 1), (1, text.upper(), "de", "b", 2), (1, text.upper(), "de", "b", 2), (2, "", "fr", "c", 0), (None, "lonely text", "es", "d", 4)])
