@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import new_path, table, text_hashes, whole_copies, written
 
 #: Where public tokenizers' files are; a parameter of the operators that read them.
 TOKENIZERS = "/opt/tokenizers"
@@ -85,9 +85,8 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     docs = table(spark, sf_dir, "documents")
     store = RollupStore(spark, new_path(spark, "rollup"))
     store.commit("1-inserts", inserts=count_tokens(docs, versions, ["doc_id", "source", "lang"]))
-    marks = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
-    least = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    copies = marks.join(least, ["h1", "h2"]).where("least < doc_id").select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"))
+    copies = whole_copies(docs.select("doc_id", *text_hashes()), "doc_id")
+    copies = copies.select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"))
     store.commit("2-deletes", deletes=copies)
     trimmed = F.regexp_replace("text", r"[ \t]+(?=\n|$)|(?<=\n)[ \t]+|\n+$", "")
     changed = docs.select("doc_id", trimmed.alias("new"), "text").where("new != text").select("doc_id", F.col("new").alias("text"))
