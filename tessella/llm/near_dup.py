@@ -396,8 +396,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clear(docs.sparkSession, scratch)
     least = exact.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     labels = classes.select("cid", "rep").join(exact.join(least, "comp").select("cid", "least"), "cid", "left")
-    labels = labels.select("cid", F.coalesce("least", "rep").alias("least"))
-    out = rows.select("out_id", "doc", "cid", "n").join(labels, "cid", "left")
+    # Written, so that the join below has an exchange on both sides and a hot class splits.
+    labels = written(labels.select("cid", F.coalesce("least", "rep").alias("least")), "labels", compact=True)
+    out = rows.select("out_id", "doc", "cid", "n").join(labels.hint("merge"), "cid", "left")
     least = F.nullif(F.coalesce("least", "doc"), F.lit(LAST_ID))
     out = out.select(F.col("out_id"), F.col("n").alias("n_shingles"), least.alias("component_id"))
     return out.withColumn("kept", F.col("out_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("out_id", id_col)
