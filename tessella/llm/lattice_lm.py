@@ -12,8 +12,8 @@ counts over all training words, by forward-backward, then re-estimate them.  The
 vocabulary itself is never changed.  The driver holds one number per piece; word
 counts, which grow with the corpus, stay distributed.
 
-Each word's count meets the documents in two ways: the ``HEAD`` most frequent
-words, a bounded table, go to every task; the rest join by the word's hash, one row
+Each word's count meets the documents in two ways: the most frequent words, at most
+``HEAD`` of them, go to every task; the rest join by the word's hash, one row
 per document and word, summed before the shuffle.
 
 Defined cases: a null text is the empty text (one end); a null id is held out or
@@ -279,6 +279,20 @@ def fit(counts: DataFrame, pieces: list[bytes], scores: np.ndarray, passes: int
     return logs
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the upper count classes that together hold at most ``most`` words.
+    Counts fall into some 2,000 classes at most, and no task gathers candidates."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"])
+    held, least = 0, None
+    for row in sizes:
+        held += row["n"]
+        if held > most:
+            break
+        least = row["level"]
+    return counts.where(F.lit(False) if least is None else level >= least)
+
+
 def _head_scores(pieces: list[bytes], logs: np.ndarray):
     """Words -> the log of their summed segmentations."""
 
@@ -396,7 +410,7 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     tokens, types = n_words + n_train, sums["v"] + (1 if n_train else 0)
     shift = math.log10(tokens + types + 1)
     logs = fit(counts, pieces, scores)
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "word", "c").mapInArrow(_head_scores(pieces, logs), "h long, c long, log double").toPandas()
+    top = most_frequent(counts, HEAD).select("h", "word", "c").mapInArrow(_head_scores(pieces, logs), "h long, c long, log double").toPandas()
     keys = top["h"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     model = {
