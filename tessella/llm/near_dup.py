@@ -223,7 +223,9 @@ def candidate_edges(classes: DataFrame, trees: int, scratch: list[str]) -> DataF
     rows = classes.select("key", "sketch").mapInArrow(_roots(trees), "node long, key long")
     for depth in range(2, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("key").alias("head")).where("m > 1")
-        held = rows.join(sizes, "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "m", "head")
+        # Written, so that both sides of the join have an exchange and a hot node splits.
+        sizes = written(sizes, f"sizes{depth}", compact=True, scratch=scratch)
+        held = rows.join(sizes.hint("merge"), "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "m", "head")
         held = written(held, f"nodes{depth}", compact=True, scratch=scratch)
         small.append(held.where(F.col("m") <= NODE).select("node", "key", "sketch"))
         large = held.where(F.col("m") > NODE).select("node", "key", "sketch", "head")
