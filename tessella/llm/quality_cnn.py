@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import by_batch, keep_rows
+from .common import by_batch, hash_sample, keep_rows
 
 BLOCK = 32
 STEPS = BLOCK // 2
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A network from at most ``sample`` labelled documents outside the held fold."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(~held_out("id"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    chosen = hash_sample(known, ["id", "label"], sample, 1)
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     spare = F.greatest(F.length(raw) - F.lit(crop), F.lit(0))
     place = (F.pmod(F.xxhash64("id", F.lit(3)), spare + 1)).cast("int")
