@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MB, new_path
+from .common import MB, hash_sample, new_path
 
 ARCHIVE_RECORDS = 10_000
 LEAST_SHARED = 100
@@ -223,7 +223,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
         "size",
     )
-    picked = base.select(F.xxhash64("digest", "id").alias("h"), "id", "digest").orderBy("h", "digest").limit(SAMPLE_ROWS).select("digest").distinct()
+    picked = hash_sample(base.select("digest", "id"), ["digest", "id"], SAMPLE_ROWS, 1).select("digest").distinct()
     samples = base.join(F.broadcast(picked), "digest", "left_semi").dropDuplicates(["digest"])
     samples = samples.select("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("start")).collect()
     dictionary = make_dictionary([bytes(r["start"]) for r in sorted(samples, key=lambda r: r["digest"])])
