@@ -42,6 +42,8 @@ from .common import LAST_ID, by_batch, id_key, partitions, text_hashes, whole_co
 
 ANCHOR = 5
 U64 = np.uint64
+#: What a batch shows of an anchor's row: its only document, the smallest of several, one of the others.
+ONE, MANY, KNOWN = 0, 1, 2
 
 
 def _texts(batch: pa.RecordBatch, column: int):
@@ -65,10 +67,11 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _anchors(k: int, direct: bool):
-    """Anchors of a batch's documents.  Without ``direct``: a row per anchor, its
-    smallest document, and whether the batch has others (``many``).  With it: the
-    other documents' rows, whose anchors are known to repeat."""
+def _anchors(k: int):
+    """Anchors of a batch's documents.  An anchor's smallest document gives a row with
+    ``state`` ``MANY`` where the batch has others, else ``ONE``; the others, whose anchor
+    is thus known to repeat, give rows ``KNOWN``.  Both come from one pass, since a
+    second one may see other batches."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -84,16 +87,12 @@ def _anchors(k: int, direct: bool):
         anchor, doc = _joined(parts, [U64, np.int64])
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
+        once = _starts(anchor, doc)
+        anchor, doc = anchor[once], doc[once]
         first = _starts(anchor)
-        group = np.cumsum(first) - 1
-        head = np.flatnonzero(first)
-        others = doc != doc[head][group] if len(head) else np.zeros(0, bool)
-        if direct:
-            others &= _starts(anchor, doc)
-            return pa.record_batch([pa.array(doc[others]), pa.array(anchor[others].view(np.int64))], names=["doc", "anchor"])
-        many = np.zeros(len(head), bool)
-        many[group[others]] = True
-        return pa.record_batch([pa.array(anchor[head].view(np.int64)), pa.array(doc[head]), pa.array(many)], names=["anchor", "doc", "many"])
+        state = np.where(first, ONE, KNOWN).astype(np.int8)
+        state[:-1][first[:-1] & ~first[1:]] = MANY
+        return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(state)], names=["anchor", "doc", "state"])
 
     return by_batch(run)
 
@@ -101,71 +100,17 @@ def _anchors(k: int, direct: bool):
 def _repeated(batches):
     """Rows sorted by anchor and document -> those whose anchor has two documents.
 
-    A stream: of the anchor being read, at most one row is held back."""
+    A stream: of the anchor being read, at most one row is held back.  ``KNOWN`` rows
+    pass; they need not be with their anchor."""
     held = None  # (anchor, document, known to repeat)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor, doc, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if held is not None:
-            anchor, doc, many = np.append(held[0], anchor), np.append(held[1], doc), np.append(held[2], many)
-        head = np.flatnonzero(_starts(anchor))
-        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(anchor))))
-        known = np.logical_or.reduceat(many, head)
-        known[group[doc != doc[head][group]]] = True
-        emit = known[group]
-        if held is not None and held[2]:
-            emit[0] = False  # given out before
-        yield pa.record_batch([pa.array(doc[emit]), pa.array(anchor[emit])], names=["doc", "anchor"])
-        held = (anchor[-1], doc[head[-1]], bool(known[-1]))
-
-
-def _edges(k: int):
-    """Edges under the repeated anchors that came with each document.
-
-    ``source`` is filled where the batch itself shows a smaller document with the
-    edge.  Of a document's occurrences of one edge the first goes on to meet the
-    other batches; the others only name it (``like``), so that a document that
-    repeats one word does not send an edge a thousand times.  ``place`` packs 30
-    bits of the text's hash and the word index; ``check`` is the second hash."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = []
-        for a, z, words in _texts(batch, 1):
-            at = np.flatnonzero(W.whole(words.first, k))
-            if len(at):
-                five = min(ANCHOR, k)
-                shingle = W.rolling(words.hashes(), five)
-                least = W.minimizers(shingle, k - five + 1)[at]
-                least = least[_starts(least)]
-                parts.append((shingle[least], ids[a:z][words.row_of()[least]]))
-        anchor, doc = _joined(parts, [U64, np.int64])
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        first = _starts(anchor)
-        group = np.cumsum(first) - 1
-        head = np.flatnonzero(first)
-        others = doc != doc[head][group] if len(head) else np.zeros(0, bool)
-        if direct:
-            others &= _starts(anchor, doc)
-            return pa.record_batch([pa.array(doc[others]), pa.array(anchor[others].view(np.int64))], names=["doc", "anchor"])
-        many = np.zeros(len(head), bool)
-        many[group[others]] = True
-        return pa.record_batch([pa.array(anchor[head].view(np.int64)), pa.array(doc[head]), pa.array(many)], names=["anchor", "doc", "many"])
-
-    return by_batch(run)
-
-
-def _repeated(batches):
-    """Rows sorted by anchor and document -> those whose anchor has two documents.
-
-    A stream: of the anchor being read, at most one row is held back."""
-    held = None  # (anchor, document, known to repeat)
-    for batch in batches:
-        if not batch.num_rows:
+        anchor, doc, state = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ready = state == KNOWN
+        if ready.any():
+            yield pa.record_batch([pa.array(doc[ready]), pa.array(anchor[ready])], names=["doc", "anchor"])
+        anchor, doc, many = anchor[~ready], doc[~ready], state[~ready] == MANY
+        if not len(anchor):
             continue
-        anchor, doc, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if held is not None:
             anchor, doc, many = np.append(held[0], anchor), np.append(held[1], doc), np.append(held[2], many)
         head = np.flatnonzero(_starts(anchor))
@@ -354,10 +299,11 @@ def _paths(texts: DataFrame, k: int) -> DataFrame:
     n = partitions(texts)
     own = texts.where("not copy")
     plain = own.select("doc", "text", "rest")
-    anchors = plain.mapInArrow(_anchors(k, False), "anchor long, doc long, many boolean")
-    met = anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "doc long, anchor long")
-    known = plain.mapInArrow(_anchors(k, True), "doc long, anchor long")
-    hits = met.union(known).groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
+    anchors = plain.mapInArrow(_anchors(k), "anchor long, doc long, state byte")
+    # Rows known to repeat need not meet their anchor's others: they are spread, so that a common anchor fills no task.
+    spread = F.when(F.col("state") == KNOWN, F.xxhash64("doc", "anchor")).otherwise(F.col("anchor"))
+    met = anchors.repartition(n, spread).sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "doc long, anchor long")
+    hits = met.groupBy("doc").agg(F.collect_list("anchor").alias("hits"))
     edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits", "rest").mapInArrow(_edges(k), "edge long, doc long, place long, check int, source long, like long")
     rows = edges.repartition(n, "edge").sortWithinPartitions("edge", "check", "doc")
     found = rows.mapInArrow(_matched, "doc long, place long, source long, like long").groupBy("doc").agg(F.collect_list(F.struct("place", "source", "like")).alias("occ"))

@@ -113,6 +113,22 @@ def test_paths_name_their_sources(spark):
     assert (row["doc"], row["start"], row["edges"], row["source"]) == (9, [2], [18], [5])
 
 
+def test_anchors_do_not_depend_on_batches(spark, monkeypatch):
+    """Each pass over the texts gets them in other batches, as after a lost executor."""
+    made, passes = substring_dedup._anchors, []
+
+    def cut(*args):
+        run, rows = made(*args), 1 if passes else 1000
+        passes.append(rows)
+        return lambda batches: run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    monkeypatch.setattr(substring_dedup, "_anchors", cut)
+    base = " ".join(f"v{i}" for i in range(30))
+    rows = [(i, f"x{i} {base} y{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs).collect()), key=repr) == brute_dedup(rows, 13)
+
+
 # --- near duplicates ---------------------------------------------------------------
 
 
