@@ -490,12 +490,12 @@ def renyi_bpe(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return training.train_bpe(table(spark, d, "benchmark"), 150).table(spark)
+    return training.train_bpe(table(spark, d, "documents"), 150).table(spark)
 
 
 @query()
 def unigram_train(spark: SparkSession, d: str) -> DataFrame:
-    model = training.train_unigram(table(spark, d, "benchmark"), 200)
+    model = training.train_unigram(table(spark, d, "documents"), 200)
     return spark.createDataFrame(sorted(model.logs.items()), "piece string, log_prob double")
 
 

@@ -1,10 +1,13 @@
 """Operators on small cases with known values."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import bootstrap, corpus, entropy, morphology, ratios, runs, tokenizers, training
+from tessella.plans import catalog
 
 
 def test_pooled_ratio(spark):
@@ -130,6 +133,49 @@ def test_bpe(spark):
         training.train_bpe(lines, 20, max_words=1)
 
 
+def brute_unigram(counts, vocab_size, rounds=4, longest=8):
+    """The trainer in one process, all seeds counted."""
+    seeds = Counter()
+    for word, n in counts.items():
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + longest) + 1):
+                seeds[word[i:j]] += n
+    single = {p: n for p, n in seeds.items() if len(p) == 1}
+    rest = sorted(((n * len(p), p) for p, n in seeds.items() if len(p) > 1 and n > 1), key=lambda x: (-x[0], x[1]))[: vocab_size * 4]
+    weight = {**single, **{p: seeds[p] for _, p in rest}}
+    for r in range(rounds):
+        total = sum(weight.values()) or 1
+        model = training.Unigram({p: float(np.log(n / total)) for p, n in weight.items() if n > 0})
+        used = Counter(dict.fromkeys(single, 1))
+        for word, n in sorted(counts.items()):
+            for part in model.segment(word):
+                used[part] += n
+        size = max(vocab_size - 1, len(single)) if r == rounds - 1 else max(vocab_size - 1, len(used) * 3 // 4)
+        order = sorted(used, key=lambda p: (len(p) > 1, -used[p], p))
+        weight = {p: used[p] for p in order[:size]}
+    total = sum(weight.values()) or 1
+    return {p: float(np.log(n / total)) for p, n in weight.items()}
+
+
+def test_training_reads_the_documents(spark):
+    data = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{data}/documents.parquet")
+    counts = {r["piece"]: r["c"] for r in training.piece_counts(lines).collect()}
+    merges = [(r["left"], r["right"]) for r in catalog.QUERIES["bpe_train"](spark, data).orderBy("rank").collect()]
+    assert merges == training.merge_loop(counts, 150).merges and len(merges) > 16
+    got = {r["piece"]: r["log_prob"] for r in catalog.QUERIES["unigram_train"](spark, data).collect()}
+    assert got == brute_unigram(counts, 200)
+
+
+def test_training_of_runs_ties_and_nothing(spark):
+    lines = spark.createDataFrame([("aaaa aaa aaaaa b\nb bb abab \U0001F600\U0001F600 ab",), (None,), ("",), ("  ",)], "text string")
+    counts = {r["piece"]: r["c"] for r in training.piece_counts(lines).collect()}
+    assert training.train_bpe(lines, 60) == training.merge_loop(counts, 60)
+    assert training.train_unigram(lines, 9).logs == brute_unigram(counts, 9)
+    none = lines.where("text = 'x'")
+    assert training.train_bpe(none, 9) == training.Trained([], []) and training.train_unigram(none, 9).logs == {}
+
+
 def test_markers_bind_training(spark):
     marked = spark.createDataFrame([("tad\x1fapi tad\x1fapi tat",)], "text string")
     trained = training.train_bpe(marked, 40, marker="\x1f")
