@@ -38,7 +38,6 @@ HEAD = 200_000
 PASSES = 3
 #: Added to each piece's expected count, so that unseen pieces keep some weight.
 SMOOTH = 0.1
-LONGEST = 24  # bytes of the longest piece taken from a vocabulary
 LONG_WORD = 512  # bytes; longer words are scored one at a time
 CACHE = 1 << 21
 SLOT_BITS = 20
@@ -60,7 +59,7 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST and b" " not in piece[1:]:
+        if b" " not in piece[1:]:
             scores[piece] = max(scores.get(piece, NONE), model.get_score(i))
     for b in range(256):
         scores.setdefault(bytes([b]), min(scores.values(), default=0.0) if scores else 0.0)

@@ -392,3 +392,26 @@ def test_empty_tables(spark, documents):
     assert lattice_lm.score_texts(docs, VOCABULARY).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_cnn.score(docs, quality_cnn.fit(docs, labels)).count() == 0
+
+
+def test_long_pieces_of_a_vocabulary_count(monkeypatch):
+    import sentencepiece
+
+    names = ["a", "▁" + "क" * 12]
+
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        is_control = is_unknown = is_byte = lambda self, i: False
+        get_piece_size = lambda self: len(names)
+        id_to_piece = lambda self, i: names[i]
+        get_score = lambda self, i: -float(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    pieces, scores = lattice_lm.load_pieces("any")
+    long = (" " + "क" * 12).encode()
+    assert long in pieces
+    logs = lattice_lm.start_logs(scores)
+    whole = lattice_lm.Lattice(pieces, logs).forward(np.frombuffer(long, np.uint8)[None])[0]
+    assert whole >= logs[pieces.index(long)]
