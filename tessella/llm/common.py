@@ -36,8 +36,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """Narrow rows in fewer tasks, though never fewer than the cluster has cores: a
-    Python worker per shuffle partition costs more than iterations' small rows do."""
+    """Narrow rows (a few numbers, no sets or texts) in fewer tasks, though never fewer
+    than the cluster has cores: a Python worker per shuffle partition costs more than
+    iterations' small rows do."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-partitions(df) // 16)))
 
 
@@ -82,6 +83,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]]):
     """A ``mapInArrow`` function from a function of one record batch."""
 

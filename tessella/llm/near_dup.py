@@ -1,8 +1,8 @@
 r"""MinHash near-dedup: a Chosen-Path set similarity join (operator 10).
 
-A document's set holds its distinct 2-word shingles (A-Z lower-cased, words
-``[^\x20\x09-\x0D]+``); with one word, that word is the one shingle; without words
-the set is empty and linked with nothing.  Two documents are linked if
+A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased,
+words ``[^\x20\x09-\x0D]+``); with fewer words, the whole sequence is the one shingle;
+without words the set is empty and linked with nothing.  Two documents are linked if
 ``100 * |A & B| >= 80 * |A | B|``; components of these links are the groups.
 
 1. *Classes.* Equal sets share a 128-bit digest; one row per class goes on, so
@@ -25,8 +25,15 @@ the set is empty and linked with nothing.  Two documents are linked if
    correctness.
 4. *Full sets.* Each cluster's full sets are compared exactly, by inverted lists,
    in blocks of bounded size.  A larger cluster has several blocks that share
-   pivots; members whose links to the largest component are not yet shown are then
-   held against every other block, so no link between components is lost.
+   ``PIVOTS`` of its members.  What the blocks leave undecided - members outside
+   their cluster's largest component - meets the cluster's other members through
+   inverted lists of prefixes: with the shingles in any one order, two linked sets
+   of n and m shingles share some of their first n - ceil(0.8 n) + 1 and
+   m - ceil(0.8 m) + 1.  Shingles that few pivots hold come first, so the lists of a
+   boilerplate's words are never opened.  Pairs that share too few prefix shingles to
+   reach 0.8 go; the rest are confirmed on full sets.  No link between components is
+   lost, no task holds more than a block, and members without a rare shingle in
+   common never meet.
 
 Defined cases: null and word-free texts stand alone (``n_shingles`` 0, component
 their own id, kept); rows with equal ids are separate documents; a null id gives
@@ -47,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import LAST_ID, by_batch, by_groups, clear, few, id_key, partitions, rows_of_binary, written
+from .common import LAST_ID, by_batch, by_groups, clear, few, id_key, partitions, rows_of_binary, unused, written
 from .components import components
 
 U64 = np.uint64
@@ -59,9 +66,9 @@ SETTLED = 0.6
 UNSURE = 0.2
 #: A sketch of a pair at 0.8 agrees in 0.8 of its places, give or take 0.05.
 SKETCH_SHARE = 0.55
-BLOCK_SETS = 2048
-BLOCK_SHINGLES = 1 << 20
-PIVOTS = 8
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 18
+PIVOTS = 16
 
 _draw = np.random.default_rng(20240229)
 _MULTIPLIERS = _draw.integers(0, 1 << 63, SKETCH, dtype=U64) << U64(1) | U64(1)
@@ -76,19 +83,19 @@ def trees_for(recall: float, similarity: float = 0.8) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = 2) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     out: list[np.ndarray] = []
     data, offsets = W.text_buffers(column)
     for a, z in W.slices(offsets):
         words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
         hashes = words.hashes(lower=True)
-        pairs = W.rolling(hashes, 2)
+        runs = W.rolling(hashes, width)
         for f, l in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-            if l - f >= 2:
-                out.append(np.unique(pairs[f : l - 1]))
-            elif l - f == 1:
-                out.append(W.mix(hashes[f:l] ^ _SINGLE))
+            if l - f >= width:
+                out.append(np.unique(runs[f : l - width + 1]))
+            elif l > f:
+                out.append(W.mix(W.rolling(hashes[f:l], l - f) ^ _SINGLE))
             else:
                 out.append(np.empty(0, U64))
     return out
@@ -105,18 +112,25 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
 ROWS = 512
 
 
-def _describe(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-    out = []
-    for s in range(0, batch.num_rows, ROWS):
-        part = batch.slice(s, ROWS)
-        digests, sketches, sizes = [], [], []
-        for shingles in shingle_sets(part.column(2)):
-            sizes.append(len(shingles))
-            digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            sketches.append(_sketch(shingles).tobytes() if len(shingles) else None)
-        columns = [part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-        out.append(pa.record_batch(columns, names=["out_id", "doc", "cid", "n", "sketch"]))
-    return out
+def _describe(width: int):
+    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        for s in range(0, batch.num_rows, ROWS):
+            part = batch.slice(s, ROWS)
+            digests, sketches, sizes = [], [], []
+            for shingles in shingle_sets(part.column(3), width):
+                sizes.append(len(shingles))
+                digests.append(_digest(shingles) if len(shingles) else None)
+                sketches.append(_sketch(shingles).tobytes() if len(shingles) else None)
+            columns = [*(part.column(i) for i in range(3)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            out.append(pa.record_batch(columns, names=["out_id", "doc", "h", "cid", "n", "sketch"]))
+        return out
+
+    return by_batch(run)
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _child(node: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -298,57 +312,109 @@ def _block(batch: pa.RecordBatch, starts: np.ndarray):
         yield pa.record_batch([take.column(0), take.column(1), take.column(2), take.column(4), take.column(5), pa.array(np.concatenate(labels))], names=["root", "block", "cid", "key", "blocks", "label"])
 
 
-def _across(batch: pa.RecordBatch, starts: np.ndarray):
-    """Blocks with their classes and the cluster's undecided ones (``probe``) ->
-    exact links between different components (``label``)."""
-    us, vs = [], []
-    probe_all, label_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 4))
+def _prefixes(batch: pa.RecordBatch, starts: np.ndarray):
+    """Blocks of members (``pivot`` false) and their cluster's pivots -> each member's
+    prefix: ``token, key, label, n`` and ``probe``.  Shingles are ordered by how many
+    pivots hold them, then by hash: the same order in all blocks of a cluster."""
+    keys, labels = (batch.column(i).to_numpy() for i in (3, 4))
+    probe, pivot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+    sets = batch.column(2)
+    out = []
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-        probe = np.flatnonzero(probe_all[s:e])
-        if not len(probe) or len(probe) == e - s:
-            continue
-        label = label_all[s:e]
-        links = _Links([np.frombuffer(x.as_buffer(), U64) for x in batch.column(3).slice(s, e - s)])
-        for i in probe.tolist():
-            # one link to each component it meets is enough
-            met = np.unique(label[links.of(i) & (label != label[i])])
-            us.extend([label[i]] * len(met))
-            vs.extend(met.tolist())
-    if us:
-        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        of = {int(keys[i]): np.frombuffer(sets[i].as_buffer(), U64) for i in range(s, e) if pivot[i]}
+        common, held = np.unique(np.concatenate([*of.values(), np.empty(0, U64)]), return_counts=True)
+        for i in range(s, e):
+            if pivot[i]:
+                continue
+            own = np.frombuffer(sets[i].as_buffer(), U64)
+            often = np.zeros(len(own), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                often = np.where(common[at] == own, held[at], 0)
+            first = np.lexsort((own, often))[: len(own) - _needed(len(own)) + 1]
+            out.append((own[first], i, len(own)))
+    if out:
+        size = np.array([len(x) for x, _, _ in out])
+        row = np.repeat([i for _, i, _ in out], size)
+        n = np.repeat([n for _, _, n in out], size)
+        token = np.concatenate([x for x, _, _ in out]).view(np.int64)
+        yield pa.record_batch([pa.array(token), pa.array(keys[row]), pa.array(labels[row]), pa.array(n), pa.array(probe[row])], names=["token", "key", "label", "n", "probe"])
+
+
+def _needed(n):
+    """Shingles that a set of ``n`` shares with any set it is linked with."""
+    return -(-80 * n // 100)
+
 
+def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(u, v, both sets) -> the pairs that are linked."""
+    keep = []
+    for a, b in zip(batch.column(2), batch.column(3)):
+        a, b = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        keep.append(100 * both >= 80 * (len(a) + len(b) - both))
+    mask = pa.array(keep, pa.bool_())
+    return pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-def _set_rows(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+
+def prefix_rows(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """Prefix shingles of all members of the clusters that have undecided members.
+
+    ``wide``: ``root, block, cid, shingles, key, blocks, pivot``; ``labels``: ``key,
+    label, probe``."""
+    rows = wide.join(labels.hint("merge"), "key").select("root", "block", "shingles", "key", "label", "probe", "pivot")
+    dealt = rows.repartition(partitions(wide), "root", "block").sortWithinPartitions("root", "block")
+    return dealt.mapInArrow(by_groups(2, _prefixes), "token long, key long, label long, n long, probe boolean")
+
+
+def candidate_pairs(prefixes: DataFrame) -> DataFrame:
+    """``u, v`` of an undecided member and one of another component that share enough
+    prefix shingles to be linked.  Every shared one counts: with c of them the sets
+    share at most c and what lies behind the longer remainder's prefix."""
+    # Behind the prefix lie the needed shingles less one.
+    sides = prefixes.withColumn("behind", F.expr("(80 * n + 99) div 100 - 1"))
+    a = sides.where("probe").select("token", F.col("key").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("behind").alias("bu"))
+    b = sides.select("token", F.col("key").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("behind").alias("bv"), F.col("probe").alias("pv"))
+    met = a.join(b.hint("merge"), "token").where("lu != lv and (u < v or not pv) and 100 * least(nu, nv) >= 80 * greatest(nu, nv)")
+    shared = met.groupBy("u", "v").agg(F.count("*").alias("c"), F.first(F.expr("greatest(bu, bv)")).alias("most"), F.first(F.expr("nu + nv")).alias("all"))
+    return shared.where("180 * (c + most) >= 80 * all").select("u", "v")
+
+
+def _set_rows(width: int):
     """(text, cid, root, key) -> the rows whose text has the class's set, with it."""
-    out = []
-    for s in range(0, batch.num_rows, ROWS):
-        part = batch.slice(s, ROWS)
-        sets, own = shingle_sets(part.column(0)), part.column(1).to_pylist()
-        keep = [i for i, x in enumerate(sets) if len(x) and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == own[i]]
-        take = pa.array(keep, pa.int64())
-        columns = [part.column(1).take(take), part.column(2).take(take), part.column(3).take(take), pa.array([sets[i].tobytes() for i in keep], pa.binary())]
-        out.append(pa.record_batch(columns, names=["cid", "root", "key", "shingles"]))
-    return out
 
+    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        for s in range(0, batch.num_rows, ROWS):
+            part = batch.slice(s, ROWS)
+            sets, own = shingle_sets(part.column(0), width), part.column(1).to_pylist()
+            take = [i for i, x in enumerate(sets) if len(x) and _digest(x) == own[i]]
+            rows = pa.array(take, pa.int64())
+            columns = [*(part.column(i).take(rows) for i in (1, 2, 3)), pa.array([sets[i].tobytes() for i in take], pa.binary())]
+            out.append(pa.record_batch(columns, names=["cid", "root", "key", "shingles"]))
+        return out
 
-def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
+    return by_batch(run)
+
+
+def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str], width: int = 2) -> DataFrame:
     """``cid, comp`` of exact components among candidate clusters' classes.
 
-    ``members``: ``cid, rep, n, key, root`` (root: the cluster); ``texts``: ``doc,
-    text``.  A cluster of one block is settled in its task; only larger ones need
-    their blocks joined.
+    ``members``: ``cid, rep, n, key, root`` (root: the cluster; rep: ``doc, h`` of one
+    row with the set); ``texts``: ``doc, h, text``.  A cluster of one block is settled
+    in its task; only larger ones need their blocks joined.
     """
     n = partitions(members)
     # Merged at every size: the members grow with the documents.
-    own = members.select(F.col("rep").alias("doc"), "cid", "root", "key").hint("merge")
-    sets = own.join(texts, "doc").select("text", "cid", "root", "key")
-    sets = sets.mapInArrow(by_batch(_set_rows), "cid binary, root long, key long, shingles binary")
+    own = members.select("rep.doc", "rep.h", "cid", "root", "key").hint("merge")
+    sets = own.join(texts, ["doc", "h"]).select("text", "cid", "root", "key")
+    sets = sets.mapInArrow(_set_rows(width), "cid binary, root long, key long, shingles binary")
     weight = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
     weight = weight.select(
         "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
     columns = ["root", "block", "cid", "shingles", "key", "blocks"]
-    sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", compact=True, scratch=scratch)
+    sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", scratch=scratch)
     wide = sets.where("blocks > 1")
     several = not wide.isEmpty()
     rows = sets
@@ -356,7 +422,7 @@ def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str]) -
         rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
         pivots = wide.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("root", _blocks_of(), "cid", "shingles", "key", "blocks")
         rows = sets.union(pivots)
-    dealt = few(rows.repartition(n, "root", "block").sortWithinPartitions("root", "block"))
+    dealt = rows.repartition(n, "root", "block").sortWithinPartitions("root", "block")
     labelled = dealt.mapInArrow(by_groups(2, _block), "root long, block long, cid binary, key long, blocks long, label long")
     labelled = written(labelled, "labelled", scratch=scratch)
     settled = labelled.where("blocks = 1").select("cid", F.col("label").alias("comp"))
@@ -365,39 +431,52 @@ def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str]) -
     open_rows = labelled.where("blocks > 1")
     links = open_rows.select(F.col("key").alias("u"), F.col("label").alias("v"))
     found = written(components(links, "joined", scratch).select("node", F.col("root").alias("comp")), "joined", compact=True, scratch=scratch)
-    # Members outside their cluster's largest component meet all its other blocks.
-    comp = F.coalesce("comp", "key").alias("label")
-    of = wide.join(found, wide["key"] == found["node"], "left").select("root", "block", "cid", "shingles", comp, "blocks")
-    sizes = of.groupBy("root", "label").agg(F.countDistinct("cid").alias("k"))
-    main = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    of = written(of.join(main, "root"), "undecided", compact=True, scratch=scratch)
-    probes = of.where("label != main").select("root", _blocks_of(), "cid", "shingles", "label", F.lit(True).alias("probe"))
-    both = of.select("root", "block", "cid", "shingles", "label", F.lit(False).alias("probe")).union(probes)
-    more = few(both.repartition(n, "root", "block").sortWithinPartitions("root", "block")).mapInArrow(by_groups(2, _across), "u long, v long")
-    final = components(links.union(more), "joined", scratch).select("node", F.col("root").alias("comp"))
-    held = wide.select("cid", "key").distinct()
-    return settled.union(held.join(final, held["key"] == final["node"], "left").select("cid", F.coalesce("comp", "key")))
+    held = open_rows.select("root", "cid", "key").distinct()
+    named = held.join(found.hint("merge"), held["key"] == found["node"], "left").select("root", "cid", "key", F.coalesce("comp", "key").alias("label"))
+    sizes = named.groupBy("root", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    named = written(named.join(main.hint("merge"), "root", "left").withColumn("probe", F.coalesce(F.col("label") != F.col("main"), F.lit(False))), "named", compact=True, scratch=scratch)
+    known = named.select("cid", F.col("label").alias("comp"))
+    if named.where("probe").isEmpty():
+        return settled.union(known)
+    # Members outside their cluster's largest component meet its others by their rare shingles.
+    labels = named.where("main is not null").select("key", "label", "probe")
+    both = wide.withColumn("pivot", F.lit(False)).union(pivots.withColumn("pivot", F.lit(True)))
+    prefixes = written(prefix_rows(both, labels), "prefixes", scratch=scratch)
+    pairs = written(candidate_pairs(prefixes), "pairs", scratch=scratch)
+    of = wide.select("key", "shingles")
+    full = pairs.join(of.select(F.col("key").alias("u"), F.col("shingles").alias("su")).hint("merge"), "u").join(of.select(F.col("key").alias("v"), F.col("shingles").alias("sv")).hint("merge"), "v")
+    more = full.select("u", "v", "su", "sv").mapInArrow(by_batch(_confirm), "u long, v long")
+    met = more.join(labels.select(F.col("key").alias("u"), F.col("label").alias("a")).hint("merge"), "u").join(labels.select(F.col("key").alias("v"), F.col("label").alias("b")).hint("merge"), "v")
+    joined = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")), "final", scratch).select("node", F.col("root").alias("comp"))
+    final = named.join(joined.hint("merge"), named["label"] == joined["node"], "left").select("cid", F.coalesce("comp", "label"))
+    return settled.union(final)
 
 
 def _blocks_of():
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999) -> DataFrame:
-    """A row per document: its id, ``n_shingles``, ``component_id`` and ``kept``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999, width: int = 2) -> DataFrame:
+    """A row per document: its id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    ``width``: words in a shingle."""
     trees = trees_for(recall)
-    texts = docs.select(F.col(id_col).alias("out_id"), id_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    # ``h`` tells rows without an id, or with the same one, apart.
+    texts = docs.select(F.col(id_col).alias("out_id"), id_key(id_col).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(texts.mapInArrow(by_batch(_describe), f"out_id {kind}, doc long, cid binary, n long, sketch binary"), "described")
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("key", F.xxhash64("cid")), "classes", compact=True)
+    rows = written(texts.mapInArrow(_describe(width), f"out_id {kind}, doc long, h long, cid binary, n long, sketch binary"), "described")
+    classes = rows.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc", "h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("key", F.xxhash64("cid")), "classes")
     scratch: list[str] = []
     clusters = components(written(candidate_edges(classes, trees, scratch), "candidates", compact=True, scratch=scratch), "clusters", scratch)
-    members = written(classes.join(clusters.withColumnRenamed("node", "key"), "key").select("cid", "rep", "n", "key", "root"), "members", compact=True, scratch=scratch)
-    exact = written(exact_components(members, texts.select("doc", "text"), scratch), "groups", compact=True)
+    members = written(classes.join(clusters.withColumnRenamed("node", "key").hint("merge"), "key").select("cid", "rep", "n", "key", "root"), "members", compact=True, scratch=scratch)
+    exact = written(exact_components(members, texts.select("doc", "h", "text"), scratch, width), "groups", compact=True)
     clear(docs.sparkSession, scratch)
-    least = exact.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("least"))
-    labels = classes.select("cid", "rep").join(exact.join(least, "comp").select("cid", "least"), "cid", "left")
+    names = classes.select("cid", F.col("rep.doc").alias("rep"))
+    least = exact.join(names, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
+    labels = names.join(exact.join(least, "comp").select("cid", "least"), "cid", "left")
     # Written, so that the join below has an exchange on both sides and a hot class splits.
     labels = written(labels.select("cid", F.coalesce("least", "rep").alias("least")), "labels", compact=True)
     out = rows.select("out_id", "doc", "cid", "n").join(labels.hint("merge"), "cid", "left")
@@ -406,12 +485,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("out_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("out_id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99999, width: int = 5) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
     Repeated rows (same id and text) count once; documents without words stay."""
-    found = near_duplicates(docs, id_col, text_col, recall)
-    kept = found.where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    kept_id, nth = unused(docs, "kept"), unused(docs, "nth")
+    found = near_duplicates(docs, id_col, text_col, recall, width)
+    kept = found.where("kept").select(F.col(id_col).alias(kept_id)).distinct()
+    rows = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.col(id_col))
-    return rows.withColumn("__nth", F.row_number().over(again)).where(F.col("__nth") == 1).drop("__nth")
+    return rows.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).drop(nth)

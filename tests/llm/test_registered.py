@@ -48,7 +48,7 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     net = quality_cnn.fit(docs, labels)
     assert ids[1] == {r["doc_id"] for r in quality_cnn.score(docs, net).where(f"score >= {quality_cnn.KEEP}").collect()}
-    assert ids[2] == {r["doc_id"] for r in near_dup.near_duplicates(seen[1]).where("kept").collect()}
+    assert ids[2] == {r["doc_id"] for r in near_dup.near_duplicates(seen[1], width=5).where("kept").collect()}
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     leaking = {r["doc_id"] for r in decontaminate.find_leaks(seen[3], items).collect()}
     assert ids[4] == ids[3] - leaking

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, lattice_lm, near_dup, quality_cnn, substring_dedup
 from tessella.llm import words as W
@@ -132,10 +133,10 @@ def test_anchors_do_not_depend_on_batches(spark, monkeypatch):
 # --- near duplicates ---------------------------------------------------------------
 
 
-def brute_groups(rows):
+def brute_groups(rows, width=2):
     def shingles(text):
         w = words(text, True)
-        return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w)
+        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
     sets = [shingles(t) for _, t in rows]
     label = list(range(len(rows)))
@@ -162,6 +163,75 @@ def test_near_duplicates(spark, documents, small_batches, monkeypatch, seed, bou
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_wider_shingles(spark, documents, width):
+    rows = list(enumerate(ODD + random_texts(60, 300 + width)))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    assert sorted((tuple(r) for r in near_dup.near_duplicates(docs, width=width).collect()), key=repr) == brute_groups(rows, width)
+
+
+def loose_rows(n):
+    """Documents that share 78 words and have 80 of their own each: no two are linked."""
+    shared = " ".join(f"s{i}" for i in range(78))
+    return [(i, shared + " " + " ".join(f"o{i}x{j}" for j in range(80))) for i in range(n)]
+
+
+def test_members_of_a_loose_cluster_do_not_meet(spark, monkeypatch):
+    """Rows of the exact stage grow in proportion to a cluster that one boilerplate joins."""
+    monkeypatch.setattr(near_dup, "NODE", 16)
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 40)
+    counts = {}
+    prefix, pairs = near_dup.prefix_rows, near_dup.candidate_pairs
+
+    def counted(name, made):
+        def run(*args):
+            out = made(*args)
+            counts.setdefault(name, []).append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(near_dup, "prefix_rows", counted("prefixes", prefix))
+    monkeypatch.setattr(near_dup, "candidate_pairs", counted("pairs", pairs))
+    for n in (200, 400):
+        docs = spark.createDataFrame(loose_rows(n), "doc_id long, text string")
+        assert near_dup.near_duplicates(docs).where("kept and component_id = doc_id").count() == n
+    few, many = counts["prefixes"]
+    assert 0 < few and many < 2.5 * few
+    assert counts["pairs"] == [0, 0]
+
+
+def test_links_of_undecided_members_are_found(spark, monkeypatch):
+    """Chains through one boilerplate: links lie across blocks, and both ends share it."""
+    monkeypatch.setattr(near_dup, "NODE", 16)
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 10)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    draw = random.Random(9)
+    rows = loose_rows(60)
+    for i, text in list(rows):
+        for c in range(draw.randint(0, 3)):
+            w = text.split()
+            for _ in range(draw.randint(1, 12)):
+                w[draw.randrange(len(w))] = f"c{i}x{c}x{draw.randrange(1000)}"
+            rows.append((1000 + 10 * i + c, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
+
+
+def test_rows_without_an_id_do_not_meet_each_other(spark):
+    texts = random_texts(30, 5, longest=40)
+    rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
+
+
+def test_recall_on_the_supplied_documents(spark):
+    """Against an exact join by inverted lists of whole sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 16)
     monkeypatch.setattr(near_dup, "BLOCK_SETS", 40)
@@ -202,6 +272,7 @@ def test_repeated_words_in_a_document(spark):
 def test_keep_one(spark, documents):
     text = " ".join(f"k{i}" for i in range(50))
     docs = documents([(3, text, "en", "a", 1), (1, text.upper(), "de", "b", 2), (1, text.upper(), "de", "b", 2), (2, "", "fr", "c", 0), (None, "lonely text", "es", "d", 4)])
+    docs = docs.withColumn("kept", F.lit("x")).withColumn("nth", F.lit("x")).withColumn("_kept", F.lit("x"))
     got = near_dup.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["lang"]) for r in got.collect()), key=repr) == [(1, "de"), (2, "fr"), (None, "es")]
