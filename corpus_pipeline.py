@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similar word pairs stays."""
+    """One document of each group linked by similar five-word shingles stays."""
     return near_dup.keep_one(docs)
 
 
