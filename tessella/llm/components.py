@@ -2,67 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear, few, partitions, written
-
-
-def _star(large: bool):
-    """One star step over rows ``(u, v)`` sorted by both: a stream that holds one
-    node's smallest neighbour, however many neighbours it has.
-
-    Large: a node hangs its larger neighbours on the smallest of itself and all
-    neighbours (rows come in both directions).  Small: it hangs its smaller
-    neighbours, and itself, on the smallest of them (rows have ``u > v``).
-    """
+from .common import clear, written
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the node being read and the smallest of it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            start = np.ones(len(u), bool)
-            start[1:] = u[1:] != u[:-1]
-            head = np.flatnonzero(start)
-            size = np.diff(np.append(head, len(u)))
-            least = np.minimum(u[head], v[head]) if large else v[head]
-            goes_on = held is not None and held[0] == u[0]
-            if goes_on:
-                least[0] = held[1]
-            held = (u[-1], least[-1])
-            on = np.repeat(least, size)
-            again = np.zeros(len(u), bool)
-            again[1:] = ~start[1:] & (v[1:] == v[:-1])
-            if large:
-                keep = (v > u) & ~again
-                yield pa.record_batch([pa.array(v[keep]), pa.array(on[keep])], names=["u", "v"])
-            else:
-                keep = (v != on) & ~again
-                own = slice(1, None) if goes_on else slice(None)
-                yield pa.record_batch([pa.array(np.concatenate([v[keep], u[head][own]])), pa.array(np.concatenate([on[keep], least[own]]))], names=["u", "v"])
 
-    return run
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours hang on the smallest of itself and all neighbours."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("least"))
+    larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return larger.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    rows = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    dealt = rows.repartition(partitions(edges), "u").sortWithinPartitions("u", "v")
-    return few(dealt).mapInArrow(_star(large), "u long, v long")
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node's smaller neighbours, and itself, hang on the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    moved = edges.join(least.hint("merge"), "u").where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return moved.union(least)
 
 
 def components(edges: DataFrame, name: str, scratch: list[str]) -> DataFrame:
     """``node, root`` for every node of ``edges`` (long columns ``u`` and ``v``); the
     root is the component's smallest node.
 
-    Self loops and repeated edges are allowed; null ends are dropped.  Each round is
-    written to the shared folder, and rounds end when the edges stay the same.  The
-    round before is deleted; the last one's path goes to ``scratch``.
+    Self loops and repeated edges are allowed; null ends are dropped.  A node's
+    smallest neighbour is an aggregate with partial sums, and it meets the node's edges
+    in a join that Spark can split, so a node that very many hang on fills no task.
+    Each step is written to the shared folder, and rounds end when the edges stay the
+    same.  The step before is deleted; the last one's path goes to ``scratch``.
     """
     spark, before, now = edges.sparkSession, [], []
     edges = edges.where("u is not null and v is not null and u != v")
@@ -73,9 +42,10 @@ def components(edges: DataFrame, name: str, scratch: list[str]) -> DataFrame:
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        before, now = now, []
-        edges = written(_step(_step(edges, True), False), name, compact=True, scratch=now)
-        clear(spark, before)
+        for star in (_large_star, _small_star):
+            before, now = now, []
+            edges = written(star(edges).distinct(), name, compact=True, scratch=now)
+            clear(spark, before)
     scratch.extend(now)
     # Stars now: every u hangs on its root.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -26,14 +26,12 @@ without words the set is empty and linked with nothing.  Two documents are linke
 4. *Full sets.* Each cluster's full sets are compared exactly, by inverted lists,
    in blocks of bounded size.  A larger cluster has several blocks that share
    ``PIVOTS`` of its members.  What the blocks leave undecided - members outside
-   their cluster's largest component - meets the cluster's other members through
-   inverted lists of prefixes: with the shingles in any one order, two linked sets
-   of n and m shingles share some of their first n - ceil(0.8 n) + 1 and
-   m - ceil(0.8 m) + 1.  Shingles that few pivots hold come first, so the lists of a
-   boilerplate's words are never opened.  Pairs that share too few prefix shingles to
-   reach 0.8 go; the rest are confirmed on full sets.  No link between components is
-   lost, no task holds more than a block, and members without a rare shingle in
-   common never meet.
+   their cluster's largest component - visits other blocks, though only those that an
+   inverted list of prefixes names: with the shingles in any one order, two linked
+   sets of n and m shingles share some of their first n - ceil(0.8 n) + 1 and
+   m - ceil(0.8 m) + 1.  Shingles that few pivots hold come first, so a boilerplate's
+   words name no block.  A list has a row per block and not per member.  No link
+   between components is lost, and no task holds more than a block and as many visitors.
 
 Defined cases: null and word-free texts stand alone (``n_shingles`` 0, component
 their own id, kept); rows with equal ids are separate documents; a null id gives
@@ -278,20 +276,13 @@ class _Links:
         return 100 * both >= 80 * (self.size[i] + self.size - both)
 
 
-def _groups(batch: pa.RecordBatch, starts: np.ndarray):
-    """Each block's first row, end, and the rows of its distinct classes."""
-    cids = batch.column(2)
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-        held = dict(zip(cids.slice(s, e - s).to_pylist(), range(s, e)))
-        yield s, e, list(held.values())
-
-
 def _block(batch: pa.RecordBatch, starts: np.ndarray):
     """Blocks (root, block) of classes with their sets and keys -> every class with
-    its component's smallest key within the block."""
-    keys, sets = batch.column(4).to_numpy(), batch.column(3)
+    its component's smallest key within the block.  Pivots come last in a block."""
+    cids, sets, keys = batch.column(3), batch.column(4), batch.column(5).to_numpy()
     out, labels = [], []
-    for _, _, rows in _groups(batch, starts):
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        rows = list(dict(zip(cids.slice(s, e - s).to_pylist(), range(s, e))).values())
         names = keys[rows]
         order = np.argsort(names, kind="stable")
         rows, names = [rows[i] for i in order.tolist()], names[order]
@@ -309,20 +300,41 @@ def _block(batch: pa.RecordBatch, starts: np.ndarray):
         labels.append(names[label])
     if out:
         take = batch.take(pa.array(out, pa.int64()))
-        yield pa.record_batch([take.column(0), take.column(1), take.column(2), take.column(4), take.column(5), pa.array(np.concatenate(labels))], names=["root", "block", "cid", "key", "blocks", "label"])
+        columns = [take.column(i) for i in (0, 1, 2, 3, 5, 6)]
+        yield pa.record_batch([*columns, pa.array(np.concatenate(labels))], names=["root", "block", "pivot", "cid", "key", "blocks", "label"])
+
+
+def _across(batch: pa.RecordBatch, starts: np.ndarray):
+    """Blocks (root, block, share) with their members and visitors (``probe``) ->
+    exact links between different components (``label``)."""
+    us, vs = [], []
+    label_all, probe_all = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        probe = np.flatnonzero(probe_all[s:e])
+        if not len(probe) or len(probe) == e - s:
+            continue
+        label = label_all[s:e]
+        links = _Links([np.frombuffer(x.as_buffer(), U64) for x in batch.column(3).slice(s, e - s)])
+        for i in probe.tolist():
+            # one link to each component it meets is enough
+            met = np.unique(label[links.of(i) & (label != label[i])])
+            us.extend([label[i]] * len(met))
+            vs.extend(met.tolist())
+    if us:
+        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _prefixes(batch: pa.RecordBatch, starts: np.ndarray):
-    """Blocks of members (``pivot`` false) and their cluster's pivots -> each member's
-    prefix: ``token, key, label, n`` and ``probe``.  Shingles are ordered by how many
-    pivots hold them, then by hash: the same order in all blocks of a cluster."""
-    keys, labels = (batch.column(i).to_numpy() for i in (3, 4))
-    probe, pivot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
-    sets = batch.column(2)
-    out = []
+    """Blocks of members and their cluster's pivots -> the prefix shingles of the
+    block, once each (``key`` null), and those of each undecided member (its ``key``).
+    Shingles are ordered by how many pivots hold them, then by hash: the same order
+    in all blocks of a cluster."""
+    pivot, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
+    keys, sets = batch.column(4).to_numpy(), batch.column(3)
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
         of = {int(keys[i]): np.frombuffer(sets[i].as_buffer(), U64) for i in range(s, e) if pivot[i]}
         common, held = np.unique(np.concatenate([*of.values(), np.empty(0, U64)]), return_counts=True)
+        block, tokens, owner = [], [], []
         for i in range(s, e):
             if pivot[i]:
                 continue
@@ -331,14 +343,19 @@ def _prefixes(batch: pa.RecordBatch, starts: np.ndarray):
             if len(common):
                 at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                 often = np.where(common[at] == own, held[at], 0)
-            first = np.lexsort((own, often))[: len(own) - _needed(len(own)) + 1]
-            out.append((own[first], i, len(own)))
-    if out:
-        size = np.array([len(x) for x, _, _ in out])
-        row = np.repeat([i for _, i, _ in out], size)
-        n = np.repeat([n for _, _, n in out], size)
-        token = np.concatenate([x for x, _, _ in out]).view(np.int64)
-        yield pa.record_batch([pa.array(token), pa.array(keys[row]), pa.array(labels[row]), pa.array(n), pa.array(probe[row])], names=["token", "key", "label", "n", "probe"])
+            first = own[np.lexsort((own, often))[: len(own) - _needed(len(own)) + 1]]
+            block.append(first)
+            if probe[i]:
+                tokens.append(first)
+                owner.append(np.full(len(first), keys[i]))
+        if not block:
+            continue
+        once = np.unique(np.concatenate(block))
+        token = np.concatenate([once, *tokens]).view(np.int64)
+        key = np.concatenate([np.zeros(len(once), np.int64), *owner])
+        own_row = np.arange(len(token)) >= len(once)
+        place = [pa.array(np.full(len(token), batch.column(i)[s].as_py())) for i in range(2)]
+        yield pa.record_batch([*place, pa.array(token), pa.array(key, mask=~own_row)], names=["root", "block", "token", "key"])
 
 
 def _needed(n):
@@ -346,38 +363,26 @@ def _needed(n):
     return -(-80 * n // 100)
 
 
-def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(u, v, both sets) -> the pairs that are linked."""
-    keep = []
-    for a, b in zip(batch.column(2), batch.column(3)):
-        a, b = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        keep.append(100 * both >= 80 * (len(a) + len(b) - both))
-    mask = pa.array(keep, pa.bool_())
-    return pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
-
-
 def prefix_rows(wide: DataFrame, labels: DataFrame) -> DataFrame:
-    """Prefix shingles of all members of the clusters that have undecided members.
+    """``root, block, token, key``: the prefix shingles of blocks and of undecided
+    members, in the clusters that have such.
 
-    ``wide``: ``root, block, cid, shingles, key, blocks, pivot``; ``labels``: ``key,
+    ``wide``: ``root, block, pivot, cid, shingles, key, blocks``; ``labels``: ``key,
     label, probe``."""
-    rows = wide.join(labels.hint("merge"), "key").select("root", "block", "shingles", "key", "label", "probe", "pivot")
+    rows = wide.join(labels.hint("merge"), "key").select("root", "block", "pivot", "shingles", "key", "probe")
     dealt = rows.repartition(partitions(wide), "root", "block").sortWithinPartitions("root", "block")
-    return dealt.mapInArrow(by_groups(2, _prefixes), "token long, key long, label long, n long, probe boolean")
+    return dealt.mapInArrow(by_groups(2, _prefixes), "root long, block long, token long, key long")
 
 
-def candidate_pairs(prefixes: DataFrame) -> DataFrame:
-    """``u, v`` of an undecided member and one of another component that share enough
-    prefix shingles to be linked.  Every shared one counts: with c of them the sets
-    share at most c and what lies behind the longer remainder's prefix."""
-    # Behind the prefix lie the needed shingles less one.
-    sides = prefixes.withColumn("behind", F.expr("(80 * n + 99) div 100 - 1"))
-    a = sides.where("probe").select("token", F.col("key").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("behind").alias("bu"))
-    b = sides.select("token", F.col("key").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("behind").alias("bv"), F.col("probe").alias("pv"))
-    met = a.join(b.hint("merge"), "token").where("lu != lv and (u < v or not pv) and 100 * least(nu, nv) >= 80 * greatest(nu, nv)")
-    shared = met.groupBy("u", "v").agg(F.count("*").alias("c"), F.first(F.expr("greatest(bu, bv)")).alias("most"), F.first(F.expr("nu + nv")).alias("all"))
-    return shared.where("180 * (c + most) >= 80 * all").select("u", "v")
+def visits(prefixes: DataFrame) -> DataFrame:
+    """``key, root, block, share, shares``: the blocks that each undecided member must
+    be held against, at most about ``BLOCK_SETS`` visitors to a share of a block."""
+    blocks = prefixes.where("key is null").select("root", "token", "block")
+    members = prefixes.where("key is not null").select("root", "token", "key", F.col("block").alias("home"))
+    # Its own block is done: all its members were held against each other.
+    met = members.join(blocks.hint("merge"), ["root", "token"]).where("block != home").select("key", "root", "block").distinct()
+    shares = met.groupBy("root", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("shares"))
+    return met.join(shares.hint("merge"), ["root", "block"]).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")))
 
 
 def _set_rows(width: int):
@@ -413,44 +418,53 @@ def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str], w
     weight = weight.select(
         "root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
-    columns = ["root", "block", "cid", "shingles", "key", "blocks"]
+    columns = ["root", "block", F.lit(False).alias("pivot"), "cid", "shingles", "key", "blocks"]
     sets = written(sets.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")).select(columns), "sets", scratch=scratch)
     wide = sets.where("blocks > 1")
     several = not wide.isEmpty()
     rows = sets
     if several:
         rank = Window.partitionBy("root").orderBy(F.xxhash64("cid", F.lit(1)), "cid")
-        pivots = wide.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("root", _blocks_of(), "cid", "shingles", "key", "blocks")
+        pivots = wide.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PIVOTS).select("root", _blocks_of(), F.lit(True).alias("pivot"), "cid", "shingles", "key", "blocks")
         rows = sets.union(pivots)
-    dealt = rows.repartition(n, "root", "block").sortWithinPartitions("root", "block")
-    labelled = dealt.mapInArrow(by_groups(2, _block), "root long, block long, cid binary, key long, blocks long, label long")
+    dealt = rows.repartition(n, "root", "block").sortWithinPartitions("root", "block", "pivot")
+    labelled = dealt.mapInArrow(by_groups(2, _block), "root long, block long, pivot boolean, cid binary, key long, blocks long, label long")
     labelled = written(labelled, "labelled", scratch=scratch)
     settled = labelled.where("blocks = 1").select("cid", F.col("label").alias("comp"))
     if not several:
         return settled
     open_rows = labelled.where("blocks > 1")
-    links = open_rows.select(F.col("key").alias("u"), F.col("label").alias("v"))
-    found = written(components(links, "joined", scratch).select("node", F.col("root").alias("comp")), "joined", compact=True, scratch=scratch)
-    held = open_rows.select("root", "cid", "key").distinct()
-    named = held.join(found.hint("merge"), held["key"] == found["node"], "left").select("root", "cid", "key", F.coalesce("comp", "key").alias("label"))
+    # Only pivots lie in several blocks and so join the components of different ones.
+    links = open_rows.where("pivot").select(F.col("key").alias("u"), F.col("label").alias("v"))
+    found = written(components(links, "joined", scratch), "joined", compact=True, scratch=scratch)
+    held = open_rows.groupBy("root", "cid", "key").agg(F.min("label").alias("label"))
+    named = held.join(found.hint("merge"), held["label"] == found["node"], "left").select(held["root"], "cid", "key", F.coalesce(found["root"], "label").alias("label"))
+    named = written(named, "labels", compact=True, scratch=scratch)
     sizes = named.groupBy("root", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    named = written(named.join(main.hint("merge"), "root", "left").withColumn("probe", F.coalesce(F.col("label") != F.col("main"), F.lit(False))), "named", compact=True, scratch=scratch)
     known = named.select("cid", F.col("label").alias("comp"))
-    if named.where("probe").isEmpty():
+    if main.isEmpty():
         return settled.union(known)
-    # Members outside their cluster's largest component meet its others by their rare shingles.
-    labels = named.where("main is not null").select("key", "label", "probe")
-    both = wide.withColumn("pivot", F.lit(False)).union(pivots.withColumn("pivot", F.lit(True)))
-    prefixes = written(prefix_rows(both, labels), "prefixes", scratch=scratch)
-    pairs = written(candidate_pairs(prefixes), "pairs", scratch=scratch)
-    of = wide.select("key", "shingles")
-    full = pairs.join(of.select(F.col("key").alias("u"), F.col("shingles").alias("su")).hint("merge"), "u").join(of.select(F.col("key").alias("v"), F.col("shingles").alias("sv")).hint("merge"), "v")
-    more = full.select("u", "v", "su", "sv").mapInArrow(by_batch(_confirm), "u long, v long")
-    met = more.join(labels.select(F.col("key").alias("u"), F.col("label").alias("a")).hint("merge"), "u").join(labels.select(F.col("key").alias("v"), F.col("label").alias("b")).hint("merge"), "v")
-    joined = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")), "final", scratch).select("node", F.col("root").alias("comp"))
-    final = named.join(joined.hint("merge"), named["label"] == joined["node"], "left").select("cid", F.coalesce("comp", "label"))
-    return settled.union(final)
+    # Members outside their cluster's largest component visit the blocks that their rare shingles name.
+    labels = named.join(main.hint("merge"), "root").select("key", "label", (F.col("label") != F.col("main")).alias("probe"))
+    labels = written(labels, "undecided", compact=True, scratch=scratch)
+    prefixes = written(prefix_rows(wide.union(pivots), labels), "prefixes", scratch=scratch)
+    visit = written(visits(prefixes), "visits", compact=True, scratch=scratch)
+    more = _meet(wide, labels, visit).mapInArrow(by_groups(3, _across), "u long, v long")
+    final = components(more, "final", scratch)
+    out = named.join(final.hint("merge"), named["label"] == final["node"], "left").select("cid", F.coalesce(final["root"], "label"))
+    return settled.union(out)
+
+
+def _meet(wide: DataFrame, labels: DataFrame, visit: DataFrame) -> DataFrame:
+    """Visited blocks' members and their visitors, sorted by (root, block, share)."""
+    sets = wide.select("root", "block", "shingles", "key").join(labels.hint("merge"), "key")
+    shares = visit.select("root", "block", "shares").distinct()
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
+    own = sets.join(shares.hint("merge"), ["root", "block"]).select("root", "block", share, "shingles", "label", F.lit(False).alias("probe"))
+    guests = visit.select("key", "root", "block", "share").join(sets.select("key", "shingles", "label").hint("merge"), "key")
+    rows = own.union(guests.select("root", "block", "share", "shingles", "label", F.lit(True).alias("probe")))
+    return rows.repartition(partitions(wide), "root", "block", "share").sortWithinPartitions("root", "block", "share")
 
 
 def _blocks_of():

@@ -181,7 +181,7 @@ def test_members_of_a_loose_cluster_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 16)
     monkeypatch.setattr(near_dup, "BLOCK_SETS", 40)
     counts = {}
-    prefix, pairs = near_dup.prefix_rows, near_dup.candidate_pairs
+    prefix, visits = near_dup.prefix_rows, near_dup.visits
 
     def counted(name, made):
         def run(*args):
@@ -192,13 +192,13 @@ def test_members_of_a_loose_cluster_do_not_meet(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(near_dup, "prefix_rows", counted("prefixes", prefix))
-    monkeypatch.setattr(near_dup, "candidate_pairs", counted("pairs", pairs))
+    monkeypatch.setattr(near_dup, "visits", counted("visits", visits))
     for n in (200, 400):
         docs = spark.createDataFrame(loose_rows(n), "doc_id long, text string")
         assert near_dup.near_duplicates(docs).where("kept and component_id = doc_id").count() == n
     few, many = counts["prefixes"]
     assert 0 < few and many < 2.5 * few
-    assert counts["pairs"] == [0, 0]
+    assert counts["visits"] == [0, 0]
 
 
 def test_links_of_undecided_members_are_found(spark, monkeypatch):
