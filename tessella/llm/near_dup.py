@@ -30,7 +30,8 @@ without words the set is empty and linked with nothing.  Two documents are linke
    inverted list of prefixes names: with the shingles in any one order, two linked
    sets of n and m shingles share some of their first n - ceil(0.8 n) + 1 and
    m - ceil(0.8 m) + 1.  Shingles that few pivots hold come first, so a boilerplate's
-   words name no block.  A list has a row per block and not per member.  No link
+   words name no block.  A list has a row per block and not per member, and only of
+   shingles that pass a filter made of the undecided members' prefixes.  No link
    between components is lost, and no task holds more than a block and as many visitors.
 
 Defined cases: null and word-free texts stand alone (``n_shingles`` 0, component
@@ -67,6 +68,9 @@ SKETCH_SHARE = 0.55
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 18
 PIVOTS = 16
+#: Bits of a cluster's filter, and the kinds of rows that a block is dealt.
+FILTER_BITS = 1 << 19
+MEMBER, PIVOT, FILTER = 0, 1, 2
 
 _draw = np.random.default_rng(20240229)
 _MULTIPLIERS = _draw.integers(0, 1 << 63, SKETCH, dtype=U64) << U64(1) | U64(1)
@@ -324,38 +328,60 @@ def _across(batch: pa.RecordBatch, starts: np.ndarray):
         yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def _prefixes(batch: pa.RecordBatch, starts: np.ndarray):
-    """Blocks of members and their cluster's pivots -> the prefix shingles of the
-    block, once each (``key`` null), and those of each undecided member (its ``key``).
-    Shingles are ordered by how many pivots hold them, then by hash: the same order
-    in all blocks of a cluster."""
-    pivot, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
-    keys, sets = batch.column(4).to_numpy(), batch.column(3)
+def _prefix(own: np.ndarray, common: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The set's prefix, shingles ordered by how many pivots hold them, then by hash:
+    the same order in all blocks of a cluster."""
+    often = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        often = np.where(common[at] == own, held[at], 0)
+    return own[np.lexsort((own, often))[: len(own) - _needed(len(own)) + 1]]
+
+
+def _blocks_with_pivots(batch: pa.RecordBatch, starts: np.ndarray):
+    """Rows (root, block, kind, shingles, key) -> each block's first row, members'
+    rows, pivots' shingles with their counts, and the filter's bits if it has one."""
+    kind, keys = batch.column(2).to_numpy(), batch.column(4).to_numpy()
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-        of = {int(keys[i]): np.frombuffer(sets[i].as_buffer(), U64) for i in range(s, e) if pivot[i]}
-        common, held = np.unique(np.concatenate([*of.values(), np.empty(0, U64)]), return_counts=True)
-        block, tokens, owner = [], [], []
+        bits = None
+        of = {}
         for i in range(s, e):
-            if pivot[i]:
-                continue
-            own = np.frombuffer(sets[i].as_buffer(), U64)
-            often = np.zeros(len(own), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                often = np.where(common[at] == own, held[at], 0)
-            first = own[np.lexsort((own, often))[: len(own) - _needed(len(own)) + 1]]
-            block.append(first)
-            if probe[i]:
-                tokens.append(first)
-                owner.append(np.full(len(first), keys[i]))
-        if not block:
-            continue
-        once = np.unique(np.concatenate(block))
-        token = np.concatenate([once, *tokens]).view(np.int64)
-        key = np.concatenate([np.zeros(len(once), np.int64), *owner])
-        own_row = np.arange(len(token)) >= len(once)
-        place = [pa.array(np.full(len(token), batch.column(i)[s].as_py())) for i in range(2)]
-        yield pa.record_batch([*place, pa.array(token), pa.array(key, mask=~own_row)], names=["root", "block", "token", "key"])
+            if kind[i] == PIVOT:
+                of[int(keys[i])] = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
+            elif kind[i] == FILTER:
+                bits = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
+        common, held = np.unique(np.concatenate([*of.values(), np.empty(0, U64)]), return_counts=True)
+        yield s, s + np.flatnonzero(kind[s:e] == MEMBER), common, held, bits
+
+
+def _undecided_tokens(batch: pa.RecordBatch, starts: np.ndarray):
+    """Undecided members (and pivots) -> a row for each shingle of a member's prefix."""
+    for s, members, common, held, _ in _blocks_with_pivots(batch, starts):
+        own = [_prefix(np.frombuffer(batch.column(3)[i].as_buffer(), U64), common, held) for i in members.tolist()]
+        if own:
+            row = pa.array(np.repeat(members, [len(x) for x in own]))
+            yield pa.record_batch([*(batch.column(i).take(row) for i in (0, 1)), pa.array(np.concatenate(own).view(np.int64)), batch.column(4).take(row)], names=["root", "block", "token", "key"])
+
+
+def _block_tokens(batch: pa.RecordBatch, starts: np.ndarray):
+    """All members (pivots, and the cluster's filter) -> the prefix shingles of each
+    block, once each, that pass the filter."""
+    for s, members, common, held, bits in _blocks_with_pivots(batch, starts):
+        own = [_prefix(np.frombuffer(batch.column(3)[i].as_buffer(), U64), common, held) for i in members.tolist()]
+        if own and bits is not None:
+            token = np.unique(np.concatenate(own))
+            spot = token & U64(FILTER_BITS - 1)
+            token = token[(bits[(spot >> U64(6)).astype(np.intp)] >> (spot & U64(63)) & U64(1)) == 1]
+            yield pa.record_batch([*(pa.array(np.full(len(token), batch.column(i)[s].as_py(), np.int64)) for i in (0, 1)), pa.array(token.view(np.int64))], names=["root", "block", "token"])
+
+
+def _pack_filter(batch: pa.RecordBatch, starts: np.ndarray):
+    """(root, word, bits) -> a row per root with its whole bitmap."""
+    word, bits = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U64)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        whole = np.zeros(FILTER_BITS // 64, U64)
+        whole[word[s:e]] = bits[s:e]
+        yield pa.record_batch([batch.column(0).slice(s, 1), pa.array([whole.tobytes()], pa.binary())], names=["root", "shingles"])
 
 
 def _needed(n):
@@ -363,22 +389,41 @@ def _needed(n):
     return -(-80 * n // 100)
 
 
-def prefix_rows(wide: DataFrame, labels: DataFrame) -> DataFrame:
-    """``root, block, token, key``: the prefix shingles of blocks and of undecided
-    members, in the clusters that have such.
+def undecided_tokens(wide: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
+    """``root, block, token, key``: the prefix shingles of undecided members.
+
+    ``wide`` and ``pivots``: ``root, block, cid, shingles, key``; ``labels``: ``key,
+    label, probe`` of the clusters that have undecided members."""
+    return _dealt([_kind(wide, labels.where("probe"), MEMBER), _kind(pivots, labels, PIVOT)]).mapInArrow(by_groups(2, _undecided_tokens), "root long, block long, token long, key long")
+
+
+def block_tokens(wide: DataFrame, pivots: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``root, block, token``: blocks' prefix shingles that undecided members of their
+    cluster (``wanted``) may have.  A bitmap of bounded size says which; one that a
+    cluster's many undecided members fill up lets more shingles pass, and loses none."""
+    n = partitions(wide)
+    spot = F.col("token").bitwiseAND(F.lit(FILTER_BITS - 1))
+    # Shares of 64 bits: at most FILTER_BITS / 64 rows a cluster.
+    bits = wanted.select("root", F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit")).groupBy("root", "word").agg(F.bit_or("bit").alias("bits"))
+    packed = bits.repartition(n, "root").sortWithinPartitions("root", "word").mapInArrow(by_groups(1, _pack_filter), "root long, shingles binary")
+    blocks = wide.groupBy("root").agg(F.max("blocks").alias("blocks"))
+    filters = packed.join(blocks.hint("merge"), "root").select("root", _blocks_of(), F.lit(FILTER).alias("kind"), "shingles", F.lit(0).cast("long").alias("key"))
+    return _dealt([_kind(wide, labels, MEMBER), _kind(pivots, labels, PIVOT), filters]).mapInArrow(by_groups(2, _block_tokens), "root long, block long, token long")
+
+
+def _kind(rows: DataFrame, labels: DataFrame, kind: int) -> DataFrame:
+    return rows.join(labels.select("key").hint("merge"), "key").select("root", "block", F.lit(kind).alias("kind"), "shingles", "key")
+
 
-    ``wide``: ``root, block, pivot, cid, shingles, key, blocks``; ``labels``: ``key,
-    label, probe``."""
-    rows = wide.join(labels.hint("merge"), "key").select("root", "block", "pivot", "shingles", "key", "probe")
-    dealt = rows.repartition(partitions(wide), "root", "block").sortWithinPartitions("root", "block")
-    return dealt.mapInArrow(by_groups(2, _prefixes), "root long, block long, token long, key long")
+def _dealt(parts: list[DataFrame]) -> DataFrame:
+    rows = reduce(DataFrame.union, parts)
+    return rows.repartition(partitions(rows), "root", "block").sortWithinPartitions("root", "block")
 
 
-def visits(prefixes: DataFrame) -> DataFrame:
+def visits(members: DataFrame, blocks: DataFrame) -> DataFrame:
     """``key, root, block, share, shares``: the blocks that each undecided member must
     be held against, at most about ``BLOCK_SETS`` visitors to a share of a block."""
-    blocks = prefixes.where("key is null").select("root", "token", "block")
-    members = prefixes.where("key is not null").select("root", "token", "key", F.col("block").alias("home"))
+    members = members.withColumnRenamed("block", "home")
     # Its own block is done: all its members were held against each other.
     met = members.join(blocks.hint("merge"), ["root", "token"]).where("block != home").select("key", "root", "block").distinct()
     shares = met.groupBy("root", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("shares"))
@@ -448,8 +493,9 @@ def exact_components(members: DataFrame, texts: DataFrame, scratch: list[str], w
     # Members outside their cluster's largest component visit the blocks that their rare shingles name.
     labels = named.join(main.hint("merge"), "root").select("key", "label", (F.col("label") != F.col("main")).alias("probe"))
     labels = written(labels, "undecided", compact=True, scratch=scratch)
-    prefixes = written(prefix_rows(wide.union(pivots), labels), "prefixes", scratch=scratch)
-    visit = written(visits(prefixes), "visits", compact=True, scratch=scratch)
+    wanted = written(undecided_tokens(wide, pivots, labels), "wanted", compact=True, scratch=scratch)
+    there = written(block_tokens(wide, pivots, labels, wanted), "there", scratch=scratch)
+    visit = written(visits(wanted, there), "visits", compact=True, scratch=scratch)
     more = _meet(wide, labels, visit).mapInArrow(by_groups(3, _across), "u long, v long")
     final = components(more, "final", scratch)
     out = named.join(final.hint("merge"), named["label"] == final["node"], "left").select("cid", F.coalesce(final["root"], "label"))

@@ -181,7 +181,7 @@ def test_members_of_a_loose_cluster_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 16)
     monkeypatch.setattr(near_dup, "BLOCK_SETS", 40)
     counts = {}
-    prefix, visits = near_dup.prefix_rows, near_dup.visits
+    wanted, there, visits = near_dup.undecided_tokens, near_dup.block_tokens, near_dup.visits
 
     def counted(name, made):
         def run(*args):
@@ -191,13 +191,14 @@ def test_members_of_a_loose_cluster_do_not_meet(spark, monkeypatch):
 
         return run
 
-    monkeypatch.setattr(near_dup, "prefix_rows", counted("prefixes", prefix))
+    monkeypatch.setattr(near_dup, "undecided_tokens", counted("wanted", wanted))
+    monkeypatch.setattr(near_dup, "block_tokens", counted("there", there))
     monkeypatch.setattr(near_dup, "visits", counted("visits", visits))
     for n in (200, 400):
         docs = spark.createDataFrame(loose_rows(n), "doc_id long, text string")
         assert near_dup.near_duplicates(docs).where("kept and component_id = doc_id").count() == n
-    few, many = counts["prefixes"]
-    assert 0 < few and many < 2.5 * few
+    for few, many in counts["wanted"], counts["there"]:
+        assert 0 < few and many < 2.5 * few
     assert counts["visits"] == [0, 0]
 
 
