@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import LAST_ID, by_batch, by_groups, clear, few, id_key, partitions, rows_of_binary, unused, written
+from .common import LAST_ID, by_batch, by_groups, clear, id_key, partitions, rows_of_binary, unused, written
 from .components import components
 
 U64 = np.uint64
@@ -242,7 +242,7 @@ def candidate_edges(classes: DataFrame, trees: int, scratch: list[str]) -> DataF
         # Written, so that both sides of the join have an exchange and a hot node splits.
         sizes = written(sizes, f"sizes{depth}", compact=True, scratch=scratch)
         held = rows.join(sizes.hint("merge"), "node").join(classes.select("key", "sketch"), "key").select("node", "key", "sketch", "m", "head")
-        held = written(held, f"nodes{depth}", compact=True, scratch=scratch)
+        held = written(held, f"nodes{depth}", scratch=scratch)
         small.append(held.where(F.col("m") <= NODE).select("node", "key", "sketch"))
         large = held.where(F.col("m") > NODE).select("node", "key", "sketch", "head")
         if large.isEmpty():
@@ -251,14 +251,14 @@ def candidate_edges(classes: DataFrame, trees: int, scratch: list[str]) -> DataF
             edges.append(large.select(F.col("key").alias("u"), F.col("head").alias("v")))
             break
         heads = large.where("key = head").select("node", F.col("sketch").alias("head_sketch")).dropDuplicates(["node"])
-        judged = few(large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch"))
+        judged = large.join(heads, "node").select("node", "key", "sketch", "head", "head_sketch")
         judged = written(judged.mapInArrow(by_batch(_agree), "node long, key long, sketch binary, head long, share double"), f"judged{depth}", scratch=scratch)
         edges.append(judged.where(F.col("share") >= UNSURE).select(F.col("key").alias("u"), F.col("head").alias("v")))
         open_rows = judged.where(F.col("share") < SETTLED).select("node", "key", "sketch")
         rows = written(open_rows.mapInArrow(_deeper(used), "node long, key long"), f"rows{depth}", scratch=scratch)
     # Nodes' numbers tell their depths apart, so all small ones are compared at once.
     nodes = reduce(DataFrame.union, small).repartition(partitions(classes), "node").sortWithinPartitions("node", "key")
-    found = few(nodes).mapInArrow(by_groups(1, _compare_small), "u long, v long")
+    found = nodes.mapInArrow(by_groups(1, _compare_small), "u long, v long")
     return reduce(DataFrame.union, edges, found)
 
 
