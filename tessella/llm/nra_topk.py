@@ -2,31 +2,34 @@
 
 A score is a sum over dimensions of query weight times component, so every dimension
 is a list of candidates sorted by component: read from the top for a positive weight,
-from the bottom for a negative one.  Lists are read sequentially, to one depth after
-the other.  A candidate's lower bound adds what was read of it to the least that its
-unread lists can hold; its upper bound adds the values at which reading stands.  Once
-at most ``OPEN`` candidates have an upper bound that reaches the k-th lower bound, no
-outsider can qualify; reading stops and the open ones' scores are resolved.
+from the bottom for a negative one.  Lists are read sequentially; at each depth the
+newly read entries replace what stood for them.  A candidate's lower bound adds what
+was read of it to the least that its unread lists can hold; its upper bound adds the
+values at which reading stands.  Once at most ``OPEN * k`` candidates have an upper
+bound that reaches the k-th lower bound, no outsider can qualify; reading stops and the
+open ones' scores are resolved.
 
 Candidates lie in blocks of about ``BLOCK`` vectors, each with its own sorted lists,
 and queries in blocks as well; every query block meets every candidate block (a
-stated query set against all rows, in blocks).  All bounds of a block pair are two
-matrix products per depth.  Each query's best k of every block then merge into its
-best k: scores descending, ties to the smaller id.
+stated query set against all rows, in blocks).  A task that holds a query block
+against one candidate block after the other starts from the k-th score that the
+earlier ones gave.  Each query's best k of every block then merge into its best k:
+scores descending, ties to the smaller id.
 
 Components are ``floor(64 * x)``; sums are whole numbers, in single or double
 precision while all partial sums are exact there, in Python integers beyond.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null
-ids, take no part; only vectors of equal length meet; repeated rows (same id and
-components) count once; rows that share the query's id are its own and no candidates;
-components beyond 2**62 and scores beyond a long are cut there; empty tables give an
-empty result.
+ids, take no part; only vectors of equal length meet; every row is a candidate and,
+if asked for, a query, so repeated rows count as often as they are there (a query's
+repeated rows share its ranks); rows that share the query's id are its own and no
+candidates; scores beyond a long rank by their value in a block, and are cut to a long
+between blocks; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +44,19 @@ BLOCK = 4096
 QUERY_ROWS = 256
 SCALE = 64
 #: Shares of the lists read before each look at the bounds.
-DEPTHS = (0.5, 0.8, 0.95)
+DEPTHS = (0.5, 0.8, 0.9, 0.95, 0.98, 1.0)
 OPEN = 8  # times k
 
 
 def _quantise(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(id, vector) -> (id, length, components as longs), usable vectors only."""
+    """(id, vector) -> (id, length, ``floor(64 * x) / 64`` as doubles, which is exact),
+    usable vectors only."""
     ids, rows, sizes, kept = batch.column(0), batch.column(1), [], []
     values = rows.values.cast(pa.float64()) if rows.values.type != pa.float64() else rows.values
     usable = np.isfinite(values.fill_null(np.nan).to_numpy(zero_copy_only=False))
     flat = np.nan_to_num(values.fill_null(0.0).to_numpy(zero_copy_only=False))
-    with np.errstate(over="ignore"):
-        flat = np.clip(np.floor(flat * SCALE), -(2.0**62), 2.0**62).astype(np.int64)
+    # From 2**53 on a double is whole already.
+    flat = np.where(np.abs(flat) < 2.0**53, np.floor(np.clip(flat, -(2.0**53), 2.0**53) * SCALE) / SCALE, flat) + 0.0
     offsets = rows.offsets.to_numpy()
     valid = rows.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
     packed = []
@@ -77,22 +81,9 @@ def _pack(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]
         )
 
 
-def _best(scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the columns of its k largest scores, earlier columns first on ties.
-    Minus infinity marks columns that take no part."""
-    n = scores.shape[1]
-    out = []
-    if n > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    for i, row in enumerate(scores):
-        if n > k:
-            at = np.flatnonzero(row > kth[i])
-            if kth[i] > -np.inf:
-                at = np.append(at, np.flatnonzero(row == kth[i])[: k - len(at)])
-        else:
-            at = np.flatnonzero(row > -np.inf)
-        out.append(at[np.lexsort((at, -row[at]))])
-    return out
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest scores, earlier ones first on ties."""
+    return np.argsort(-scores, kind="stable")[:k]
 
 
 class Lists:
@@ -100,88 +91,106 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.x = ids, vectors
-        self.sorted = np.sort(vectors, axis=0)
-
-    def depth(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """What ``p`` reads of every list show: (lower, upper) stand-ins for the
-        components, for positive weights and then for negative ones."""
-        top, bottom = self.sorted[len(self.x) - p], self.sorted[p - 1]
-        least, most = self.sorted[0], self.sorted[-1]
-        lower = np.concatenate([np.where(self.x >= top, self.x, least), np.where(self.x <= bottom, self.x, most)], axis=1)
-        upper = np.concatenate([np.maximum(self.x, top), np.minimum(self.x, bottom)], axis=1)
-        return lower, upper
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query row, candidate rows, scores) of each query's best k."""
-        n = len(self.x)
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+
+    def depths(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """At one depth after the other what has been read shows: (lower, upper)
+        stand-ins for the components, for positive weights and then for negative ones."""
+        n, d = self.x.shape
+        lower = np.concatenate([np.repeat(self.sorted[:1], n, axis=0), np.repeat(self.sorted[-1:], n, axis=0)], axis=1)
+        read = np.zeros((n, 2 * d), bool)
+        columns, at = np.arange(d), 0
+        for share in DEPTHS:
+            p = min(n, math.ceil(share * n))
+            for side, rows in ((0, self.order[n - p : n - at]), (d, self.order[at:p])):
+                lower[rows, side + columns] = self.x[rows, columns]
+                read[rows, side + columns] = True
+            stands = np.concatenate([self.sorted[n - p], self.sorted[p - 1]])
+            yield lower, np.where(read, lower, stands)
+            at = p
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query row, candidate rows, scores) of each query's best k that reach its
+        ``floor``, a k-th score that other blocks gave (or None)."""
         own = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
         left = np.arange(len(queries))
-
-        def without_own(matrix: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            for j, i in enumerate(rows.tolist()):
-                matrix[j, own[0][i] : own[1][i]] = -np.inf
-            return matrix
-
-        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
-        for share in DEPTHS:
-            p = int(np.ceil(share * n))
-            if n <= OPEN * k or not len(left) or p >= n:
-                break
-            lower, upper = self.depth(p)
-            low = without_own(signed[left] @ lower.T, left)
-            high = without_own(signed[left] @ upper.T, left)
-            reach = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-            open_ = high >= reach[:, None]
-            done = open_.sum(axis=1) <= OPEN * k
-            for j in np.flatnonzero(done).tolist():
-                at = np.flatnonzero(open_[j] & (high[j] > -np.inf))
-                exact = (self.x[at] @ queries[left[j]])[None, :]
-                best = _best(exact, k)[0]
-                yield int(left[j]), at[best], exact[0][best]
-            left = left[~done]
-        if len(left):
-            # Read to the end: both bounds are the scores.
-            exact = without_own(queries[left] @ self.x.T, left)
-            for j, best in enumerate(_best(exact, k)):
-                yield int(left[j]), best, exact[j][best]
+        zero = queries.dtype.type(0) if queries.dtype != object else 0
+        signed = np.concatenate([np.maximum(queries, zero), np.minimum(queries, zero)], axis=1)
+        others = np.ones(len(self.x), bool)
+        for lower, upper in self.depths():
+            low, high = signed[left] @ lower.T, signed[left] @ upper.T
+            going = []
+            for j, i in enumerate(left.tolist()):
+                others[own[0][i] : own[1][i]] = False
+                open_ = others.copy()
+                others[own[0][i] : own[1][i]] = True
+                there = low[j][open_]
+                reach = floor[i]
+                if len(there) >= k:
+                    kth = np.partition(there, len(there) - k)[len(there) - k]
+                    reach = kth if reach is None else max(reach, kth)
+                if reach is not None:
+                    open_ &= high[j] >= reach
+                at = np.flatnonzero(open_)
+                if len(at) <= OPEN * k:
+                    # No outsider can qualify: the open ones' scores are resolved.
+                    scores = self.x[at] @ queries[i]
+                    best = _best(scores, k)
+                    yield i, at[best], scores[best]
+                else:
+                    going.append(i)
+            left = np.array(going, np.int64)
+            if not len(left):
+                return
+        # Read to the end: the bounds are the scores.
+        for j, i in enumerate((queries[left] @ self.x.T if len(left) else [])):
+            at = np.concatenate([np.arange(own[0][left[j]]), np.arange(own[1][left[j]], len(self.x))])
+            best = _best(i[at], k)
+            yield int(left[j]), at[best], i[at][best]
+
+
+def _whole(y: np.ndarray, kind) -> np.ndarray:
+    """The whole numbers ``64 * y`` as ``kind``, or as Python integers."""
+    if kind is not None:
+        return (y * SCALE).astype(kind)
+    out = np.empty(y.shape, object)
+    out.reshape(-1)[:] = [int(v) * SCALE if abs(v) >= 2.0**53 else int(v * SCALE) for v in y.reshape(-1).tolist()]
+    return out
 
 
 def _precision(a: np.ndarray, b: np.ndarray):
     """The smallest float type in which every partial sum is exact, or None."""
-    bound = max(1, a.shape[1]) * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    with np.errstate(over="ignore"):
+        bound = max(1, a.shape[1]) * float(np.abs(a).max(initial=0)) * SCALE * float(np.abs(b).max(initial=0)) * SCALE
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else None
 
 
-def _exact_search(c_ids, c, q_ids, q, k: int):
-    """As ``Lists.search`` in Python integers, for components of any size."""
-    rows = [[int(v) for v in x] for x in c]
-    for i in range(len(q)):
-        weights = [int(v) for v in q[i]]
-        scores = [sum(a * b for a, b in zip(weights, x)) for x in rows]
-        order = sorted((j for j in range(len(rows)) if c_ids[j] != q_ids[i]), key=lambda j: (-scores[j], j))[:k]
-        yield i, np.array(order, np.int64), np.array([min(max(scores[j], -(2**63)), 2**63 - 1) for j in order], np.int64)
-
-
 def _meet(k: int):
-    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
-        for length, c_ids, c, q_ids, q in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            c_ids, q_ids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-            c = np.frombuffer(c, np.int64).reshape(len(c_ids), length)
-            q = np.frombuffer(q, np.int64).reshape(len(q_ids), length)
-            kind = _precision(c, q)
-            lists = Lists(c_ids, c.astype(kind)) if kind else None
-            for s in range(0, len(q), QUERY_ROWS):
-                part, part_ids = q[s : s + QUERY_ROWS], q_ids[s : s + QUERY_ROWS]
-                found = lists.search(part_ids, part.astype(kind), k) if kind else _exact_search(c_ids, c, part_ids, part, k)
-                rows = [(np.full(len(at), part_ids[i]), np.full(len(at), s + i), c_ids[at], np.asarray(score).astype(np.int64)) for i, at, score in found]
-                if rows:
-                    ids, row, at, score = (np.concatenate(x) for x in zip(*rows))
-                    mark = np.array([zlib.crc32(q[r].tobytes()) for r in range(s, s + len(part))], np.int64)[row - s] if len(np.unique(part_ids)) < len(part_ids) else np.zeros(len(row), np.int64)
-                    out.append(pa.record_batch([pa.array(ids), pa.array(mark), pa.array(at), pa.array(score)], names=["query_id", "mark", "vec_id", "score"]))
-        return out
-
-    return by_batch(run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kth = None, {}  # the query block being held, and its queries' best scores so far
+        for batch in batches:
+            for length, name, c_ids, c, q_ids, q in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                c_ids, q_ids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                c = np.frombuffer(c, float).reshape(len(c_ids), length)
+                q = np.frombuffer(q, float).reshape(len(q_ids), length)
+                if (length, name) != block:
+                    block, kth = (length, name), {}
+                kind = _precision(c, q)
+                lists, asked = Lists(c_ids, _whole(c, kind)), _whole(q, kind)
+                for s in range(0, len(q), QUERY_ROWS):
+                    part, part_ids = asked[s : s + QUERY_ROWS], q_ids[s : s + QUERY_ROWS]
+                    floor = [kth[s + i][-1] if len(kth.get(s + i, ())) == k else None for i in range(len(part))]
+                    rows = []
+                    for i, at, scores in lists.search(part_ids, part, k, floor):
+                        known = [int(v) for v in scores.tolist()]
+                        kth[s + i] = sorted([*kth.get(s + i, []), *known], reverse=True)[:k]
+                        cut = np.array([min(max(v, -(2**63)), 2**63 - 1) for v in known], np.int64)
+                        rows.append((np.full(len(at), part_ids[i]), c_ids[at], cut))
+                    if rows:
+                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def _blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -197,15 +206,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     ``is_query``: a condition on the id; queries meet every row but their own.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector_col).mapInArrow(by_batch(_quantise), "id long, length long, vector binary")
-    rows = written(rows.distinct(), "vectors")
+    rows = written(rows, "vectors")
     asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     n, q = rows.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-q // BLOCK))
     candidates = _blocks(rows, blocks).select("length", F.col("block").alias("c"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), _each(query_blocks).alias("q"))
     queries = _blocks(asked, query_blocks).select("length", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), _each(blocks).alias("c"))
-    pairs = candidates.join(queries.hint("merge"), ["length", "c", "q"]).select("length", "c_ids", "c_vectors", "q_ids", "q_vectors")
-    found = pairs.mapInArrow(_meet(k), "query_id long, mark long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    pairs = candidates.join(queries.hint("merge"), ["length", "q", "c"]).select("length", "q", "c_ids", "c_vectors", "q_ids", "q_vectors")
+    found = pairs.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
