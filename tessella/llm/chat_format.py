@@ -15,11 +15,13 @@ stream - it begins at 0, ends with the assistant's piece, and its loss mask is t
 reply's range - so that a conversation of n turns takes n pieces and not n squared;
 ``example_texts`` writes chosen examples out in full.
 
-Pieces are made, and read back, in a stream of turns sorted by conversation and
-turn: memory holds one piece and the running digests, however long a conversation is.
+Pieces are made in a stream of turns sorted by conversation and turn, and read back in
+a stream in which each example follows the piece that it ends with: its context must be
+all that was read before, and its reply is read from its own loss range.  Memory holds
+one piece and the running digests, however long a conversation is.
 
 Defined cases: a null text or role is empty; a null conversation id is a conversation
-of its own; null turns come first, and equal turns are ordered by role and text;
+of its own; null turns come last, and equal turns are ordered by role and text;
 conversations without an assistant have pieces but no example; an empty table gives
 no rows.
 """
@@ -60,8 +62,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if conv != now:
                 now, seq, at = conv, 0, 0
-            head = START + escape(role or "") + TEXT
-            body = escape(text or "")
+            head = START + escape(role) + TEXT
+            body = escape(text)
             lo, stop = at + len(head), at + len(head) + len(body) + len(END)
             loss = (lo, lo + len(body)) if role == ASSISTANT else (None, None)
             rows.append((seq, head + body + END, at, stop, *loss))
@@ -72,12 +74,16 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["conv_id", "seq", "piece", "start", "stop", "loss_start", "loss_stop"])
 
 
+def _text(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
+
+
 def format_pieces(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """``conv_id, seq, piece, start, stop, loss_start, loss_stop``: a row per turn;
     places are code points in the conversation's stream, and the loss range (null
     for others than assistants) is the example that this turn closes."""
-    rows = conversations.select(F.col(id_col).alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = conversations.select(F.col(id_col).alias("conv_id"), "turn", _text("role"), _text("text"))
+    rows = rows.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
     kind = conversations.schema[id_col].dataType.simpleString()
     return rows.select("conv_id", "role", "text").mapInArrow(_format, f"conv_id {kind}, {PIECES}")
 
@@ -100,41 +106,63 @@ def example_texts(examples: DataFrame, pieces: DataFrame) -> DataFrame:
     return examples.join(texts, ["conv_id", "target"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in order -> what each conversation's stream says, read from it alone."""
-    now, state, rows, kind = None, None, [], None
+class _Stream:
+    """One conversation's stream, read piece by piece and example by example."""
+
+    def __init__(self, conv):
+        self.conv, self.turns, self.at = conv, 0, 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.chars = self.examples = self.written = 0
+        self.last = None  # the last piece, its place and its text's span
+
+    def refuse(self, what: str) -> None:
+        raise ValueError(f"conversation {self.conv}: {what}")
 
-    def close() -> None:
-        conv, turns, whole, chars, loss, size, examples, context = state
-        rows.append((conv, turns, whole.hexdigest(), chars, loss.hexdigest(), size, examples, context))
+    def piece(self, piece: str, start: int, stop: int) -> None:
+        found = _PIECE.fullmatch(piece)
+        if not found or start != self.at or stop - start != len(piece):
+            self.refuse(f"the stream breaks at {start}")
+        role, text = unescape(found[1]), unescape(found[2])
+        self.whole.update(f"{role}\n{text}\n".encode())
+        self.last = piece, start, found.span(2), role
+        self.turns, self.at = self.turns + 1, stop
 
+    def example(self, target: int, context_turns: int, context_stop: int, stop: int, lo: int, hi: int) -> None:
+        """An example that ends with the last piece: all before it is its context."""
+        piece, start, span, role = self.last or ("", -1, None, None)
+        if (target, context_turns) != (self.turns - 1, self.turns - 1) or (context_stop, stop) != (start, self.at) or role != ASSISTANT:
+            self.refuse(f"the example of turn {target} has another context")
+        if (lo - start, hi - start) != span:
+            self.refuse(f"the loss mask at {lo} is not a reply")
+        reply = unescape(piece[lo - start : hi - start])
+        self.chars += len(reply)
+        self.loss.update(reply.encode())
+        self.examples, self.written = self.examples + 1, self.written + stop
+
+    def row(self) -> tuple:
+        return (self.conv, self.turns, self.whole.hexdigest(), self.chars, self.loss.hexdigest(), self.at, self.examples, self.written)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and examples in order -> what each conversation's stream says."""
+    state, rows, kind = None, [], None
     for batch in batches:
         kind = batch.schema.field(0).type
-        for conv, piece, start, stop, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if state is None or conv != now:
+        for conv, piece, start, stop, *example in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if state is None or conv != state.conv:
                 if state is not None:
-                    close()
-                now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            found = _PIECE.fullmatch(piece)
-            if not found or start != state[5] or stop - start != len(piece):
-                raise ValueError(f"conversation {conv}: the stream breaks at {start}")
-            role, text = unescape(found[1]), unescape(found[2])
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            if lo is not None:
-                if (lo - start, hi - start) != found.span(2):
-                    raise ValueError(f"conversation {conv}: the loss mask at {lo} is not a reply")
-                reply = unescape(piece[lo - start : hi - start])
-                state[3] += len(reply)
-                state[4].update(reply.encode())
-                state[6] += 1
-                state[7] += stop
-            state[5] = stop
+                    rows.append(state.row())
+                state = _Stream(conv)
+            if piece is not None:
+                state.piece(piece, start, stop)
+            else:
+                target, context_turns, lo, hi = example
+                state.example(target, context_turns, start, stop, lo, hi)
         if len(rows) >= 1000:
             yield _read_out(rows, kind)
             rows = []
     if state is not None:
-        close()
+        rows.append(state.row())
     if rows:
         yield _read_out(rows, kind)
 
@@ -147,13 +175,17 @@ def _read_out(rows: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_READ)
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
+def read_back(pieces: DataFrame, examples: DataFrame) -> DataFrame:
     """Per conversation: turns and their digest, the text under all its examples'
     loss masks, ``formatted_chars`` of its stream, and ``example_chars``, the length
-    of its examples written out."""
+    of its examples written out.  Refuses streams that break, and examples whose
+    context is not all that comes before their reply."""
     kind = pieces.schema["conv_id"].dataType.simpleString()
-    rows = pieces.select("conv_id", "piece", "start", "stop", "loss_start", "loss_stop")
-    rows = rows.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", "start")
+    none = [F.lit(None).cast("long").alias(c) for c in ("target", "context_turns", "loss_start", "loss_stop")]
+    rows = pieces.select("conv_id", "piece", "start", "stop", *none)
+    rows = rows.union(examples.select("conv_id", F.lit(None).cast("string"), "context_stop", "stop", "target", "context_turns", "loss_start", "loss_stop"))
+    # An example begins its reply's piece where that piece begins, and comes after it.
+    rows = rows.repartition(partitions(rows), "conv_id").sortWithinPartitions("conv_id", "start", F.asc_nulls_first("target"))
     return rows.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
 
 

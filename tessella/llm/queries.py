@@ -67,11 +67,11 @@ def op2_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import control_conversation, format_pieces, read_back
+    from .chat_format import control_conversation, explode_examples, format_pieces, read_back
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     pieces = written(format_pieces(rows.unionByName(control_conversation(spark))), "chat")
-    return read_back(pieces)
+    return read_back(pieces, explode_examples(pieces))
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:

@@ -21,17 +21,15 @@ from .conftest import words
 
 
 def brute_top(rows, k, every=5):
-    vectors = {(i, tuple(int(math.floor(64 * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in vectors:
-        if i % every:
-            continue
-        found = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in vectors if j != i and len(w) == len(v)))[:k]
+    for i in {i for i, _ in usable if i % every == 0}:
+        found = sorted((-sum(a * b for a, b in zip(v, w)), j) for q, v in usable if q == i for j, w in usable if j != i and len(w) == len(v))[:k]
         out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale,block", [(1.0, 4096), (1.0, 16), (3e5, 16), (3e6, 16)])
+@pytest.mark.parametrize("scale,block", [(1.0, 4096), (1.0, 16), (3e5, 16), (3e6, 16), (3e6, 4096)])
 def test_top_k(spark, monkeypatch, scale, block):
     monkeypatch.setattr(nra_topk, "BLOCK", block)
     draw = np.random.default_rng(1)
@@ -43,18 +41,50 @@ def test_top_k(spark, monkeypatch, scale, block):
     assert got == brute_top(rows, 4)
 
 
-def test_bounds_enclose_scores():
+@pytest.mark.parametrize("kind", [float, object])
+def test_bounds_enclose_scores(kind):
     draw = np.random.default_rng(2)
-    x, q = draw.integers(-20, 20, (400, 8)).astype(float), draw.integers(-20, 20, (30, 8)).astype(float)
+    x, q = draw.integers(-20, 20, (400, 8)).astype(kind), draw.integers(-20, 20, (30, 8)).astype(kind)
     lists = nra_topk.Lists(np.arange(400), x)
-    signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
-    exact = q @ x.T
-    for p in (1, 40, 200, 399, 400):
-        low, high = lists.depth(p)
-        assert (signed @ low.T <= exact + 1e-9).all() and (signed @ high.T >= exact - 1e-9).all()
-    assert np.array_equal(signed @ lists.depth(400)[0].T, exact)
-    for i, at, score in lists.search(np.full(30, -1), q, 3):
-        assert sorted(zip(-score, at)) == sorted(zip(-exact[i], range(400)))[:3]
+    zero = kind(0) if kind is float else 0
+    signed = np.concatenate([np.maximum(q, zero), np.minimum(q, zero)], axis=1)
+    exact, narrow = q @ x.T, np.inf
+    for lower, upper in lists.depths():
+        low, high = signed @ lower.T, signed @ upper.T
+        assert (low <= exact).all() and (high >= exact).all()
+        assert (high - low).sum() <= narrow  # reading on never widens the bounds
+        narrow = (high - low).sum()
+    assert narrow == 0
+    for floor in (None, "kth"):
+        floors = [None if floor is None else sorted(row)[-3] for row in exact]
+        for i, at, score in lists.search(np.full(30, -1), q, 3, floors):
+            assert sorted(zip(-score, at)) == sorted(zip(-exact[i], range(400)))[:3]
+
+
+def test_reading_stops_before_the_end(monkeypatch):
+    """Where few candidates are far ahead, their lists' tops decide."""
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 10, (2000, 4)).astype(float)
+    x[:3] += 500
+    lists, seen = nra_topk.Lists(np.arange(2000), x), []
+    depths = lists.depths
+
+    def counted():
+        for d in depths():
+            seen.append(1)
+            yield d
+
+    lists.depths = counted
+    found = list(lists.search(np.array([-1]), np.ones((1, 4)), 3, [None]))
+    assert sorted(found[0][1].tolist()) == [0, 1, 2] and len(seen) == 1
+
+
+def test_many_dimensions(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, draw.normal(size=3000).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nra_topk.top_k(df, F.col("vec_id") % 5 == 0, 4).collect())
+    assert got == brute_top(rows, 4)
 
 
 def test_top_k_of_nothing(spark):
@@ -85,12 +115,12 @@ def test_chat(spark, small_batches):
     rows += [(3, 1, "assistant", "again"), (3, None, "user", "null turn"), rows[5], (50, 0, "user", "alone")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash")).withColumn("start", F.lit(1))
     pieces = chat_format.format_pieces(df).cache()
-    got = {r["conv_id"]: r for r in chat_format.read_back(pieces).collect()}
+    got = {r["conv_id"]: r for r in chat_format.read_back(pieces, chat_format.explode_examples(pieces)).collect()}
     groups = defaultdict(list)
     for r in rows:
         groups[r[0]].append(r)
     assert got.keys() == groups.keys()
-    low = lambda r: tuple((x is not None, x if x is not None else 0) if i == 1 else (x is not None, x or "") for i, x in enumerate(r))
+    low = lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")
     for conv, turns in groups.items():
         turns = sorted(turns, key=low)
         whole = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
@@ -109,18 +139,51 @@ def test_chat(spark, small_batches):
 
 
 def test_broken_stream_is_refused(spark):
-    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")
     pieces = chat_format.format_pieces(df)
+    examples = chat_format.explode_examples(pieces)
     with pytest.raises(Exception, match="breaks"):
-        chat_format.read_back(pieces.where("seq = 1")).collect()
+        chat_format.read_back(pieces.where("seq = 1"), examples).collect()
     with pytest.raises(Exception, match="not a reply"):
-        chat_format.read_back(pieces.withColumn("loss_start", F.col("loss_start") - 1)).collect()
+        chat_format.read_back(pieces, examples.withColumn("loss_start", F.col("loss_start") - 1)).collect()
+    with pytest.raises(Exception, match="another context"):
+        chat_format.read_back(pieces, examples.withColumn("context_turns", F.col("context_turns") - 1)).collect()
+    with pytest.raises(Exception, match="another context"):
+        chat_format.read_back(pieces, examples.withColumn("stop", F.col("stop") + 1)).collect()
+    assert chat_format.read_back(pieces, examples.where("target = 2")).first()["loss_chars"] == 1
+
+
+def back(df):
+    pieces = chat_format.format_pieces(df)
+    return chat_format.read_back(pieces, chat_format.explode_examples(pieces))
+
+
+def test_null_and_empty_roles_of_one_turn(spark):
+    """As the registered SQL orders them."""
+    import duckdb
+
+    from tessella.llm import queries
+
+    rows = [(1, 0, "", "b"), (1, 0, None, "a"), (1, 0, None, None), (1, 0, "", "a"), (1, None, "user", "last"), (1, 1, "assistant", None), (2, None, None, None)]
+    got = back(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").union(chat_format.control_conversation(spark)))
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    found = db.execute(queries.ORACLE_SQL["op3_chat_format"])
+    names = [c[0] for c in found.description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(found.fetchall())
+
+
+def test_very_long_turns(spark):
+    text = "<|x[" * 500_000
+    r = back(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")).first()
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat_format.read_back(chat_format.format_pieces(df)).count() == 0
-    assert chat_format.read_back(chat_format.format_pieces(chat_format.control_conversation(spark))).first()["n_turns"] == 2
+    assert back(df).count() == 0
+    assert back(chat_format.control_conversation(spark)).first()["n_turns"] == 2
 
 
 # --- WARC --------------------------------------------------------------------------
