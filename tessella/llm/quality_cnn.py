@@ -7,16 +7,18 @@ their squares, its units are max-pooled over all chunks, and a logistic unit com
 them into one probability.
 
 Filters and weights are learned by Adam, with the gradient through each pooled
-unit's winning chunk.  The fit uses a bounded sample: at most ``sample`` labelled
-documents (chosen by the hash of their id) and ``crop`` bytes of each from a seeded
-place; every text is scored whole.  The fitted model (some 70 kB) goes to the tasks.
+unit's winning chunk of the whole text.  The fit uses a bounded sample: the whole texts
+of at most ``sample`` labelled documents (chosen by the hash of their id), which the
+driver holds; every text is scored whole.  The fitted model (some 70 kB) goes to the
+tasks.
 
 Training reads labels of documents whose crc32 of the id's text is not 0 modulo 5;
 labels, language, source and id never reach a score.
 
 Defined cases: null texts are empty texts, which have one chunk of padding; with no
 usable label every score is 0.5; labels that are null or not 0/1 are left out;
-repeated rows are scored each; an empty table gives an empty result.
+repeated rows are scored each, and of rows with one id only one text (that with the
+smallest hash) is learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ FILTERS = 16
 UNITS = 24
 SEGMENT = 2048  # blocks that pass the network at once
 SAMPLE = 16_000
-CROP = 4096
 EPOCHS = 8
 BATCH = 64
 #: A text scored lower than this is junk.
@@ -91,19 +92,44 @@ class Network:
         x = np.maximum(pooled, 0) @ self.w["out"] + self.w["shift"][0]
         return 1 / (1 + np.exp(-np.clip(x.astype(float), -60, 60)))
 
-    def gradient(self, blocks, first, chunks, label, weight) -> dict[str, np.ndarray]:
-        features, z, at, offset, pooled, pairs = self.pooled(blocks, first, chunks)
+    def gradient(self, parts, label, weight) -> dict[str, np.ndarray]:
+        """The step's gradient over whole documents.  ``parts``: what ``segments``
+        gives; a document's units are pooled over all its segments."""
+        seen = [self.pooled(blocks, first, chunks) for blocks, first, chunks, _ in parts]
+        row = np.concatenate([p[3] for p in parts])
+        each = np.concatenate([x[4] for x in seen])  # segments x units
+        pooled = np.full((len(label), UNITS), -np.inf, np.float32)
+        np.maximum.at(pooled, row, each)
         hidden = np.maximum(pooled, 0)
         error = ((self.combine(pooled) - label) * weight / len(label)).astype(np.float32)
-        grad = {"out": hidden.T @ error, "shift": error.sum(keepdims=True)}
         back = error[:, None] * self.w["out"] * (pooled > 0)  # docs x units
+        # Of a document's segments the first that reaches a unit's maximum takes its gradient.
+        wins = each == pooled[row]
+        order = np.zeros(len(row), np.int64)
+        order[1:] = np.cumsum(row[1:] != row[:-1])
+        start = np.flatnonzero(np.diff(order, prepend=-1))
+        before = np.cumsum(wins, axis=0) - wins
+        wins &= before == before[start][order]
+        grad = {"out": hidden.T @ error, "shift": error.sum(keepdims=True), "lift": back.sum(axis=0)}
+        at = 0
+        for (blocks, first, chunks, _), found in zip(parts, seen):
+            n = len(chunks)
+            part = self._through(blocks, chunks, found, back[row[at : at + n]] * wins[at : at + n])
+            for name, value in part.items():
+                grad[name] = grad[name] + value if name in grad else value
+            at += n
+        return grad
+
+    def _through(self, blocks, chunks, found, back) -> dict[str, np.ndarray]:
+        """What passes from the pooled units of some segments to the weights below."""
+        features, z, at, offset, pooled, pairs = found
+        grad = {}
         # each unit's winning chunk
         win = np.empty(pooled.shape, np.int64)
         for i, (o, n) in enumerate(zip(offset.tolist(), chunks.tolist())):
             win[i] = o + z[o : o + n].argmax(axis=0)
-        grad["lift"] = back.sum(axis=0)
         grad["units"] = np.einsum("du,duf->fu", back, features[win])
-        through = back[:, :, None] * self.w["units"].T[None]  # docs x units x features
+        through = back[:, :, None] * self.w["units"].T[None]  # segments x units x features
         mean = features[win][:, :, :FILTERS]
         chunk_grad = ((through[:, :, :FILTERS] + 2 * mean * through[:, :, FILTERS:]) / (2 * STEPS)).reshape(-1, FILTERS)
         # Chunks share blocks: gather the gradient by block first.
@@ -186,12 +212,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = E
             pick = order[lo : lo + BATCH]
             part = np.concatenate([data[ends[i] : ends[i + 1]] for i in pick])
             offsets = np.concatenate([[0], np.cumsum(ends[pick + 1] - ends[pick])])
-            parts = list(segments(part, offsets))
-            grads = [net.gradient(b, f, c, labels[pick][r], weight[pick][r]) for b, f, c, r in parts]
+            grads = net.gradient(list(segments(part, offsets)), labels[pick], weight[pick])
             steps += 1
             rate = 0.01 * (1 - steps / (total + 1))
             for name, value in net.w.items():
-                grad = sum(g[name] * (len(p[3]) / len(pick)) for g, p in zip(grads, parts))
+                grad = grads[name]
                 moment[name] = 0.9 * moment[name] + 0.1 * grad
                 square[name] = 0.99 * square[name] + 0.01 * grad * grad
                 value -= (rate * (moment[name] / (1 - 0.9**steps)) / (np.sqrt(square[name] / (1 - 0.99**steps)) + 1e-8)).astype(np.float32)
@@ -204,16 +229,14 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, crop: int = CROP) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Network:
     """A network from at most ``sample`` labelled documents outside the held fold."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(~held_out("id"))
     chosen = hash_sample(known, ["id", "label"], sample, 1)
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    spare = F.greatest(F.length(raw) - F.lit(crop), F.lit(0))
-    place = (F.pmod(F.xxhash64("id", F.lit(3)), spare + 1)).cast("int")
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(chosen), "id")
-    rows = rows.select("id", "label", raw.substr(place + 1, F.lit(crop)).alias("raw")).collect()
+    rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).join(F.broadcast(chosen.distinct()), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["raw"]))
     return train([bytes(r["raw"]) for r in rows], np.array([r["label"] for r in rows], float))
 
