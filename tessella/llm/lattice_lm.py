@@ -7,10 +7,14 @@ over all its segmentations into pieces of the product of the pieces' probabiliti
 by a forward recursion in log space; the text's is the product over its words and
 the end.  Every single byte is a piece as well, so no text is impossible.
 
-The vocabulary's own scores (merge ranks) start the piece probabilities; expected
-counts over all training words, by forward-backward, then re-estimate them.  The
-vocabulary itself is never changed.  The driver holds one number per piece; word
-counts, which grow with the corpus, stay distributed.
+The vocabulary's own scores (merge ranks) give the pieces' prior: ``PRIOR`` expected
+counts a piece on average, shared out by those scores.  Expected counts over all
+training words, by forward-backward, are added to it.  The vocabulary itself is never
+changed.  A word known from training is one more path through its lattice: with N words
+and V different ones in training, the whole-word path has weight N / (N + V) and the
+pieces' paths share the rest, V / (N + V), the chance that the next word is a new one.
+The driver holds one number per piece; word counts, which grow with the corpus, stay
+distributed.
 
 Each word's count meets the documents in two ways: the most frequent words, at most
 ``HEAD`` of them, go to every task; the rest join by the word's hash, one row
@@ -36,8 +40,8 @@ from .common import by_batch, written
 U64 = np.uint64
 HEAD = 200_000
 PASSES = 3
-#: Added to each piece's expected count, so that unseen pieces keep some weight.
-SMOOTH = 0.1
+#: Prior counts a piece, on average.
+PRIOR = 0.1
 LONG_WORD = 512  # bytes; longer words are scored one at a time
 CACHE = 1 << 21
 SLOT_BITS = 20
@@ -269,9 +273,10 @@ def _expect(pieces: list[bytes], logs: np.ndarray):
 def fit(counts: DataFrame, pieces: list[bytes], scores: np.ndarray, passes: int = PASSES) -> np.ndarray:
     """Log probabilities of the pieces from all training words (``word``, ``c``)."""
     logs = start_logs(scores)
+    prior = PRIOR * len(pieces) * np.exp(logs)
     for _ in range(passes):
         rows = counts.select("word", "c").mapInArrow(_expect(pieces, logs), "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()
-        expected = np.full(len(pieces), SMOOTH)
+        expected = prior.copy()
         for row in rows:
             expected[row["piece"]] += row["e"]
         logs = np.log(expected / expected.sum())
@@ -292,8 +297,13 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else level >= least)
 
 
+def known_log(whole: float, count, n_words: int, log):
+    """Log probability of words with ``count`` in training and the lattice's ``log``."""
+    return np.logaddexp(math.log(whole) + np.log(count / n_words), math.log1p(-whole) + log)
+
+
 def _head_scores(pieces: list[bytes], logs: np.ndarray):
-    """Words -> the log of their summed segmentations."""
+    """Words -> the log of their summed segmentations into pieces."""
 
     def run(batches):
         lattice = Lattice(pieces, logs)
@@ -311,9 +321,10 @@ def _head_scores(pieces: list[bytes], logs: np.ndarray):
 
 
 def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray, known: np.ndarray, scores: np.ndarray):
-    """Documents -> a row each with its lattice score and what the ``HEAD`` words add
-    to the base; other words follow, a row per document and word, for the join.
-    ``keys``: the head's hashes in order, with ``known`` (base) and ``scores``."""
+    """Documents -> a row each with what its ``HEAD`` words and its end add to score
+    and base; other words follow, a row per document and word with the lattice's ``log``,
+    for the join.  ``keys``: the head's hashes in order, with ``known`` (base) and
+    ``scores``."""
 
     def word_scores(lattice: Lattice, words: W.Words, at: np.ndarray) -> np.ndarray:
         start, end = words.start[at], words.end[at]
@@ -323,14 +334,14 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
             out[short[i]] = lattice.forward(text)
         for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
             out[i] = lattice.long_word(np.append(np.uint8(_MARK), words.data[start[i] : end[i]]))
-        return out + model["word_log"]
+        return out
 
     def run(batches):
         lattice = Lattice(pieces, logs)
         cache_key, cache = np.zeros(CACHE, U64), np.zeros(CACHE)
         bucket = np.searchsorted(keys >> U64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=U64))
         deep = int(np.diff(bucket).max(initial=0))
-        names = ["out_id", "part", "h", "n", "n_known", "base", "score", "held_out"]
+        names = ["out_id", "part", "h", "n", "n_known", "base", "score", "held_out", "log"]
         for batch in batches:
             data, offsets = W.text_buffers(batch.column(2))
             data = W.LOWER[data]
@@ -362,7 +373,7 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
                     cache_key[where] = new
                     kept = cache_key[where] == new
                     cache[where[kept]] = logp[kept]
-                score = np.bincount(row, weights=value, minlength=rows) / math.log(10) + model["end_log10"]
+                score = np.bincount(row[in_head], weights=value[in_head] + model["word_log"], minlength=rows) / math.log(10) + model["end_log10"]
                 base = np.bincount(row[in_head], weights=known[spot[in_head]], minlength=rows) if len(keys) else np.zeros(rows)
                 ids, own, held = (batch.column(i).slice(a, rows) for i in (0, 1, 3))
                 spread = W.mix(part[a:z].view(U64) + np.arange(a, z).astype(U64))
@@ -375,6 +386,7 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
                     pa.array(base + model["end_base"]),
                     pa.array(score),
                     held,
+                    pa.nulls(rows, pa.float64()),
                 ]
                 yield pa.record_batch(columns, names=names)
                 if len(rest):
@@ -386,7 +398,7 @@ def _score(pieces: list[bytes], logs: np.ndarray, model: dict, keys: np.ndarray,
                     where = pa.array(row[order[first]])
                     n = np.diff(np.append(first, len(order)))
                     columns = [ids.take(where), own.take(where), pa.array(h[order[first]].view(np.int64)), pa.array(n)]
-                    yield pa.record_batch([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.bool_())], names=names)
+                    yield pa.record_batch([*columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.bool_()), pa.array(value[order[first]])], names=names)
 
     return run
 
@@ -420,21 +432,28 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         "end_known": int(n_train > 0),
     }
     known = np.log10(top["c"].to_numpy(float)[order] + 1) - shift
-    head = top["log"].to_numpy(float)[order] + model["word_log"]
+    # The whole-word path's weight: all but the chance that a word is a new one.
+    types_of_words = sums["v"]
+    whole = n_words / (n_words + types_of_words) if n_words else 0.0
+    head = known_log(whole, top["c"].to_numpy(float)[order], n_words, top["log"].to_numpy(float)[order]) if n_words else np.empty(0)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = base.select("out_id", F.xxhash64("text").alias("part"), "text", "held_out").mapInArrow(
-        _score(pieces, logs, model, keys[order], known, head), f"out_id {kind}, part long, h long, n long, n_known long, base double, score double, held_out boolean"
+        _score(pieces, logs, model, keys[order], known, head), f"out_id {kind}, part long, h long, n long, n_known long, base double, score double, held_out boolean, log double"
     )
     joined = rows.join(counts.select("h", "c"), "h", "left")
     own = F.col("score").isNotNull()
     word_base = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(shift))
+    # A new word has the pieces' paths alone; a known one's whole-word path is far the heavier.
+    new_word = F.col("log") + F.lit(math.log1p(-whole))
+    old_word = F.log(F.lit(whole / max(1, n_words)) * F.col("c") + F.exp(new_word))
+    word_score = F.col("n") * (F.when(F.col("c").isNull(), new_word).otherwise(old_word) + F.lit(model["word_log"])) / F.lit(math.log(10))
     parts = joined.groupBy("out_id", "part").agg(
         F.count("score").alias("rows"),
         F.first("held_out", ignorenulls=True).alias("held_out"),
         F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(own, F.col("n_known")).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
         F.sum(F.when(own, F.col("base")).otherwise(word_base)).alias("base"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(own, F.col("score")).otherwise(word_score)).alias("score"),
     )
     # Rows with one id and one text were summed: each gets its share back.
     return parts.select(

@@ -375,6 +375,44 @@ def test_lattice_sums_all_segmentations():
         assert sum(c * len(p) for c, p in zip(one, pieces)) == pytest.approx(2 * len(word))
 
 
+def test_scores_equal_a_plain_recursion(spark, monkeypatch):
+    """With the pieces' first probabilities kept: every word's paths by a plain loop."""
+    monkeypatch.setattr(lattice_lm, "fit", lambda counts, pieces, scores: lattice_lm.start_logs(scores))
+    monkeypatch.setattr(lattice_lm, "HEAD", 20)
+    names, scores = lattice_lm.load_pieces(VOCABULARY)
+    prob = dict(zip(names, np.exp(lattice_lm.start_logs(scores))))
+    longest = max(map(len, names))
+    rows = list(enumerate(ODD[:8] + random_texts(40, 23)))
+    tokens = [words(t, True) for _, t in rows]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    c = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
+    n, docs = sum(c.values()), sum(not h for h in held)
+    whole = n / (n + len(c))
+
+    def lattice(word):
+        alpha = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            alpha[end] = sum(alpha[s] * prob.get(word[s:end], 0.0) for s in range(max(0, end - longest), end))
+        return alpha[-1]
+
+    def score(ws):
+        each = [math.log10((whole * c[w] / n + (1 - whole) * lattice(b" " + w)) * (n + 1) / (n + docs + 2)) for w in ws]
+        return sum(each) + math.log10((docs + 1) / (n + docs + 2))
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score_texts(frame, VOCABULARY).collect()}
+    assert got == pytest.approx({i: score(ws) for (i, _), ws in zip(rows, tokens)}, rel=1e-9)
+
+
+def test_held_out_texts(spark):
+    """Pieces alone gave -5.35 a token here.  The word base (-4.07) is no yardstick: it
+    gives the weight of all unknown words together to each of them."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lattice_lm.score_texts(frame, VOCABULARY).where("held_out")
+    sums = held.agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert sums["s"] / sums["n"] > -4.8
+
+
 @pytest.mark.parametrize("head", [0, 5, 200_000])
 def test_language_model(spark, documents, small_batches, monkeypatch, head):
     monkeypatch.setattr(lattice_lm, "HEAD", head)
@@ -427,16 +465,44 @@ def test_segments_do_not_change_scores(monkeypatch):
     assert alone == pytest.approx(whole, abs=1e-5)
 
 
-def test_gradient():
+def plain_score(net, text):
+    """The network as its docstring says it, a filter and a chunk at a time."""
+    w = net.w
+    blocks = max(1, -(-len(text) // 32))
+    padded = list(text) + [0] * (32 * (blocks + 2) - len(text))
+    answers = []
+    for at in range(0, 32 * (blocks + 1), 2):
+        answers.append([max(0.0, sum(float(w["filters"][j, padded[at + j], f]) for j in range(4)) + float(w["bias"][f])) for f in range(quality_cnn.FILTERS)])
+    units = [-math.inf] * quality_cnn.UNITS
+    for chunk in range(blocks):
+        mean = np.mean(answers[16 * chunk : 16 * chunk + 32], axis=0)
+        features = [*mean, *(m * m for m in mean)]
+        for u in range(quality_cnn.UNITS):
+            units[u] = max(units[u], sum(f * float(w["units"][i, u]) for i, f in enumerate(features)) + float(w["lift"][u]))
+    x = sum(max(0.0, u) * float(o) for u, o in zip(units, w["out"])) + float(w["shift"][0])
+    return 1 / (1 + math.exp(-x))
+
+
+def test_scores_equal_a_plain_convolution(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(25).collect()
+    texts = [b"", b"a", b"x" * 31, b"y" * 64, *((r["text"] or "").encode()[:3000] for r in rows)]
+    net = quality_cnn.train(texts, np.array([i % 2 for i in range(len(texts))], float), epochs=1)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert quality_cnn.score_bytes(net, data, offsets) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
+@pytest.mark.parametrize("segment", [2048, 2])
+def test_gradient(monkeypatch, segment):
+    """Also where a document has several segments: its units are pooled over all."""
+    monkeypatch.setattr(quality_cnn, "SEGMENT", segment)
     net = quality_cnn.Network(5)
-    texts, label = [b"hello world, this is one", b"THE!! OTHER!! ONE!!" * 6], np.array([1.0, 0.0])
+    texts, label = [b"hello world, this is one", b"THE!! OTHER!! ONE!!" * 16], np.array([1.0, 0.0])
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    blocks, first, chunks, _ = next(iter(quality_cnn.segments(data, offsets)))
-    grad = net.gradient(blocks, first, chunks, label, np.ones(2))
+    grad = net.gradient(list(quality_cnn.segments(data, offsets)), label, np.ones(2))
 
     def loss():
         net.tabled = None
-        p = net.combine(net.pooled(blocks, first, chunks)[4])
+        p = quality_cnn.score_bytes(net, data, offsets)
         return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
 
     for name, at in (("out", 3), ("shift", 0), ("lift", 4), ("units", (5, 6)), ("bias", 2), ("filters", (1, ord("E"), 7))):
@@ -449,6 +515,20 @@ def test_gradient():
         assert grad[name][at] == pytest.approx((up - down) / (2 * step), abs=5e-3), name
 
 
+def test_the_fit_reads_whole_texts_of_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, labels: seen.append((texts, labels)) or quality_cnn.Network())
+    long = "filler " * 20_000 + "the end"
+    docs = spark.createDataFrame([(i, long if i == 4 else f"text {i}") for i in range(40)] + [(4, "other")] * 3 + [(6, f"copy {j}") for j in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    quality_cnn.fit(docs, labels)
+    quality_cnn.fit(docs, labels, sample=10)
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0][0]) == len(learned) and len(seen[1][0]) <= 10
+    if 4 in learned:
+        assert {long.encode(), b"other"} & set(seen[0][0])
+
+
 # --- empty tables ------------------------------------------------------------------
 
 
