@@ -6,6 +6,7 @@ holds U+001C to U+001F.  Letters are ``\\p{L}``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -102,8 +103,8 @@ def letter_fraction(text: Column, letters: str) -> Column:
 
 def has_markers(text: Column, markers: Sequence[str], least: int = 2) -> Column:
     """Whether at least ``least`` different marker words occur as words."""
-    known = F.array(*(F.lit(m) for m in markers))
-    return F.size(F.array_intersect(words(text), known)) >= least
+    found = F.regexp_extract_all(text, F.lit(f"(?<!{NOT_SPACE})({'|'.join(map(re.escape, markers))})(?!{NOT_SPACE})"), 1)
+    return F.size(F.array_distinct(found)) >= least
 
 
 def shingles(letters: Column, k: int) -> Column:
@@ -111,12 +112,8 @@ def shingles(letters: Column, k: int) -> Column:
     if k <= 0:
         raise ValueError("a window holds at least one character")
 
-    def windows(chars: Column) -> Column:
-        n = F.size(chars)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(k)), ""))
-        return F.when(n >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
-
-    return let(characters(letters), windows)
+    # A look-ahead matches at every character: one pass, however long the string.
+    return F.array_distinct(F.regexp_extract_all(letters, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 
 def shingles_or_whole(letters: Column, k: int) -> Column:

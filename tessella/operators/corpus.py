@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import letters_only, sentence_hash, shingles_or_whole, strip
+from .ranks import running_total
 
 Hash = Callable[[Column], Column]
 
@@ -71,11 +72,16 @@ def shingle_overlaps(rows: DataFrame, index: DataFrame, k: int, id_col: str, tex
     return exploded.join(index, "shingle").select(id_col, "eval_source").distinct()
 
 
+def line_digest(text: Column) -> Column:
+    """A 128-bit key of a text, as binary: what deduplication shuffles in its place."""
+    return F.unhex(F.md5(text))
+
+
 def first_occurrences(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``.  The minimum of the order columns is an
-    aggregate with partial sums, so a hot key does not gather its rows; only the
-    winners join back."""
-    keyed = rows.withColumn("__key", key)
+    """The first row of each key in ``order``.  Keys meet as 128-bit digests.  The
+    minimum of the order columns is an aggregate with partial sums, so a hot key does
+    not gather its rows; only the winners join back."""
+    keyed = rows.withColumn("__key", line_digest(key))
     first = keyed.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first"))
     again = keyed.join(first, keyed["__key"].eqNullSafe(first["__key"]) & (F.struct(*(keyed[c] for c in order)) == first["__first"]), "left_semi")
     return again.drop("__key")
@@ -90,7 +96,9 @@ def dedup_across_sources(rows: DataFrame, text_col: str = "text", order: Sequenc
 def dedup_counts(rows: DataFrame, by: Sequence[str], text_col: str = "text", order: Sequence[str] = ("source_rank", "pos")) -> DataFrame:
     """Per group: rows in, blanks, duplicates of an earlier row, rows kept."""
     plain = strip(F.col(text_col))
-    kept = dedup_across_sources(rows, text_col, order).groupBy(*by).agg(F.count("*").alias("n_out"))
+    # A text's first row alone counts, and of it only its group: no join, no text in a shuffle.
+    firsts = rows.where(plain != "").groupBy(line_digest(plain).alias("__key")).agg(F.min(F.struct(*order, *by)).alias("__first"))
+    kept = firsts.groupBy(*(F.col("__first")[c].alias(c) for c in by)).agg(F.count("*").alias("n_out"))
     every = rows.groupBy(*by).agg(F.count("*").alias("n_in"), F.count_if(plain == "").alias("n_blank"))
     out = every.join(kept, list(by), "left").withColumn("n_out", F.coalesce("n_out", F.lit(0).cast("long")))
     return out.withColumn("n_duplicate", F.col("n_in") - F.col("n_blank") - F.col("n_out"))
@@ -176,9 +184,7 @@ def byte_prefix(rows: DataFrame, key: str, budget: int, seed: int, text_col: str
 
 def char_cap(rows: DataFrame, order: str, cap: int, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """Rows in order up to the character cap; the row that reaches it is included."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum(F.length(text_col)).over(w) - F.length(text_col)
-    return rows.withColumn("__run", run).where(F.col("__run") < cap).drop("__run")
+    return running_total(rows, by, [order], F.length(text_col), "__run").where(F.col("__run") < cap).drop("__run")
 
 
 def line_ranges(rows: DataFrame, rank: str, source: str) -> DataFrame:
@@ -215,12 +221,13 @@ def attach_by_index(rows: DataFrame, records: DataFrame, index: str, text: str,
 def accept(rows: DataFrame, exclusion: DataFrame, index: DataFrame, k: int, id_col: str, reason: Column, order: Sequence[str], text_col: str = "text") -> DataFrame:
     """Every row with ``drop_reason`` (null: kept): the quality ``reason``, then
     ``hash``, then ``shingle``; duplicates are judged among the survivors alone."""
-    hashed = rows.withColumn("__hash", sentence_hash(F.col(text_col)))
+    # The rules are read once per row, before any join multiplies the plan.
+    hashed = rows.withColumn("__hash", sentence_hash(F.col(text_col))).withColumn("__rule", reason)
     marked = hashed.join(exclusion.select(F.col("hash").alias("__hash"), F.lit(True).alias("__leak")), "__hash", "left")
     near = shingle_overlaps(rows, index, k, id_col, text_col).select(id_col).distinct().withColumn("__near", F.lit(True))
     marked = marked.join(near, id_col, "left")
-    why = F.coalesce(reason, F.when(F.col("__leak"), "hash"), F.when(F.col("__near"), "shingle"))
-    marked = marked.withColumn("drop_reason", why).drop("__leak", "__near")
+    why = F.coalesce("__rule", F.when(F.col("__leak"), "hash"), F.when(F.col("__near"), "shingle"))
+    marked = marked.withColumn("drop_reason", why).drop("__leak", "__near", "__rule")
     alive = marked.where("drop_reason is null")
     first = alive.groupBy("__hash").agg(F.min(F.struct(*order)).alias("__first"))
     joined = marked.join(first, "__hash", "left")

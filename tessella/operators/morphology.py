@@ -87,77 +87,77 @@ def _outer(unit: str) -> tuple[str, str, str]:
     return unit[: letters[0]], unit[letters[0] : letters[-1] + 1], unit[letters[-1] + 1 :]
 
 
-class _Segments:
-    """A model's segments with a cursor; ``take`` claims the window that a part fits."""
-
-    def __init__(self, text: str, threshold: float):
-        self.all = [p for unit in text.split() for p in unit.split("-") if p]
-        self.at, self.threshold = 0, threshold
-
-    def left(self) -> int:
-        return len(self.all) - self.at
-
-    def window(self, size: int) -> str:
-        return "".join(self.all[self.at : self.at + size])
-
-    def _size(self, part: str, following: str | None) -> tuple[int, float]:
-        """Segments of the best window and its likeness; 0 where none will do.
-
-        The first segment must not resemble the following unit more; windows grow to
-        ``WINDOW`` and on while the widest is the best yet; and a best window that ends
-        at the limit with segments to spare is refused rather than cut."""
-        if not self.left() or following is not None and _like(part, self.all[self.at]) < _like(following, self.all[self.at]):
-            return 0, 0.0
-        limit, best, top, size = min(WINDOW, self.left()), (0, 0.0), 0.0, 0
-        while size < limit:
-            size += 1
-            held = self.window(size)
-            ratio = _like(part, held)
-            if ratio >= self.threshold and ratio > best[1] and (following is None or ratio >= _like(following, held)):
-                best = (size, ratio)
-            if ratio > top:
-                top = ratio
-                limit += size == limit and limit < self.left()
-        return (0, 0.0) if best[0] and best[0] == limit and limit < self.left() else best
-
-    def take(self, part: str, following: str | None) -> tuple[str | None, bool]:
-        """The part's segments, spaced, and whether they differ from it; None to keep it."""
-        size, ratio = self._size(part, following)
-        if not size:
-            return None, False
-        found = " ".join(self.all[self.at : self.at + size])
-        self.at += size
-        return found, ratio < 1.0
-
-    def skip_if(self, unit: str) -> None:
-        if self.left() and _like(unit, self.all[self.at]) >= self.threshold:
-            self.at += 1
+def _window_scores(part: str, segments: Sequence[str]) -> list[float]:
+    """Likeness of the part to the first 1, 2, ... segments joined: ``WINDOW`` widths,
+    and one more as long as the widest is the likest of all."""
+    scores: list[float] = []
+    while len(scores) < len(segments) and (len(scores) < WINDOW or scores[-1] > max(scores[:-1], default=0.0)):
+        scores.append(_like(part, "".join(segments[: len(scores) + 1])))
+    return scores
+
+
+def choose_window(part: str, segments: Sequence[str], following: str | None, threshold: float = LEAST_RATIO) -> tuple[int, float]:
+    """How many of the segments a part claims, and their likeness; (0, 0.0) for none.
+
+    A window may be claimed if it reaches the threshold and is no likelier the following
+    unit's; of these the likest, and the shortest of equals.  Nothing is claimed where
+    already the first segment is likelier the following unit's, or where the choice is
+    the widest window looked at though segments are left."""
+    rival = (lambda held: _like(following, held)) if following is not None else (lambda held: -1.0)
+    if not segments or rival(segments[0]) > _like(part, segments[0]):
+        return 0, 0.0
+    scores = _window_scores(part, segments)
+    allowed = [n for n, score in enumerate(scores, 1) if score >= threshold and score >= rival("".join(segments[:n]))]
+    if not allowed:
+        return 0, 0.0
+    chosen = min(allowed, key=lambda n: (-scores[n - 1], n))
+    cut_short = chosen == len(scores) < len(segments)
+    return (0, 0.0) if cut_short else (chosen, scores[chosen - 1])
+
+
+def _claims(peeled: Sequence[tuple[str, str, str]], units: Sequence[str], segments: Sequence[str], threshold: float) -> dict[tuple[int, int], tuple[str, bool]]:
+    """What the parts of the units claim, in their order: (unit, part) -> the segments,
+    spaced, and whether they differ from the part.  A unit without letters lets a
+    segment that resembles it go by."""
+    found: dict[tuple[int, int], tuple[str, bool]] = {}
+    left = list(segments)
+    for i, (_, core, _) in enumerate(peeled):
+        if not core:
+            if left and _like(units[i], left[0]) >= threshold:
+                del left[0]
+            continue
+        following = (peeled[i + 1][1] or units[i + 1]) if i + 1 < len(units) else None
+        for j, part in enumerate(core.split("-")):
+            n, score = choose_window(part, left, following, threshold) if part else (0, 0.0)
+            if n:
+                found[i, j] = " ".join(left[:n]), score < 1.0
+                del left[:n]
+    return found
+
+
+def _shown(peeled: tuple[str, str, str], claimed: dict[int, str]) -> str:
+    """A unit with its claimed parts: its own outer characters and hyphens stand, and
+    outer non-letters of what was claimed go."""
+    before, core, after = peeled
+    parts = [claimed.get(j, part) for j, part in enumerate(core.split("-"))]
+    parts[0] = before + parts[0][len(_outer(parts[0])[0]) if _outer(parts[0])[1] else len(parts[0]) :]
+    _, held, behind = _outer(parts[-1])
+    parts[-1] = (parts[-1][: len(parts[-1]) - len(behind)] if held else "") + after
+    return "-".join(parts)
 
 
 def reconcile(raw: str, model: str, threshold: float = LEAST_RATIO) -> dict:
     """The raw text with the model's segmentation where both agree; everything else,
     and all outer non-letters and hyphens, as written.  With counters."""
-    units, segments = raw.split(), _Segments(model, threshold)
-    claims = [core if core else unit for unit in units for core in (_outer(unit)[1],)]
-    out, verbatim, inexact = [], 0, 0
-    for i, unit in enumerate(units):
-        before, core, after = _outer(unit)
-        following = claims[i + 1] if i + 1 < len(units) else None
-        parts = [(p, *(segments.take(p, following) if p else (None, False))) for p in core.split("-")] if core else []
-        if not any(found is not None for _, found, _ in parts):
-            out.append(unit)
-            verbatim += 1
-            if not core:
-                segments.skip_if(unit)
-            continue
-        shown = [p if found is None else found for p, found, _ in parts]
-        # the raw text's outer characters stand; the model's own go
-        first = next((j for j, c in enumerate(shown[0]) if c.isalpha()), len(shown[0]))
-        shown[0] = before + shown[0][first:]
-        last = next((j for j in range(len(shown[-1]), 0, -1) if shown[-1][j - 1].isalpha()), 0)
-        shown[-1] = shown[-1][:last] + after
-        out.append("-".join(shown))
-        inexact += any(changed for _, _, changed in parts)
+    units = raw.split()
+    peeled = [_outer(unit) for unit in units]
+    segments = [part for unit in model.split() for part in unit.split("-") if part]
+    found = _claims(peeled, units, segments, threshold)
+    by_unit: dict[int, dict[int, str]] = {}
+    for (i, j), (text, _) in found.items():
+        by_unit.setdefault(i, {})[j] = text
+    out = [_shown(peeled[i], by_unit[i]) if i in by_unit else unit for i, unit in enumerate(units)]
+    verbatim, inexact = len(units) - len(by_unit), len({i for (i, _), (_, differs) in found.items() if differs})
     text = " ".join(out)
     size = {name: sum(not c.isspace() for c in t) for name, t in (("raw", raw), ("model", model), ("out", text))}
     return {

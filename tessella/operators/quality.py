@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import has_markers, letter_fraction, mean_word_length, real_words
+from ..functions.text import NOT_SPACE, has_markers, letter_fraction
 
 #: Letters of the SLP1 transliteration and what may stand beside them (fixed values).
 SLP1_LETTERS = "aAiIuUfFxXeEoOMHkKgGNcCjJYwWqQRtTdDnpPbBmyrlvSzshL"
@@ -37,14 +37,22 @@ def drop_reason(source: Column, text: Column, rules: Rules = Rules(), latin: boo
     """The name of the first rule that a line fails, or null.
 
     ``source`` is the line as written, ``text`` what the later rules read (the
-    transliteration).  One CASE expression, evaluated once per line in codegen.
+    transliteration).  Words' number and length are counts of characters: a line's
+    words that hold a letter are blanked to one mark a word, so no array is made.
     """
-    n = F.size(real_words(text))
-    mean = mean_word_length(text)
     first, second, third, fourth, fifth, sixth = rules.names
+    n, letters = _real_word_sizes(text)
+    mean = F.when(n == 0, F.lit(0.0)).otherwise(letters / n)
     out = F.when(source.rlike("[A-Za-z]"), first) if latin else F.when(F.lit(False), first)
     out = out.when(has_markers(source, rules.markers, rules.least_markers), second)
     out = out.when(letter_fraction(text, rules.letters) < rules.letter_share, third)
     out = out.when(~n.between(rules.least_words, rules.most_words), fourth)
     out = out.when(~mean.between(rules.least_length, rules.most_length), fifth)
     return out.when(~text.rlike(f"^[{rules.clean}]*$"), sixth)
+
+
+def _real_word_sizes(text: Column) -> tuple[Column, Column]:
+    """How many words hold a letter, and their characters together."""
+    real = rf"(?<!{NOT_SPACE}){NOT_SPACE}*?\p{{L}}{NOT_SPACE}*"
+    gone = F.regexp_replace(text, real, "")
+    return F.regexp_count(text, F.lit(real)), F.length(text) - F.length(gone)

@@ -12,7 +12,9 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +41,13 @@ class Arm:
 
 
 def byte_ids(text: Column) -> Column:
-    """UTF-8 bytes as numbers."""
-    digits = F.filter(F.split(F.hex(F.encode(text, "UTF-8")), r"(?<=\G..)"), lambda x: x != "")
-    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
+    """UTF-8 bytes as numbers, in one Arrow pass."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.frombuffer(t.encode(), np.uint8).astype(np.int32), na_action="ignore")
+
+    return numbers(text)
 
 
 def char_ids(text: Column) -> Column:
@@ -152,20 +158,13 @@ class Bpe:
 
 
 def normalise_spans(text: str, raw: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans clipped to their predecessor's end, without white space at their ends;
+    """Spans from the furthest end before them on, without white space at their ends;
     empty ones go."""
-    out, cursor = [], 0
-    for start, end in raw:
-        start, end = max(start, cursor), min(end, len(text))
-        while start < end and text[start].isspace():
-            start += 1
-        stop = end
-        while stop > start and text[stop - 1].isspace():
-            stop -= 1
-        if stop > start:
-            out.append((start, stop))
-        cursor = max(cursor, end)
-    return out
+    ends = [min(end, len(text)) for _, end in raw]
+    furthest = accumulate(ends, max, initial=0)
+    held = [(max(start, reached), text[max(start, reached) : end]) for (start, _), end, reached in zip(raw, ends, furthest)]
+    begins = ((at + len(piece) - len(piece.lstrip()), piece.strip()) for at, piece in held)
+    return [(at, at + len(piece)) for at, piece in begins if piece]
 
 
 def byte_spans(text: str, lengths: Sequence[int]) -> list[tuple[int, int]]:
@@ -337,12 +336,13 @@ class Registry:
         return spark.createDataFrame([(n, f, v) for n, (f, v, _) in self.loaders.items()], "arm string, family string, variant string")
 
 
-def encode_corpus(lines: DataFrame, ids: Column, eos_id: int, vocab: int, order: str) -> DataFrame:
-    """``order, ids`` with the end id after each line; an id outside the vocabulary is
+def encode_corpus(lines: DataFrame, ids: Column, eos_id: int, vocab: int, order: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``order, ids`` and the carried columns, with the end id after each line; an id outside the vocabulary is
     an error raised by the row that holds it."""
-    held = F.concat(ids, F.array(F.lit(eos_id)))
+    rows = lines.select(order, *carry, F.concat(ids, F.array(F.lit(eos_id))).alias("ids"))
+    held = F.col("ids")
     bad = F.exists(held, lambda i: (i < 0) | (i >= vocab))
-    return lines.select(order, F.when(bad, F.raise_error(F.lit("a token id lies outside the vocabulary"))).otherwise(held).alias("ids"))
+    return rows.select(order, *carry, F.when(bad, F.raise_error(F.lit("a token id lies outside the vocabulary"))).otherwise(held).alias("ids"))
 
 
 def vocab_dtype(vocab: int) -> str:

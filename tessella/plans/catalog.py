@@ -27,6 +27,7 @@ EDGES = [0, 5, 10, 20, 40]
 LABELS = M.bin_labels(EDGES)
 #: A short merge list for the native encoder (a fixed value of these queries).
 MERGES = [("t", "h"), ("i", "n"), ("e", "r"), ("a", "n"), ("o", "n"), ("e", "n"), ("r", "e"), ("th", "e"), ("▁", "the"), ("in", "g"), ("▁", "o"), ("d", "e")]
+LINE_ORDER = ["source_rank", "doc_id", "n"]
 SUFFIX = r"(ing|ed|tion|ment|en|er)$"
 
 W = X.WHITE
@@ -210,7 +211,7 @@ def renyi_efficiency(spark: SparkSession, d: str) -> DataFrame:
 # --- bootstraps --------------------------------------------------------------------
 
 DRAW = "('0x' || substr(md5(b || ':' || k), 1, 8))::BIGINT"
-REPLICATES = 40
+REPLICATES = 1000
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, idx) - 1 AS pos, count(*) OVER () AS n, length(src) AS source, length(pivot) AS pivot FROM pairs),
@@ -253,7 +254,13 @@ def tpp_paired_delta(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tpp_stream_ci(spark: SparkSession, d: str) -> DataFrame:
     """The interval by NumPy's own generator, which SQL cannot replay."""
-    return bootstrap.stream_ratio_interval(char_parts(spark, d).withColumn("pos", F.col("conv_id") * 1000 + F.col("idx")), ["corpus"], "pos", 200, seed=7)
+    return bootstrap.stream_ratio_interval(char_parts(spark, d), ["corpus"], ["conv_id", "idx"], 1000, seed=7)
+
+
+@query()
+def tpp_stream_block_ci(spark: SparkSession, d: str) -> DataFrame:
+    """As above, in blocks of ten pairs."""
+    return bootstrap.stream_ratio_interval(char_parts(spark, d), ["corpus"], ["conv_id", "idx"], 1000, seed=7, length=10)
 
 
 # --- corpus ------------------------------------------------------------------------
@@ -329,18 +336,18 @@ def shingle_drops_per_source(spark: SparkSession, d: str) -> DataFrame:
     return overlaps(spark, d).groupBy("eval_source").agg(F.count("*").alias("n_docs"))
 
 
-FIRST = f"""dd AS (SELECT *, row_number() OVER (PARTITION BY {s("text")} ORDER BY source_rank, pos) AS k FROM lines WHERE {s("text")} <> '')"""
+FIRST = f"""dd AS (SELECT *, row_number() OVER (PARTITION BY {s("text")} ORDER BY source_rank, doc_id, n) AS k FROM lines WHERE {s("text")} <> '')"""
 
 
 @query(f"WITH {LINES}, {FIRST} SELECT source, doc_id, n FROM dd WHERE k = 1")
 def dedup_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.dedup_across_sources(lines(spark, d)).select("source", "doc_id", "n")
+    return corpus.dedup_across_sources(lines(spark, d), order=LINE_ORDER).select("source", "doc_id", "n")
 
 
 @query(f"""WITH {LINES}, {FIRST}, a AS (SELECT source, count(*) AS n_in, count(*) FILTER ({s("text")} = '') AS n_blank FROM lines GROUP BY source), b AS (SELECT source, count(*) AS n_out FROM dd WHERE k = 1 GROUP BY source)
 SELECT source, n_in, n_blank, coalesce(n_out, 0)::BIGINT AS n_out, n_in - n_blank - coalesce(n_out, 0) AS n_duplicate FROM a LEFT JOIN b USING (source)""")
 def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.dedup_counts(lines(spark, d), ["source"])
+    return corpus.dedup_counts(lines(spark, d), ["source"], order=LINE_ORDER)
 
 
 @query("""SELECT source, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, (sum(strlen(text)) + count(*))::BIGINT AS file_bytes,
@@ -406,15 +413,16 @@ def boilerplate_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, {EXCLUDED}, ix AS (SELECT DISTINCT unnest({sql_shingles("l")}) AS shingle FROM (SELECT {LETTERS} AS l FROM benchmark)),
-near AS (SELECT DISTINCT pos FROM (SELECT pos, unnest({sql_shingles("l")}) AS shingle FROM (SELECT pos, {LETTERS} AS l FROM lines)) SEMI JOIN ix USING (shingle)),
-a AS (SELECT l.source, l.source_rank, l.pos, sha256({s("l.text")}) AS h, coalesce({CASCADE.replace("text", "l.text")}, CASE WHEN ex.hash IS NOT NULL THEN 'hash' END, CASE WHEN near.pos IS NOT NULL THEN 'shingle' END) AS reason
-  FROM lines l LEFT JOIN ex ON ex.hash = sha256({s("l.text")}) LEFT JOIN near ON near.pos = l.pos),
-f AS (SELECT source, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY source_rank, pos) > 1 THEN 'duplicate' ELSE coalesce(reason, 'kept') END AS reason FROM a)
+near AS (SELECT DISTINCT doc_id, n FROM (SELECT doc_id, n, unnest({sql_shingles("l")}) AS shingle FROM (SELECT doc_id, n, {LETTERS} AS l FROM lines)) SEMI JOIN ix USING (shingle)),
+a AS (SELECT l.source, l.source_rank, l.doc_id, l.n, sha256({s("l.text")}) AS h, coalesce({CASCADE.replace("text", "l.text")}, CASE WHEN ex.hash IS NOT NULL THEN 'hash' END, CASE WHEN near.n IS NOT NULL THEN 'shingle' END) AS reason
+  FROM lines l LEFT JOIN ex ON ex.hash = sha256({s("l.text")}) LEFT JOIN near ON near.doc_id = l.doc_id AND near.n = l.n),
+f AS (SELECT source, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY source_rank, doc_id, n) > 1 THEN 'duplicate' ELSE coalesce(reason, 'kept') END AS reason FROM a)
 SELECT source, reason, count(*) AS n FROM f GROUP BY ROLLUP (source, reason)""")
 def accept_pipeline(spark: SparkSession, d: str) -> DataFrame:
     index = corpus.shingle_index(table(spark, d, "benchmark"), K).select("eval_source", "shingle")
     reason = quality.drop_reason(F.col("text"), F.col("text"), PLAIN_RULES, latin=False)
-    rows = corpus.accept(lines(spark, d), excluded(spark, d), index, K, "pos", reason, ["source_rank", "pos"])
+    rows = lines(spark, d).withColumn("id", F.struct("doc_id", "n"))
+    rows = corpus.accept(rows, excluded(spark, d), index, K, "id", reason, LINE_ORDER)
     return corpus.drop_counts(rows, "source")
 
 
@@ -499,12 +507,22 @@ def unigram_train(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(model.logs.items()), "piece string, log_prob double")
 
 
-@query("SELECT arm, count(*) AS n, count(*) AS n_tiling FROM documents, (VALUES ('char'), ('word')) AS a(arm) GROUP BY arm")
+@query(f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(generate_series(0, length(text) - 1)) AS i FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, i, regexp_matches(c, '^[^{W}]$') AS inside FROM c),
+e AS (SELECT i, inside, coalesce(lag(inside) OVER d, false) AS was, coalesce(lead(inside) OVER d, false) AS goes_on FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT 'char' AS arm, count(*) FILTER (inside) AS n_spans, sum(i) FILTER (inside) AS starts, sum(i + 1) FILTER (inside) AS ends FROM e
+  UNION ALL SELECT 'word', count(*) FILTER (inside AND NOT was), sum(i) FILTER (inside AND NOT was), sum(i + 1) FILTER (inside AND NOT goes_on) FROM e)
+SELECT arm, (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM documents) AS n_tiling, n_spans::BIGINT AS n_spans, starts::BIGINT AS sum_starts, ends::BIGINT AS sum_ends FROM spans""")
 def span_tiling(spark: SparkSession, d: str) -> DataFrame:
     arms = {a.name: a for a in (tokenizers.CHAR, tokenizers.WORD)}
     docs = table(spark, d, "documents").select("text")
-    held = F.array(*(F.struct(F.lit(n).alias("arm"), tokenizers.spans_tile_column(F.col("text"), a.spans(F.col("text"))).alias("ok")) for n, a in arms.items()))
-    return docs.select(F.explode(held).alias("a")).groupBy("a.arm").agg(F.count("*").alias("n"), F.count_if("a.ok").alias("n_tiling"))
+    spans = docs.select("text", *(a.spans(F.col("text")).alias(n) for n, a in arms.items()))
+
+    def total(column, end):
+        return F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + x[end])
+
+    held = F.array(*(F.struct(F.lit(n).alias("arm"), tokenizers.spans_tile_column(F.col("text"), F.col(n)).alias("ok"), F.size(n).alias("k"), total(F.col(n), "start").alias("s"), total(F.col(n), "end").alias("e")) for n in arms))
+    rows = spans.select(F.explode(held).alias("a")).groupBy("a.arm")
+    return rows.agg(F.count("*").alias("n"), F.count_if("a.ok").alias("n_tiling"), F.sum("a.k").alias("n_spans"), F.sum("a.s").alias("sum_starts"), F.sum("a.e").alias("sum_ends"))
 
 
 # --- boundaries --------------------------------------------------------------------
@@ -610,7 +628,7 @@ def reconciled_turns(spark: SparkSession, d: str) -> DataFrame:
 SPLIT_TURN = "regexp_replace(src, '[.,]', '', 'g')"
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT conv_id * 1000 + idx AS id, src, {SPLIT_TURN} AS o FROM pairs),
+@query(f"""WITH {PAIRS}, t AS (SELECT {{'c': conv_id, 'i': idx}} AS id, src, {SPLIT_TURN} AS o FROM pairs),
 ch AS (SELECT id, c, -1 AS d FROM (SELECT id, unnest(string_split(regexp_replace(src, '\\s', '', 'g'), '')) AS c FROM t) UNION ALL SELECT id, c, 1 FROM (SELECT id, unnest(string_split(regexp_replace(o, '\\s', '', 'g'), '')) AS c FROM t)),
 r AS (SELECT id, c, sum(d) AS d, regexp_matches(c, '^\\p{{L}}$') AS l FROM ch GROUP BY id, c), g AS (SELECT c, l, sum(d) AS d FROM r GROUP BY ALL),
 a AS (SELECT sum(length(regexp_replace(src, '[^\\p{{L}}]', '', 'g')))::BIGINT AS letters_raw, sum(length(regexp_replace(o, '[^\\p{{L}}]', '', 'g')))::BIGINT AS letters_out FROM t)
@@ -619,7 +637,7 @@ SELECT letters_raw, letters_out, (SELECT coalesce(sum(-d) FILTER (l AND d < 0),
   (SELECT coalesce(sum(-d) FILTER (l AND d < 0), 0)::BIGINT FROM g) AS letters_lost_net, (SELECT coalesce(sum(d) FILTER (l AND d > 0), 0)::BIGINT FROM g) AS letters_gained_net,
   (SELECT coalesce(sum(-d) FILTER (NOT l AND d < 0), 0)::BIGINT FROM g) AS others_lost_net, (SELECT coalesce(sum(d) FILTER (NOT l AND d > 0), 0)::BIGINT FROM g) AS others_gained_net, round(letters_out::DOUBLE / nullif(letters_raw, 0), 9) AS letter_retention FROM a""")
 def text_invariants(spark: SparkSession, d: str) -> DataFrame:
-    rows = pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("idx")).alias("id"), "src", F.regexp_replace("src", "[.,]", "").alias("o"))
+    rows = pairs(spark, d).select(F.struct("conv_id", "idx").alias("id"), "src", F.regexp_replace("src", "[.,]", "").alias("o"))
     return rounded(morphology.text_invariants(rows, "id", "src", "o"))
 
 
@@ -635,9 +653,8 @@ def deletion_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n_lines, sum(strlen(text) + 1)::BIGINT AS n_tokens, max(strlen(text) + 1)::BIGINT AS longest FROM documents GROUP BY source")
 def encode_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    encoded = tokenizers.encode_corpus(docs.select("doc_id", "text"), tokenizers.byte_ids(F.col("text")), 256, 257, "doc_id")
-    sized = encoded.select("doc_id", F.size("ids").cast("long").alias("n")).join(docs.select("doc_id", "source"), "doc_id")
+    encoded = tokenizers.encode_corpus(table(spark, d, "documents").select("doc_id", "source", "text"), tokenizers.byte_ids(F.col("text")), 256, 257, "doc_id", carry=["source"])
+    sized = encoded.select("source", F.size("ids").cast("long").alias("n"))
     return sized.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 

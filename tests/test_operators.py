@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import bootstrap, corpus, entropy, morphology, ratios, runs, tokenizers, training
+from tessella.operators import bootstrap, corpus, entropy, morphology, ranks, ratios, runs, tokenizers, training
 from tessella.plans import catalog
 
 
@@ -202,3 +202,44 @@ def test_run_aggregates(spark):
     assert stats["b"] == (None, None)
     with pytest.raises(ValueError):
         runs.bits_per_char(1.0, 0)
+
+
+def test_block_draws_are_numpys_whole_matrices():
+    """A replicate that stays short of n makes all draw as many blocks again."""
+    n, length, replicates = 95, 10, 200
+    source, pivot = np.arange(1, n + 1, dtype=float), np.arange(n, 0, -1, dtype=float) + 3
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 10, (replicates, 10))]
+    size = np.minimum(10, n - np.arange(10) * 10)
+    while (size[np.concatenate(columns, axis=1)].sum(axis=1) < n).any():
+        columns.append(rng.integers(0, 10, (replicates, 10)))
+    ratios = []
+    for row in np.concatenate(columns, axis=1):
+        read = [i for b in row for i in range(10 * b, 10 * b + size[b])][:n]
+        ratios.append(source[read].sum() / pivot[read].sum())
+    assert len(columns) > 1
+    want = np.percentile(ratios, [2.5, 97.5])
+    assert bootstrap.stream_interval(source, pivot, replicates, 3, 0.95, length) == pytest.approx(tuple(want))
+
+
+def test_ranks_and_running_totals(spark):
+    draw = np.random.default_rng(8)
+    rows = [(int(draw.integers(0, 3)) if draw.random() > 0.1 else None, int(draw.integers(0, 50)), i, int(draw.integers(0, 9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, a long, b long, x long")
+    got = {r["b"]: (r["pos"], r["n"]) for r in ranks.with_ranks(df, ["g"], ["a", "b"], "pos", "n").collect()}
+    sums = {r["b"]: r["before"] for r in ranks.running_total(df, ["g"], ["a", "b"], F.col("x"), "before").collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:3])
+        assert [got[r[2]] for r in own] == [(i + 1, len(own)) for i in range(len(own))]
+        assert [sums[r[2]] for r in own] == [sum(x[3] for x in own[:i]) for i in range(len(own))]
+    assert ranks.with_ranks(df.limit(0), ["g"], ["a"], "pos").count() == 0
+    texts = df.withColumn("a", F.col("a").cast("string"))
+    assert ranks.with_ranks(texts, [], ["a", "b"], "pos").agg(F.max("pos")).first()[0] == 400
+
+
+def test_many_lines_of_one_document_keep_their_places(spark, tmp_path):
+    from tessella.plans import inputs
+
+    spark.createDataFrame([(1, "\n".join(["x"] * 1_000_003), "en", "src1", 1), (2, "a\nb", "en", "src1", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = inputs.lines(spark, str(tmp_path))
+    assert rows.select("doc_id", "n").distinct().count() == 1_000_005
