@@ -391,3 +391,13 @@ def train_unigram(lines: DataFrame, vocab_size: int, text_col: str = "text", rou
 
 def marked_words(words: Sequence[str]) -> str:
     return " ".join(words).replace(" ", SPACE_MARK)
+
+
+TRAINERS = {"bpe": train_bpe, "unigram": train_unigram}
+
+
+def train_arm(algorithm: str, lines: DataFrame, vocab_size: int, **options):
+    """One arm by its algorithm's name."""
+    if algorithm not in TRAINERS:
+        raise ValueError(f"no algorithm {algorithm!r}; there are {', '.join(sorted(TRAINERS))}")
+    return TRAINERS[algorithm](lines, vocab_size, **options)

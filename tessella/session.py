@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +26,17 @@ def session(master: str = "local[*]", partitions: int | None = None, **extra: st
     for key, value in {**conf, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
+
+    Only on one machine, and where that is unset, a temporary folder is taken.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return f"{known.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"

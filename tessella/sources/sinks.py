@@ -36,24 +36,43 @@ def is_current(spark: SparkSession, path: str, known: dict[str, Any]) -> bool:
         return False
 
 
+def replace_path(spark: SparkSession, staged: str, path: str) -> None:
+    """A staged table in the place of another: the old one moves aside first and goes
+    last, so a whole one is there under one of the names at any time."""
+    jvm = spark.sparkContext._jvm
+    new, target, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{path}.old"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(aside, True)
+    if files.exists(target):
+        files.rename(target, aside)
+    files.rename(new, target)
+    files.delete(aside, True)
+
+
 def write_exclusion_list(hashes: DataFrame, path: str, allow_shrink: bool = False) -> int:
-    """Sorted distinct hashes.  A list that lacks hashes of the one on disk is refused
-    unless it may shrink."""
+    """Sorted distinct hashes under two comment lines: how many there are, and how many
+    each source gave (a ``source`` column, if there is one) before they were made
+    distinct.  A list that lacks hashes of the one on disk is refused unless it may
+    shrink."""
     spark = hashes.sparkSession
     new = hashes.select("hash").distinct()
     try:
         old = exclusion_list(spark, path)
+        old.limit(1).collect()
     except Exception:  # noqa: BLE001 - no list yet
         old = None
     if old is not None and not allow_shrink:
         lost = old.join(new, "hash", "left_anti").limit(5).collect()
         if lost:
             raise ValueError(f"the new list lacks {[r[0] for r in lost]}")
-    staged = f"{path}.new"
-    new.orderBy("hash").write.mode("overwrite").text(staged)
-    # The old list stays readable until the new one is whole.
-    spark.read.text(staged).orderBy("value").write.mode("overwrite").text(path)
-    return new.count()
+    source = F.col("source") if "source" in hashes.columns else F.lit("all")
+    given = {r["s"]: r["count"] for r in hashes.groupBy(source.alias("s")).count().collect()}
+    n = new.count()
+    header = [f"# {n} distinct sha256 hashes", "# " + ", ".join(f"{k}: {v}" for k, v in sorted(given.items(), key=str))]
+    lines = spark.createDataFrame([(f" {i}", line) for i, line in enumerate(header)], "at string, value string").union(new.select("hash", "hash"))
+    lines.orderBy("at").select("value").write.mode("overwrite").text(f"{path}.new")
+    replace_path(spark, f"{path}.new", path)
+    return n
 
 
 def strict(value: Any) -> Any:
