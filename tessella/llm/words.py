@@ -110,18 +110,30 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes (with A-Z lower-cased if asked)."""
         if not len(self.start):
             return np.empty(0, U64)
         data = LOWER[self.data] if lower else self.data
         n = len(data)
-        up = power_table(BASE, n + 1)
-        down = power_table(INVERSE, n + 1)
+        base = (BASE + 2 * seed) % (1 << 64)
+        up = power_table(base, n + 1)
+        down = power_table(pow(base, -1, 1 << 64), n + 1)
         sums = np.zeros(n + 1, dtype=U64)
         np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words' bytes, a space after each, and where each begins (one more)."""
+        size = self.end - self.start + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        if not len(size):
+            return np.empty(0, np.uint8), at
+        index = np.repeat(self.start - at[:-1], size) + np.arange(at[-1])
+        out = self.data[np.minimum(index, len(self.data) - 1)]
+        out[at[1:] - 1] = 0x20
+        return out, at
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 

@@ -1,5 +1,6 @@
 """Operators on texts against brute-force versions."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -110,8 +111,94 @@ def test_without_repeats_keeps_columns(spark, documents):
 def test_paths_name_their_sources(spark):
     base = " ".join(f"v{i}" for i in range(30))
     docs = spark.createDataFrame([(5, "x " + base), (9, "y z " + base + " q")], "doc_id long, text string")
-    row = substring_dedup.repeated_paths(docs).first()
-    assert (row["doc"], row["start"], row["edges"], row["source"]) == (9, [2], [18], [5])
+    row = substring_dedup.repeated_paths(docs).collect()
+    assert [(r["doc"], r["start"], r["edges"], r["source"], r["source_start"]) for r in row] == [(9, 2, 18, 5, 1)]
+    assert row[0]["digest"] == hashlib.blake2b(base.encode(), digest_size=16).digest()
+
+
+def test_equal_hashes_of_different_words_are_found(spark, monkeypatch):
+    """Nodes told apart by six bits alone: some path does not have its source's words."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(random_texts(60, 12, vocabulary=2000))], "doc_id long, text string")
+    made = substring_dedup._edges
+
+    def weak(*args):
+        run = made(*args)
+
+        def masked(batches):
+            for b in run(batches):
+                cut = [pa.array(b.column(i).to_numpy() & 63) for i in range(2)]
+                yield pa.record_batch([*cut, *(b.column(i) for i in range(2, 7))], names=b.schema.names)
+
+        return masked
+
+    monkeypatch.setattr(substring_dedup, "_edges", weak)
+    with pytest.raises(Exception, match="another seed"):
+        substring_dedup.dedup_substrings(docs).collect()
+
+
+def test_another_seed_gives_the_same(spark):
+    rows = list(enumerate(random_texts(50, 13)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs, seed=3).collect()), key=repr) == brute_dedup(rows, 13)
+
+
+def test_many_rows_without_an_id_or_with_one(spark):
+    base = " ".join(f"v{i}" for i in range(30))
+    rows = [(None, f"n{i} {base} m{i}") for i in range(40)] + [(7, f"s {base}")] * 30 + [(7, f"other {base} text")] + [(3, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in substring_dedup.dedup_substrings(docs).collect()), key=repr) == brute_dedup(rows, 13)
+
+
+def brute_unitigs(rows, k):
+    """Nonbranching paths of the graph of edges that two documents hold, as word lists."""
+    held, seen = defaultdict(set), {}
+    for doc, text in sorted(rows):
+        w = words(text)
+        for i in range(len(w) - k + 1):
+            held[tuple(w[i : i + k])].add(doc)
+    edges = {g for g, docs in held.items() if len(docs) > 1}
+    outs, ins = defaultdict(list), defaultdict(list)
+    for g in edges:
+        outs[g[:-1]].append(g)
+        ins[g[1:]].append(g)
+    single = lambda node: len(ins[node]) == len(outs[node]) == 1
+    paths = []
+    for g in edges:
+        if single(g[:-1]):
+            continue
+        path = [g]
+        while single(path[-1][1:]):
+            path.append(outs[path[-1][1:]][0])
+        paths.append(tuple(path[0]) + tuple(x[-1] for x in path[1:]))
+    return sorted(paths)
+
+
+@pytest.mark.parametrize("k", [4, 13])
+def test_unitigs(spark, small_batches, k):
+    """Two sources that branch, one path over several sources, and passages at random."""
+    u, v, x = (" ".join(f"{c}{i}" for i in range(25)) for c in "uvx")
+    rows = [(1, f"a {u} b"), (2, f"c {u} {v} d"), (3, f"e {u} {x} f"), (4, f"g {u} {v} h"), (5, f"{u} {x}"), (6, f"{v} tail one"), (7, f"{x} {v}"), (8, f"k {x} {v} l")]
+    rows += [(10, " ".join(f"p{i}" for i in range(20)) + " z"), (11, "y " + " ".join(f"p{i}" for i in range(40))), (12, " ".join(f"p{i}" for i in range(5, 40)) + " w")]
+    texts = random_texts(30, 40 + k, vocabulary=400)
+    rows += [(100 + i, t) for i, t in enumerate(texts) if t not in texts[:i]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, found = dict(rows), defaultdict(list)
+    for r in substring_dedup.unitigs(docs, k=k).collect():
+        found[r["unitig_doc"], r["unitig_place"]].append((r["offset"], r["doc"], r["place"] & 0xFFFFFFFF, r["edges"]))
+    paths = []
+    for parts in found.values():
+        out, at = (), 0
+        for offset, doc, place, edges in sorted(parts):
+            assert offset == at
+            w = tuple(words(text[doc])[place : place + edges + k - 1])
+            assert not out or out[1 - k :] == w[: k - 1]
+            out, at = out + (w[k - 1 :] if out else w), at + edges
+        paths.append(out)
+    assert sorted(paths) == brute_unitigs(rows, k) and len(paths) > 5
+
+
+def test_unitigs_of_nothing(spark):
+    assert substring_dedup.unitigs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_anchors_do_not_depend_on_batches(spark, monkeypatch):
