@@ -325,7 +325,7 @@ def _keep(k: int, plain: bool):
         place_all, length_all = (batch.column(3).values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         digests = batch.column(3).values.field(2)
         out = []
-        for a, z in W.slices(offsets, 4 << 20):
+        for a, z in W.slices(offsets, 1 << 20):
             words = W.Words(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
             rows, n = z - a, len(words)
             path_row = np.repeat(np.arange(rows), np.diff(ends[a : z + 1]))
