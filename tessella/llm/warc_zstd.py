@@ -2,7 +2,11 @@ r"""WARC archives in Zstandard frames with a shared dictionary (operator 5).
 
 *Writing.* Pages become WARC/1.1 records; of pages with one payload (100 bytes and
 more) the smallest id is the response and the others revisit it.  Records are dealt
-over archives of about ``ARCHIVE_BYTES`` of payload.  An archive begins with a
+over archives of at most ``ARCHIVE_RECORDS`` records; payloads of more than ``LARGE``
+bytes go to archives of their own, with as many records as keep ``ARCHIVE_BYTES`` of
+payload however long they are.  The dictionary is trained on the first ``SAMPLE_BYTES``
+bytes of at most ``SAMPLE_ROWS`` payloads; what is read back does not depend on it.  An
+archive begins with a
 skippable frame (magic 0x184D2A5D) that holds the dictionary, and each record is a
 frame of its own.  Spark's text writer puts the frames into files, with an empty
 skippable frame between two records as its line separator: so archives land in any
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import MB, hash_sample, new_path
 
 ARCHIVE_RECORDS = 10_000
+LARGE = 64 * 1024
+ARCHIVE_BYTES = 1 << 30
 LEAST_SHARED = 100
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 16 * 1024
@@ -183,7 +189,7 @@ def make_dictionary(samples: list[bytes]) -> bytes:
         return plain + record("response", "0", "https://", "0" * 64, None, b"", 0)
 
 
-def _frames(dictionary: bytes):
+def _frames(dictionary: bytes, records: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -196,7 +202,7 @@ def _frames(dictionary: bytes):
                 for kind, page_id, url, digest, refers_to, payload, size in zip(*(batch.column(i).slice(s, 256).to_pylist() for i in range(7))):
                     # The reader walks frames, so a separator inside one does no harm.
                     frame = encoder.compress(record(kind, page_id, url, digest, refers_to, payload, size))
-                    out.append(frame if count % ARCHIVE_RECORDS else lead + frame)
+                    out.append(frame if count % records else lead + frame)
                     count += 1
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["frame"])
 
@@ -227,8 +233,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     samples = base.join(F.broadcast(picked), "digest", "left_semi").dropDuplicates(["digest"])
     samples = samples.select("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("start")).collect()
     dictionary = make_dictionary([bytes(r["start"]) for r in sorted(samples, key=lambda r: r["digest"])])
-    frames = rows.mapInArrow(_frames(dictionary), "frame binary").select(F.col("frame").cast("string").alias("frame"))
-    frames.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    longest = pages.agg(F.max(F.octet_length(F.col(html_col).cast("string"))).alias("n")).first()["n"] or 0
+    parts = [(rows.where(F.col("size") <= LARGE), ARCHIVE_RECORDS)]
+    if longest > LARGE:
+        parts.append((rows.where(F.col("size") > LARGE), min(ARCHIVE_RECORDS, max(1, ARCHIVE_BYTES // longest))))
+    for part, records in parts:
+        frames = part.mapInArrow(_frames(dictionary, records), "frame binary").select(F.col("frame").cast("string").alias("frame"))
+        frames.write.mode("append").option("lineSep", SEPARATOR).option("maxRecordsPerFile", records).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
