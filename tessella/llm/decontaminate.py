@@ -21,8 +21,10 @@ The benchmark is read in blocks of bounded size, each sent to the tasks and held
 against all documents, so it may outgrow one task's memory.  Documents are never
 shuffled whole; only their matches are.
 
-Defined cases: null and word-free texts (documents or items) match nothing; a
-document shorter than an item does not hold it; repeated rows with one id are one
+A document with fewer words than an item is one window, its whole text, held against
+the item in the same way.
+
+Defined cases: null and word-free texts (documents or items) match nothing; repeated rows with one id are one
 document, repeated items with one id give one match, with the best similarity;
 null ids are kept as null; empty tables give an empty result.
 """
@@ -157,6 +159,24 @@ class _Group:
 
 
 def _leaks(items: Items):
+    def shorter(words: W.Words, length: int, groups: list, total: np.ndarray, shingles: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """Whole texts of fewer words than the items of one length: as ``search``."""
+        width = min(SHINGLE, length)
+        n, first = length - width + 1, words.first[:-1]
+        size = np.diff(words.first)
+        m = size - width + 1
+        rows = np.flatnonzero((size < length) & (m >= max(1, n * SIMILARITY - 1e-9)))
+        shared = total[first[rows] + m[rows]] - total[first[rows]]
+        rows = rows[shared >= (m[rows] + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9]
+        for row in rows.tolist():
+            own = shingles[first[row] : first[row] + m[row]]
+            bits = (_signs(own).sum(axis=0) > 0).astype(np.int64)[None, :]
+            for group in groups:
+                for item in group.candidates(bits)[1]:
+                    found = similarity(_counts(own), items.counts[int(item)])
+                    if found >= SIMILARITY:
+                        yield row, int(item), int(first[row]), int(size[row]), found
+
     def search(words: W.Words) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, words, similarity) of each leaking window."""
         hashes = words.hashes(lower=True)
@@ -170,11 +190,14 @@ def _leaks(items: Items):
             width = min(SHINGLE, length)
             hit = held[width]
             n = length - width + 1
-            if not hit.any() or len(hashes) < length:
+            if not hit.any():
                 continue
             if width not in sums:
                 sums[width] = np.concatenate([[0], np.cumsum(hit)])
             total = sums[width]
+            yield from shorter(words, length, groups, total, shingles_of[width])
+            if len(hashes) < length:
+                continue
             # starts of windows whose shingles some item holds often enough
             least = int(np.ceil(2 * n * SIMILARITY / (1 + SIMILARITY) - 1e-9))
             starts = np.flatnonzero((total[n:] - total[:-n] >= least)[: len(hashes) - length + 1] & W.whole(words.first, length))
