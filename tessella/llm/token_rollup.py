@@ -8,7 +8,8 @@ deltas; totals are the plain sum of all committed batches' deltas, whatever thei
 order, and a batch is never read again to maintain them.
 
 Commits are idempotent.  A batch writes its ledger and deltas into folders of its own
-name and is committed by a marker written last; readers see marked batches only.  A
+name and is committed by a marker, a one-row table of its own, written last; readers
+see marked batches only.  A
 batch that died half-way is overwritten by its next attempt; a batch that is already
 marked changes nothing.  All files are written and read by Spark, so any shared file
 system serves.
@@ -51,14 +52,15 @@ class RollupStore:
         return f"{self.path}/{kind}/batch={batch}"
 
     def committed(self, batch: str) -> bool:
-        return path_exists(self.spark, f"{self._folder('commits', batch)}/_SUCCESS")
+        return batch in self.batches()
 
     def batches(self) -> list[str]:
-        """Names of the committed batches (a row per batch, never per document)."""
+        """Names of the committed batches (a row per batch, never per document).  A
+        marker counts by its row, which is there once its file is whole."""
         if not path_exists(self.spark, f"{self.path}/commits"):
             return []
-        names = self.spark.read.schema("batch string").parquet(f"{self.path}/commits/*").collect()
-        return sorted(r["batch"] for r in names if self.committed(r["batch"]))
+        names = self.spark.read.schema("name string").parquet(f"{self.path}/commits").select("name").collect()
+        return sorted(r["name"] for r in names)
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         folders = [self._folder(kind, b) for b in self.batches()]
@@ -112,7 +114,7 @@ class RollupStore:
         rows.write.mode("overwrite").parquet(folder)
         sums = self.spark.read.schema(LEDGER).parquet(folder).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.coalesce(1).write.mode("overwrite").parquet(self._folder("deltas", batch))
-        marker = self.spark.createDataFrame([(batch,)], "batch string").coalesce(1)
+        marker = self.spark.createDataFrame([(batch,)], "name string").coalesce(1)
         marker.write.mode("overwrite").parquet(self._folder("commits", batch))
         return True
 
