@@ -221,9 +221,10 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
     total = [0] * len(patterns)
     for (p, _), amount in flow.items():
         total[filled[p]] += amount
+    place = {s: i for i, s in enumerate(names)}
     # Rounds: whole readings, then a part of one more.
     table = [
-        (i, list(r["sources"]), total[i] // n if n else 0, total[i] % n if n else 0, [s or "" for s in r["sources"]], [float(goal[names.index(s)]) for s in r["sources"]], [int(sizes[names.index(s)]) for s in r["sources"]])
+        (i, list(r["sources"]), total[i] // n if n else 0, total[i] % n if n else 0, [s or "" for s in r["sources"]], [float(goal[place[s]]) for s in r["sources"]], [int(sizes[place[s]]) for s in r["sources"]])
         for i, (r, (_, n)) in enumerate(zip(pattern_rows, patterns))
     ]
     plan = spark.createDataFrame(table, "pattern int, sources array<string>, rounds long, part long, names array<string>, targets array<double>, source_sizes array<long>")

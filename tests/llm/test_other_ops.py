@@ -214,6 +214,16 @@ def test_archives(spark, small_batches, monkeypatch):
     assert {r["url"] for r in got.where("page_id = 1").collect()} == {"bad%0D%0AX:%20y%20z"}
 
 
+def test_long_payloads_share_archives_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc_zstd, "ARCHIVE_BYTES", 700_000)
+    draw = random.Random(4)
+    rows = [(i, "u", "".join(draw.choices("abcdefgh", k=300_000))) for i in range(7)] + [(100 + i, "u", f"short {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc_zstd.archived(df)
+    sizes = {r["archive"]: r["s"] for r in got.groupBy("archive").agg(F.sum("payload_bytes").alias("s")).collect()}
+    assert got.count() == 27 and len(sizes) >= 5 and max(sizes.values()) <= 700_000
+
+
 def small_archive(compressed=False):
     import zstandard
 
@@ -273,6 +283,20 @@ def test_rollup(spark):
         store.commit("x/y")
 
 
+def test_rollup_without_success_markers(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        store = token_rollup.RollupStore(spark, new_path(spark, "rollup"))
+        rows = spark.createDataFrame([(1, "s", "en", "v", 5)], "doc_id long, source string, lang string, version string, tokens long")
+        assert store.commit("a", inserts=rows) and not store.commit("a", inserts=rows)
+        assert store.commit("b", deletes=rows.select("doc_id", "version").limit(0))
+        assert store.batches() == ["a", "b"]
+        assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 1, 5)]
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
 def test_rollup_equals_recount(spark):
     """The registered scenario at once against counting what is left."""
     from tessella.llm.queries import TOKENIZERS, op8_token_rollup

@@ -386,12 +386,12 @@ def brute_leaks(docs, items):
             if not x:
                 continue
             b = bag(x)
-            for s in range(len(w) - len(x) + 1):
+            for s in range(max(1, len(w) - len(x) + 1) if w else 0):
                 a = bag(w[s : s + len(x)])
                 least = sum((a & b).values())
                 sim = least / sum((a | b).values())
                 if sim >= 0.8 and (sim, -s) > out.get((doc, item), (0, 0))[:2]:
-                    out[doc, item] = (sim, -s, len(x))
+                    out[doc, item] = (sim, -s, min(len(x), len(w)))
     return sorted((d, i, -s, n, round(v, 12)) for (d, i), (v, s, n) in out.items())
 
 
@@ -416,6 +416,17 @@ def test_decontamination(spark, documents, small_batches):
     assert kept == {d for d, _ in docs} - {d for d, *_ in want}
 
 
+def test_documents_shorter_than_an_item(spark):
+    item = [f"i{j}" for j in range(15)]
+    rows = [(1, " ".join(item[:14])), (2, " ".join(item[1:])), (3, " ".join(item[:12])), (4, " ".join(item[:13])), (5, "i0"), (6, " ".join(item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "i0 i1 i2")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 12)) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == brute_leaks(rows, [(1, " ".join(item)), (2, "i0 i1 i2")])
+    assert {1, 2, 6} <= {g[0] for g in got if g[1] == 1}
+    assert {r["doc_id"] for r in decontaminate.drop_leaking(docs, items).collect()} == {r[0] for r in rows} - {g[0] for g in got}
+
+
 def test_multi_index_finds_all_within_radius():
     draw = np.random.default_rng(0)
     bits = draw.integers(0, 2, (50, decontaminate.BITS))
