@@ -16,10 +16,11 @@ an edge that also occurs in a document with a smaller id.
    the smallest document of its batch and, for what the batches leave, of all.
 3. *Paths.* Consecutive edges of a document whose sources are consecutive words of one
    document form a path, which has a source coordinate and a length.
-4. *Verification.* Paths meet their source's text at that coordinate (a join on the
-   source document), and the digest of the source's words must equal that of the
-   path's own words.  A difference, which only equal hashes of different words can
-   bring about, ends the run; another ``seed`` then gives other hashes.
+4. *Verification.* A path whose source is in its own batch is held against it word by
+   word there.  Other paths meet their source's text at the source coordinate (a join
+   on the source document), and the digest of the words that stand there must equal
+   that of the path's own words.  A difference, which only equal hashes of different
+   words can bring about, ends the run; another ``seed`` then gives other hashes.
 
 ``unitigs`` compacts the graph of all repeated edges: nodes' degrees are aggregates,
 branching nodes cut the runs of their source documents by a join, and runs that meet in
@@ -147,17 +148,48 @@ def _nodes(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return nodes[:-1], nodes[1:]
 
 
-ROW = ["doc", "place", "edges", "source", "at"]
+#: ``seen``: both ends were in one batch, and were held against each other.
+ROW = ["doc", "place", "edges", "source", "at", "seen"]
 
 
-def _runs(doc, place, source, at) -> list[np.ndarray]:
-    """Occurrences and their sources, one edge each -> runs of both, with lengths."""
+def _runs(doc, place, source, at, *rest) -> list[np.ndarray]:
+    """Occurrences and their sources, one edge each -> runs of both, with lengths; in a
+    run the arrays of ``rest`` have one value."""
     order = np.lexsort((place, doc))
-    doc, place, source, at = doc[order], place[order], source[order], at[order]
+    doc, place, source, at, *rest = (x[order] for x in (doc, place, source, at, *rest))
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1)
+    for x in rest:
+        new[1:] |= x[1:] != x[:-1]
     head = np.flatnonzero(new)
-    return [doc[head], place[head], np.diff(np.append(head, len(doc))), source[head], at[head]]
+    return [doc[head], place[head], np.diff(np.append(head, len(doc))), source[head], at[head], *(x[head] for x in rest)]
+
+
+class _Spoken:
+    """A batch's words as bytes: what stands at a word index of a row."""
+
+    def __init__(self):
+        self.held = []  # (first row, bytes, places of the words, rows' first words)
+
+    def add(self, row: int, words: W.Words) -> None:
+        data, at = words.joined()
+        self.held.append((row, data.tobytes(), at, words.first))
+
+    def refuse_unlike(self, row, place, n, source, at) -> None:
+        """The runs of ``n`` words must say the same at both ends."""
+        starts = np.array([h[0] for h in self.held])
+        ends = []
+        for rows, places in ((row, place), (source, at)):
+            which = np.searchsorted(starts, rows, side="right") - 1
+            word = np.array([self.held[w][3][r - self.held[w][0]] for w, r in zip(which.tolist(), rows.tolist())], np.int64) + (places & 0xFFFFFFFF)
+            ends.append((which.tolist(), word.tolist()))
+        for w, f, v, g, size in zip(*ends[0], *ends[1], n.tolist()):
+            a, b = self.held[w], self.held[v]
+            if a[1][a[2][f] : a[2][f + size] - 1] != b[1][b[2][g] : b[2][g + size] - 1]:
+                raise ValueError(UNLIKE)
+
+
+UNLIKE = "different words have equal hashes; run again with another seed"
 
 
 def _edges(k: int, seed: int = 0):
@@ -166,8 +198,8 @@ def _edges(k: int, seed: int = 0):
     ``place`` packs 30 bits of the text's hash and the word index.  An edge's first
     occurrence in the batch goes on, with ``edges`` -1 where the batch has others, else
     0; the others become runs (``edges`` > 0) behind it, ``source`` and ``at`` being
-    its document and place.  A run behind the document itself says that its edges are
-    like those at ``at``."""
+    its document and place, and have its words.  A run behind the document itself says
+    that its edges are like those at ``at``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -175,7 +207,7 @@ def _edges(k: int, seed: int = 0):
         hits = batch.column(3)
         found = hits.values.to_numpy(zero_copy_only=False).view(U64)
         ends = hits.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = []
+        pieces, spoken = [], _Spoken()
         for a, z, words in _texts(batch, 1):
             at = np.flatnonzero(W.whole(words.first, k))
             # The slice's anchors together: an edge let through by another
@@ -190,10 +222,11 @@ def _edges(k: int, seed: int = 0):
             at = at[known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor]
             row = words.row_of()[at]
             leaves, enters = _nodes(hashes, k)
-            pieces.append((leaves[at], enters[at], ids[a:z][row], part[a:z][row] << 32 | (at - words.first[row])))
-        leaves, enters, doc, place = _joined(pieces, [U64, U64, np.int64, np.int64])
+            pieces.append((leaves[at], enters[at], ids[a:z][row], part[a:z][row] << 32 | (at - words.first[row]), row + a))
+            spoken.add(a, words)
+        leaves, enters, doc, place, row = _joined(pieces, [U64, U64, np.int64, np.int64, np.int64])
         order = np.lexsort((place, doc, enters, leaves))
-        leaves, enters, doc, place = leaves[order], enters[order], doc[order], place[order]
+        leaves, enters, doc, place, row = leaves[order], enters[order], doc[order], place[order], row[order]
         head = np.flatnonzero(_starts(leaves, enters))
         origin = np.repeat(head, np.diff(np.append(head, len(leaves))))
         later = (doc != doc[origin]) & (doc[origin] < NO_ID)
@@ -201,7 +234,8 @@ def _edges(k: int, seed: int = 0):
         done = later | again
         many = np.zeros(len(doc), np.int64)
         many[origin[later]] = -1
-        runs = _runs(doc[done], place[done], doc[origin[done]], place[origin[done]])
+        *runs, own_row, its_row = _runs(doc[done], place[done], doc[origin[done]], place[origin[done]], row[done], row[origin[done]])
+        spoken.refuse_unlike(own_row, runs[1], runs[2] + k - 1, its_row, runs[4])
         own, n = ~done, int((~done).sum())
         # Runs need no edge: a few bits of their place spread them over the tasks.
         spread = W.mix(runs[1].view(U64) + runs[0].view(U64)) >> U64(52)
@@ -210,7 +244,7 @@ def _edges(k: int, seed: int = 0):
         columns = [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.concatenate([doc[own], runs[0]])), pa.array(np.concatenate([place[own], runs[1]]))]
         columns.append(pa.array(np.concatenate([many[own], runs[2]]).astype(np.int32)))
         columns += [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=none) for x in runs[3:]]
-        return pa.record_batch(columns, names=["leaves", "enters", *ROW])
+        return pa.record_batch(columns, names=["leaves", "enters", *ROW[:-1]])
 
     return by_batch(run)
 
@@ -227,7 +261,7 @@ def _matched(graph: bool):
                 continue
             edges = batch.column(4).to_numpy(zero_copy_only=False)
             ready = batch.filter(pa.array(edges > 0))
-            yield pa.record_batch([ready.column(i) for i in range(2, 7)], names=ROW)
+            yield pa.record_batch([*(ready.column(i) for i in range(2, 7)), pa.array(np.ones(ready.num_rows, bool))], names=ROW)
             left, right, doc, place = (batch.column(i).to_numpy(zero_copy_only=False)[edges <= 0] for i in range(4))
             many = edges[edges <= 0] < 0
             if not len(left):
@@ -238,7 +272,7 @@ def _matched(graph: bool):
             origin = np.repeat(head, np.diff(np.append(head, len(left))))
             later = (doc != doc[origin]) & (doc[origin] < NO_ID)
             n = int(later.sum())
-            yield pa.record_batch([pa.array(doc[later]), pa.array(place[later]), pa.array(np.ones(n, np.int32)), pa.array(doc[origin[later]]), pa.array(place[origin[later]])], names=ROW)
+            yield pa.record_batch([pa.array(doc[later]), pa.array(place[later]), pa.array(np.ones(n, np.int32)), pa.array(doc[origin[later]]), pa.array(place[origin[later]]), pa.array(np.zeros(n, bool))], names=ROW)
             known = np.logical_or.reduceat(many | later, head)
             if graph:
                 new = known.copy()
@@ -246,7 +280,7 @@ def _matched(graph: bool):
                     new[0] = False  # given out before
                 at = head[new]
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.record_batch([pa.array(doc[at]), pa.array(place[at]), pa.array(np.zeros(len(at), np.int32)), none, none], names=ROW)
+                yield pa.record_batch([pa.array(doc[at]), pa.array(place[at]), pa.array(np.zeros(len(at), np.int32)), none, none, pa.array(np.zeros(len(at), bool))], names=ROW)
             last = head[-1]
             held = (left[last], right[last], doc[last], place[last], bool(known[-1]))
 
@@ -254,33 +288,38 @@ def _matched(graph: bool):
 
 
 def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A document's runs in one row -> its paths, a row each."""
+    """A document's runs in one row -> its paths: those seen, and those still to see."""
     occ = batch.column(1)
     ends = occ.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     held = occ.values.slice(ends[0], ends[-1] - ends[0])
-    place, size, source, at = (held.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-    doc = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+    place, size, source, at, seen = (held.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+    ids = batch.column(0).to_numpy()
+    doc = np.repeat(np.arange(len(ids)), np.diff(ends))
     step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    doc, source, place, at = np.repeat(doc, size), np.repeat(source, size), np.repeat(place, size) + step, np.repeat(at, size) + step
-    order = np.lexsort((source == doc, place, doc))
-    doc, place, source, at = doc[order], place[order], source[order], at[order]
+    doc, source, seen, place, at = np.repeat(doc, size), np.repeat(source, size), np.repeat(seen, size), np.repeat(place, size) + step, np.repeat(at, size) + step
+    like = source == ids[doc]
+    order = np.lexsort((like, place, doc))
+    doc, place, source, at, seen, like = (x[order] for x in (doc, place, source, at, seen, like))
     # An occurrence that is like another goes with it: where that one has a source.
-    like = source == doc
     plain = np.flatnonzero(~like)
     if like.any() and len(plain):
         keys, wanted = np.rec.fromarrays([doc[plain], place[plain]]), np.rec.fromarrays([doc[like], at[like]])
         found = np.minimum(np.searchsorted(keys, wanted), len(plain) - 1)
         hit = keys[found] == wanted
         named = np.flatnonzero(like)[hit]
-        source[named], at[named] = source[plain[found[hit]]], at[plain[found[hit]]]
-    keep = source != doc
-    doc, place, source, at = doc[keep], place[keep], source[keep], at[keep]
-    order = np.lexsort((place, doc))
-    doc, place, source, at = doc[order], place[order], source[order], at[order]
-    once = _starts(doc, place)  # repeated rows of a table give repeated places
-    runs = _runs(doc[once], place[once], source[once], at[once])
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(x).cast(kind) for x, kind in zip(runs, kinds)], names=ROW)
+        for x in (source, at, seen):
+            x[named] = x[plain[found[hit]]]
+    keep = np.flatnonzero(source != ids[doc])
+    keep = keep[np.lexsort((place[keep], doc[keep]))]
+    keep = keep[_starts(doc[keep], place[keep])]  # repeated rows of a table give repeated places
+    doc, place, size, source, at, seen = _runs(doc[keep], place[keep], source[keep], at[keep], seen[keep])
+    lists = []
+    for mask in (seen.astype(bool), ~seen.astype(bool)):
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[mask], minlength=len(ids)))]).astype(np.int32)
+        kinds = zip(("place", "edges", "source", "at"), (place, size.astype(np.int32), source, at))
+        fields = {name: pa.array(x[mask]) for name, x in kinds}
+        lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(list(fields.values()), names=list(fields))))
+    return pa.record_batch([batch.column(0), *lists], names=["doc", "seen", "open"])
 
 
 def _digest(data: np.ndarray, at: np.ndarray, first: int, n: int) -> bytes:
@@ -335,8 +374,8 @@ def _keep(k: int, plain: bool):
             e = s + length_all[ends[a] : ends[z]][mine] + (k - 1)
             joined, at = words.joined()
             for i, f, t in zip((ends[a] + np.flatnonzero(mine)).tolist(), s.tolist(), e.tolist()):
-                if digests[i].as_py() != _digest(joined, at, f, t - f):
-                    raise ValueError("different words have equal hashes; run again with another seed")
+                if digests[i].is_valid and digests[i].as_py() != _digest(joined, at, f, t - f):
+                    raise ValueError(UNLIKE)
             cover = np.zeros(n + 1, np.int64)
             np.add.at(cover, s, 1)
             np.add.at(cover, e, -1)
@@ -379,8 +418,8 @@ def _texts_by_id(docs: DataFrame, id_col: str, text_col: str, carry: list[str])
 
 
 def _occurrences(texts: DataFrame, k: int, seed: int, graph: bool) -> DataFrame:
-    """``doc, place, edges, source, at``: runs of edges behind their sources, and with
-    ``graph`` the repeated edges themselves."""
+    """``doc, place, edges, source, at, seen``: runs of edges behind their sources, and
+    with ``graph`` the repeated edges themselves."""
     n = partitions(texts)
     own = texts.where("not copy")
     plain = own.select("doc", "text", "rest")
@@ -392,35 +431,44 @@ def _occurrences(texts: DataFrame, k: int, seed: int, graph: bool) -> DataFrame:
     kinds = "doc long, place long, edges int, source long, at long"
     edges = own.join(hits.hint("merge"), "doc").select("doc", "text", "part", "hits", "rest").mapInArrow(_edges(k, seed), f"leaves long, enters long, {kinds}")
     rows = edges.repartition(n, "leaves", "enters").sortWithinPartitions("leaves", "enters", "doc", "place")
-    return rows.mapInArrow(_matched(graph), kinds)
+    return rows.mapInArrow(_matched(graph), f"{kinds}, seen boolean")
+
+
+PATH = "array<struct<place: long, edges: int, source: long, at: long>>"
 
 
 def _paths(texts: DataFrame, k: int, seed: int) -> DataFrame:
-    """``doc, place, edges, source, at``: the paths of all documents."""
-    found = _occurrences(texts, k, seed, False).groupBy("doc").agg(F.collect_list(F.struct("place", "edges", "source", "at")).alias("occ"))
-    return found.mapInArrow(by_batch(_compact), "doc long, place long, edges int, source long, at long")
+    """``doc, seen, open``: each document's paths, those held against their source and
+    those still to be."""
+    found = _occurrences(texts, k, seed, False).groupBy("doc").agg(F.collect_list(F.struct("place", "edges", "source", "at", "seen")).alias("occ"))
+    return found.mapInArrow(by_batch(_compact), f"doc long, seen {PATH}, open {PATH}")
 
 
 def _verified(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
-    """``paths`` with ``digest``, that of the words at their source coordinate.
+    """``doc, paths``: lists of paths with ``digest``, that of the words at their source
+    coordinate; null for those that were seen.
 
     Requests are looked up once however many documents make them, and those of one
     stretch of a source together: they are bounded by the source's own length."""
+    open_ = paths.select("doc", F.explode("open").alias("p")).select("doc", "p.*")
     stretch = F.floor(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) / STRETCH)
-    asked = paths.groupBy("source", stretch.alias("stretch")).agg(F.collect_set(F.struct("at", "edges")).alias("asked"))
+    asked = open_.groupBy("source", stretch.alias("stretch")).agg(F.collect_set(F.struct("at", "edges")).alias("asked"))
     # The same columns of ``texts`` as elsewhere, so that its shuffle is read again.
     there = texts.where("not copy").join(asked.withColumnRenamed("source", "doc").hint("merge"), "doc").select("text", "part", "doc", "asked", "stretch", "rest")
     digests = there.mapInArrow(_at_source(k), "source long, at long, edges int, digest binary")
-    return paths.join(digests.hint("merge"), ["source", "at", "edges"]).select("doc", "place", "edges", "source", "at", "digest")
+    found = open_.join(digests.hint("merge"), ["source", "at", "edges"]).groupBy("doc").agg(F.collect_list(F.struct("place", "edges", "source", "at", "digest")).alias("paths"))
+    none = F.lit(None).cast("binary").alias("digest")
+    seen = paths.where("size(seen) > 0").select("doc", F.transform("seen", lambda p: F.struct(p["place"].alias("place"), p["edges"].alias("edges"), p["source"].alias("source"), p["at"].alias("at"), none)).alias("paths"))
+    return seen.union(found).groupBy("doc").agg(F.flatten(F.collect_list("paths")).alias("paths"))
 
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, seed: int = 0) -> DataFrame:
     """Each document's paths, whole copies aside: ``doc``, ``part`` (30 bits of the
     text's hash), ``start`` (word index), ``edges`` (windows in the path), ``source`` (a
     smaller document with these windows), ``source_start`` (their word index there) and
-    ``digest`` (of the source's words)."""
+    ``digest`` (of the source's words; null where both were compared as they stand)."""
     texts = _texts_by_id(docs, id_col, text_col, [])
-    found = _verified(texts, _paths(texts, k, seed), k)
+    found = _verified(texts, _paths(texts, k, seed), k).select("doc", F.explode("paths").alias("p")).select("doc", "p.*")
     index = F.lit(0xFFFFFFFF)
     return found.select("doc", F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(index).alias("start"), "edges", "source", F.col("at").bitwiseAND(index).alias("source_start"), "digest")
 
@@ -520,7 +568,7 @@ def _jump(jumps: DataFrame, scratch: list[str]) -> DataFrame:
 def _kept(docs: DataFrame, id_col: str, text_col: str, k: int, carry: list[str], plain: bool, seed: int) -> DataFrame:
     texts = _texts_by_id(docs, id_col, text_col, carry)
     paths = _verified(texts, _paths(texts, k, seed), k)
-    paths = paths.groupBy("doc").agg(F.collect_list(F.struct("place", "edges", "digest")).alias("paths"))
+    paths = paths.select("doc", F.transform("paths", lambda p: F.struct(p["place"].alias("place"), p["edges"].alias("edges"), p["digest"].alias("digest"))).alias("paths"))
     held = F.coalesce("paths", F.array().cast(paths.schema["paths"].dataType)).alias("paths")
     joined = texts.join(paths.hint("merge"), "doc", "left").select("doc", "text", "part", held, "copy", F.col("doc").alias("id"), "rest")
     kind = texts.schema["rest"].dataType.simpleString()
