@@ -36,7 +36,7 @@ STEPS = BLOCK // 2
 FILTERS = 16
 UNITS = 24
 SEGMENT = 2048  # blocks that pass the network at once
-SAMPLE = 16_000
+SAMPLE = 12_000
 EPOCHS = 8
 BATCH = 64
 #: A text scored lower than this is junk.
@@ -190,7 +190,7 @@ def score_bytes(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return net.combine(best)
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
+def train(texts: list[bytes | bytearray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
     """Adam on class-balanced log loss; deterministic for its inputs."""
     net = Network(seed)
     if not len(texts) or labels.min() == labels.max():
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).join(F.broadcast(chosen.distinct()), "id")
     rows = rows.groupBy("id", "label").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["raw"]))
-    return train([bytes(r["raw"]) for r in rows], np.array([r["label"] for r in rows], float))
+    return train([r["raw"] for r in rows], np.array([r["label"] for r in rows], float))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
