@@ -135,6 +135,21 @@ SELECT p.page_id, n AS payload_bytes, p.h AS payload_digest,
        CASE WHEN r IS NULL OR r = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN r IS NULL OR r = p.page_id THEN NULL ELSE r END AS refers_to
 FROM p LEFT JOIN first ON p.h = first.h
+""",
+    "op9_decontaminate": r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+           UNION ALL SELECT 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+item AS (SELECT id AS item_id, ws, len(ws) AS words, least(5, len(ws)) AS width FROM t WHERE kind = 'i' AND len(ws) > 0),
+ig AS (SELECT item_id, g, count(*) AS c FROM (SELECT item_id, array_to_string(ws[p:p+width-1], ' ') AS g FROM (SELECT *, unnest(generate_series(1, words - width + 1)) AS p FROM item)) GROUP BY ALL),
+dg AS (SELECT id AS doc_id, width, p, array_to_string(ws[p:p+width-1], ' ') AS g FROM (SELECT id, ws, width, unnest(generate_series(1, len(ws) - width + 1)) AS p FROM t, (SELECT DISTINCT width FROM item) WHERE kind = 'd' AND len(ws) >= width)),
+hit AS (SELECT dg.doc_id, i.item_id, dg.p, dg.g, ig.c FROM dg JOIN ig USING (g) JOIN item i ON i.item_id = ig.item_id AND i.width = dg.width),
+pair AS (SELECT DISTINCT h.doc_id, h.item_id, least(i.words, len(t.ws)) AS n, len(t.ws) AS doc_words, i.words, i.width FROM hit h JOIN item i USING (item_id) JOIN t ON t.kind = 'd' AND t.id = h.doc_id),
+near AS (SELECT DISTINCT h.doc_id, h.item_id, unnest(generate_series(greatest(1, h.p - (n - width)), least(h.p, doc_words - n + 1))) AS s, n, words, width FROM hit h JOIN pair USING (doc_id, item_id)),
+same AS (SELECT s.doc_id, s.item_id, s.s, s.n, s.words, s.width, h.g, least(count(*), any_value(h.c)) AS m
+         FROM near s JOIN hit h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.p BETWEEN s.s AND s.s + s.n - s.width GROUP BY ALL),
+score AS (SELECT doc_id, item_id, s, n, sum(m)::DOUBLE / ((n - width + 1) + (words - width + 1) - sum(m)) AS similarity FROM same GROUP BY doc_id, item_id, s, n, words, width),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM score WHERE similarity >= 0.8)
+SELECT doc_id, item_id, (s - 1)::INTEGER AS start_word, n::INTEGER AS n_words, similarity FROM best WHERE r = 1
 """,
     "op10_near_dup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
