@@ -424,8 +424,15 @@ def visits(members: DataFrame, blocks: DataFrame) -> DataFrame:
     """``key, root, block, share, shares``: the blocks that each undecided member must
     be held against, at most about ``BLOCK_SETS`` visitors to a share of a block."""
     members = members.withColumnRenamed("block", "home")
+    # A list is bits, 64 blocks to a row: a common shingle meets few rows, and a member's
+    # lists are one before their blocks are rows.
+    bit = F.expr("shiftleft(1L, cast(block & 63 as int))")
+    lists = blocks.groupBy("root", "token", F.shiftright("block", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    named = members.join(lists.hint("merge"), ["root", "token"]).groupBy("key", "root", "home", "word").agg(F.bit_or("bits").alias("bits"))
     # Its own block is done: all its members were held against each other.
-    met = members.join(blocks.hint("merge"), ["root", "token"]).where("block != home").select("key", "root", "block").distinct()
+    named = named.withColumn("bits", F.when(F.shiftright("home", 6) == F.col("word"), F.expr("bits & ~shiftleft(1L, cast(home & 63 as int))")).otherwise(F.col("bits")))
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    met = named.select("key", "root", "word", F.explode(held).alias("at")).select("key", "root", (F.col("word") * 64 + F.col("at")).alias("block"))
     shares = met.groupBy("root", "block").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("shares"))
     return met.join(shares.hint("merge"), ["root", "block"]).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")))
 

@@ -316,6 +316,29 @@ def test_links_of_undecided_members_are_found(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dup.near_duplicates(docs).collect()), key=repr) == brute_groups(rows)
 
 
+def test_common_shingles_do_not_multiply_visits(spark):
+    """Members whose shingles all blocks hold: the join has a row for each of a member's
+    shingles and 64 blocks, and each visit comes once."""
+    tokens, blocks = 30, 70
+    members = spark.range(20 * tokens).select(F.lit(5).cast("long").alias("root"), (F.col("id") % 20).alias("key"), F.floor(F.col("id") / 20).alias("token"), (F.col("id") % 20 * 4 % blocks).alias("block"))
+    there = spark.range(tokens * blocks).select(F.lit(5).cast("long").alias("root"), (F.col("id") % blocks).alias("block"), F.floor(F.col("id") / blocks).alias("token"))
+    got = near_dup.visits(members.select("root", "block", "token", "key"), there)
+    assert sorted((r["key"], r["block"]) for r in got.collect()) == [(k, b) for k in range(20) for b in range(blocks) if b != k * 4 % blocks]
+    made, nodes = [], [got._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if name == "SortMergeJoin":
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert made and max(made) <= 20 * blocks < 20 * tokens * blocks / 10
+
+
 def test_rows_without_an_id_do_not_meet_each_other(spark):
     texts = random_texts(30, 5, longest=40)
     rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts[:10])]
