@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,10 +67,84 @@ def shingle_index(evaluation: DataFrame, k: int, text_col: str = "text", source_
     return evaluation.select(source.alias("eval_source"), F.explode(shingles_or_whole(letters_only(F.col(text_col)), k)).alias("shingle")).distinct()
 
 
+#: Bits of the filter that a row's shingles pass before they are rows (4 MB), and letters hashed at once.
+FILTER_BITS, LETTERS = 25, 1 << 20
+_BASE = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array: its products wrap without a warning
+
+
+def _window_spots(points: np.ndarray, k: int) -> np.ndarray:
+    """The filter's bit of each window of ``k`` code points, by doubling."""
+    held, base, done, out, size = points.astype(np.uint64), _BASE, 0, None, 1
+    while True:
+        if k & size:
+            if out is None:
+                out = held
+            else:  # the windows so far, then one of ``size``
+                out = out[: max(len(points) - done - size + 1, 0)] * base + held[done : len(points) - size + 1]
+            done += size
+        if done == k:
+            break
+        held = held[: max(len(held) - size, 0)] * base + held[size:]
+        base, size = base * base, size * 2
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out >> np.uint64(64 - FILTER_BITS)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def shingle_filter(index: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of the index's shingles of ``k`` characters, of a size that does not
+    grow with it: one that a large index fills up lets more rows pass and loses none."""
+
+    @F.arrow_udf("long")
+    def spots(shingles: pa.Array) -> pa.Array:
+        return pa.array([int(_window_spots(_points(x), k)[0]) for x in shingles.to_pylist()], pa.int64())
+
+    spot = index.where(F.length("shingle") == k).select(spots("shingle").alias("spot"))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    words = spot.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def filtered_shingles(letters: Column, k: int, bits: np.ndarray) -> Column:
+    """The distinct shingles of ``shingles_or_whole`` that pass the filter; a text that
+    is its own shingle always passes."""
+
+    @F.arrow_udf("array<string>")
+    def passing(texts: pa.Array) -> pa.Array:
+        rows, out, first = [t or "" for t in texts.to_pylist()], [], 0
+        while first < len(rows):
+            stop, size = first + 1, len(rows[first])
+            while stop < len(rows) and size + len(rows[stop]) <= LETTERS:
+                size, stop = size + len(rows[stop]), stop + 1
+            part = rows[first:stop]
+            found = [{t} if 0 < len(t) < k else set() for t in part]
+            if size >= k:
+                whole = "".join(part)
+                edges = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+                spot = _window_spots(_points(whole), k)
+                at = np.flatnonzero(bits[(spot >> np.uint64(6)).astype(np.intp)] >> (spot & np.uint64(63)) & np.uint64(1))
+                row = np.searchsorted(edges, at, "right") - 1
+                inside = at + k <= edges[row + 1]
+                for r, i in zip(row[inside].tolist(), at[inside].tolist()):
+                    found[r].add(whole[i : i + k])
+            out.extend(map(list, found))
+            first = stop
+        return pa.array(out, pa.list_(pa.string()))
+
+    return passing(letters)
+
+
 def shingle_overlaps(rows: DataFrame, index: DataFrame, k: int, id_col: str, text_col: str = "text") -> DataFrame:
     """Distinct ``(id, eval_source)`` pairs that share a shingle.  The rows' own short
-    texts are whole shingles too, so one equi-join covers both cases."""
-    exploded = rows.select(F.col(id_col), F.explode(shingles_or_whole(letters_only(F.col(text_col)), k)).alias("shingle"))
+    texts are whole shingles too, so one equi-join covers both cases.  Only shingles
+    that pass a filter of the index become rows; the join decides."""
+    passed = filtered_shingles(letters_only(F.col(text_col)), k, shingle_filter(index, k))
+    exploded = rows.select(F.col(id_col), F.explode(passed).alias("shingle"))
     return exploded.join(index, "shingle").select(id_col, "eval_source").distinct()
 
 

@@ -98,6 +98,24 @@ def test_short_texts_overlap_as_a_whole(spark):
     assert sorted(r["id"] for r in corpus.shingle_overlaps(rows, index, 5, "id").collect()) == [1, 2]
 
 
+def test_only_shingles_of_the_index_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "LETTERS", 50)
+    draw = np.random.default_rng(4)
+    texts = ["".join(draw.choice(list("abé 😀1"), draw.integers(0, 40))) for _ in range(300)] + [None, "", "ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    items = rows.where("id % 40 = 3 or id = 302").select("text")
+    for k in (1, 3, 5, 6, 7, 24):
+        index = corpus.shingle_index(items, k)
+        plain = rows.select("id", F.explode(corpus.shingles_or_whole(corpus.letters_only(F.col("text")), k)).alias("shingle"))
+        want = {r["id"] for r in plain.join(index, "shingle").collect()}
+        assert {r["id"] for r in corpus.shingle_overlaps(rows, index, k, "id").collect()} == want
+    index = corpus.shingle_index(items, 7)
+    passed = rows.select(F.explode(corpus.filtered_shingles(corpus.letters_only(F.col("text")), 7, corpus.shingle_filter(index, 7))).alias("shingle"))
+    assert passed.where("length(shingle) = 7").count() < 2 * passed.where("length(shingle) = 7").join(index, "shingle").count()
+    plan = corpus.shingle_overlaps(rows, index, 7, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filtered" in plan or "passing" in plan  # shingles are cut and told apart before any is a row
+
+
 def test_samples_are_stable(spark):
     rows = spark.range(1000)
     a = {r["id"] for r in corpus.sample_n(rows, "id", 50, 1).collect()}
