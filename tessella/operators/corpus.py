@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.points import before, classes, code_points, slices
 from ..functions.text import letters_only, sentence_hash, shingles_or_whole, strip
+from ..session import scratch_path
 from .ranks import running_total
 
 Hash = Callable[[Column], Column]
@@ -67,11 +69,16 @@ def shingle_index(evaluation: DataFrame, k: int, text_col: str = "text", source_
     return evaluation.select(source.alias("eval_source"), F.explode(shingles_or_whole(letters_only(F.col(text_col)), k)).alias("shingle")).distinct()
 
 
-#: Bits of the filter that a row's shingles pass before they are rows (4 MB), and letters hashed at once.
-FILTER_BITS, LETTERS = 25, 1 << 20
+#: Bits of the filter that a row's shingles pass before they are rows (4 MB), and bytes of text hashed at once.
+FILTER_BITS, LETTERS = 25, 1 << 17
 _BASE = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array: its products wrap without a warning
 
 
+def _spots(hashes: np.ndarray) -> np.ndarray:
+    """The filter's bit of each hash."""
+    return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER_BITS)
+
+
 def _window_spots(points: np.ndarray, k: int) -> np.ndarray:
     """The filter's bit of each window of ``k`` code points, by doubling."""
     held, base, done, out, size = points.astype(np.uint64), _BASE, 0, None, 1
@@ -86,23 +93,38 @@ def _window_spots(points: np.ndarray, k: int) -> np.ndarray:
             break
         held = held[: max(len(held) - size, 0)] * base + held[size:]
         base, size = base * base, size * 2
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out >> np.uint64(64 - FILTER_BITS)
+    return _spots(out)
+
 
+def _whole_spots(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The filter's bit of each whole text of a few code points, its size included."""
+    out = sizes.astype(np.uint64)
+    for i in range(int(sizes.max(initial=0))):
+        longer = np.flatnonzero(sizes > i)
+        out[longer] = out[longer] * _BASE + points[starts[longer] + i]
+    return _spots(out)
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+def _held(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bits[(spots >> np.uint64(6)).astype(np.intp)] >> (spots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def shingle_filter(index: DataFrame, k: int) -> np.ndarray:
-    """A bitmap of the index's shingles of ``k`` characters, of a size that does not
-    grow with it: one that a large index fills up lets more rows pass and loses none."""
+    """A bitmap of the index's shingles, whole short texts among them, of a size that
+    does not grow with it: one that a large index fills up lets more rows pass and
+    loses none."""
 
     @F.arrow_udf("long")
     def spots(shingles: pa.Array) -> pa.Array:
-        return pa.array([int(_window_spots(_points(x), k)[0]) for x in shingles.to_pylist()], pa.int64())
-
-    spot = index.where(F.length("shingle") == k).select(spots("shingle").alias("spot"))
+        points, bounds = code_points(shingles)
+        sizes, out = np.diff(bounds), np.zeros(len(shingles), np.uint64)
+        full, short = np.flatnonzero(sizes == k), np.flatnonzero(sizes < k)
+        if len(full):
+            out[full] = _window_spots(points, k)[bounds[full]]
+        out[short] = _whole_spots(points, bounds[short], sizes[short])
+        return pa.array(out.astype(np.int64))
+
+    spot = index.where("shingle != ''").select(spots("shingle").alias("spot"))
     bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
     words = spot.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
@@ -110,41 +132,43 @@ def shingle_filter(index: DataFrame, k: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def filtered_shingles(letters: Column, k: int, bits: np.ndarray) -> Column:
-    """The distinct shingles of ``shingles_or_whole`` that pass the filter; a text that
-    is its own shingle always passes."""
+def filtered_shingles(text: Column, k: int, bits: np.ndarray) -> Column:
+    """The distinct shingles of a text's letters (``shingles_or_whole``) that pass the
+    filter; no shingle of the filter's index is lost."""
+    table = classes(r"\p{L}")
 
     @F.arrow_udf("array<string>")
     def passing(texts: pa.Array) -> pa.Array:
-        rows, out, first = [t or "" for t in texts.to_pylist()], [], 0
-        while first < len(rows):
-            stop, size = first + 1, len(rows[first])
-            while stop < len(rows) and size + len(rows[stop]) <= LETTERS:
-                size, stop = size + len(rows[stop]), stop + 1
-            part = rows[first:stop]
-            found = [{t} if 0 < len(t) < k else set() for t in part]
-            if size >= k:
-                whole = "".join(part)
-                edges = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-                spot = _window_spots(_points(whole), k)
-                at = np.flatnonzero(bits[(spot >> np.uint64(6)).astype(np.intp)] >> (spot & np.uint64(63)) & np.uint64(1))
-                row = np.searchsorted(edges, at, "right") - 1
-                inside = at + k <= edges[row + 1]
-                for r, i in zip(row[inside].tolist(), at[inside].tolist()):
-                    found[r].add(whole[i : i + k])
-            out.extend(map(list, found))
-            first = stop
-        return pa.array(out, pa.list_(pa.string()))
-
-    return passing(letters)
+        rows, found = [], []
+        for first, part in slices(texts, LETTERS):
+            points, bounds = code_points(part)
+            kept = table[points] != 0
+            points, bounds = points[kept], before(kept)[bounds]
+            sizes = np.diff(bounds)
+            short = np.flatnonzero((sizes > 0) & (sizes < k))
+            short = short[_held(_whole_spots(points, bounds[short], sizes[short]), bits)]
+            at = np.flatnonzero(_held(_window_spots(points, k), bits)) if len(points) >= k else short[:0]
+            row = np.searchsorted(bounds, at, "right") - 1
+            inside = at + k <= bounds[row + 1]
+            row, at = np.concatenate([short, row[inside]]), np.concatenate([bounds[short], at[inside]])
+            if len(row):
+                letters = points.tobytes().decode("utf-32-le")
+                rows.append(row + first)
+                found.extend(letters[i : i + n] for i, n in zip(at.tolist(), np.minimum(sizes[row], k).tolist()))
+        row = np.concatenate([*rows, np.empty(0, np.int64)])
+        # Each row's shingles together and once.
+        pairs = sorted(set(zip(row.tolist(), found)))
+        ends = np.searchsorted(np.array([r for r, _ in pairs], np.int64), np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([s for _, s in pairs], pa.string()))
+
+    return passing(text)
 
 
 def shingle_overlaps(rows: DataFrame, index: DataFrame, k: int, id_col: str, text_col: str = "text") -> DataFrame:
     """Distinct ``(id, eval_source)`` pairs that share a shingle.  The rows' own short
     texts are whole shingles too, so one equi-join covers both cases.  Only shingles
     that pass a filter of the index become rows; the join decides."""
-    passed = filtered_shingles(letters_only(F.col(text_col)), k, shingle_filter(index, k))
-    exploded = rows.select(F.col(id_col), F.explode(passed).alias("shingle"))
+    exploded = rows.select(F.col(id_col), F.explode(filtered_shingles(F.col(text_col), k, shingle_filter(index, k))).alias("shingle"))
     return exploded.join(index, "shingle").select(id_col, "eval_source").distinct()
 
 
@@ -299,20 +323,61 @@ def accept(rows: DataFrame, exclusion: DataFrame, index: DataFrame, k: int, id_c
     ``hash``, then ``shingle``; duplicates are judged among the survivors alone."""
     # The rules are read once per row, before any join multiplies the plan.
     hashed = rows.withColumn("__hash", sentence_hash(F.col(text_col))).withColumn("__rule", reason)
-    marked = hashed.join(exclusion.select(F.col("hash").alias("__hash"), F.lit(True).alias("__leak")), "__hash", "left")
-    near = shingle_overlaps(rows, index, k, id_col, text_col).select(id_col).distinct().withColumn("__near", F.lit(True))
-    marked = marked.join(near, id_col, "left")
-    why = F.coalesce("__rule", F.when(F.col("__leak"), "hash"), F.when(F.col("__near"), "shingle"))
-    marked = marked.withColumn("drop_reason", why).drop("__leak", "__near", "__rule")
+    near = shingle_overlaps(rows, index, k, id_col, text_col).select(id_col).distinct()
+    marked = _judged(hashed, exclusion, near, id_col)
     alive = marked.where("drop_reason is null")
-    first = alive.groupBy("__hash").agg(F.min(F.struct(*order)).alias("__first"))
+    first = alive.groupBy("__hash").agg(F.min(_place(order)).alias("__first"))
     joined = marked.join(first, "__hash", "left")
-    own = F.struct(*(F.col(c) for c in order))
-    again = F.when(F.col("drop_reason").isNull() & (own != F.col("__first")), "duplicate")
+    again = F.when(F.col("drop_reason").isNull() & (_place(order) != F.col("__first")), "duplicate")
     return joined.withColumn("drop_reason", F.coalesce("drop_reason", again)).drop("__hash", "__first")
 
 
-def drop_counts(accepted: DataFrame, by: str) -> DataFrame:
+def accept_counts(rows: DataFrame, exclusion: DataFrame, index: DataFrame, k: int, id_col: str, reason: Column, order: Sequence[str], by: str, text_col: str = "text") -> DataFrame:
+    """``drop_counts`` of ``accept`` without its rows: one pass reads the texts, and what
+    it says of each row is written to ``spark.checkpoint.dir``.  A text's first survivor
+    alone is kept, so survivors are counted by aggregates and no text's rows meet.  Of
+    rows that ``order`` leaves tied, one is kept."""
+    rule = F.col("__rule")
+    read = rows.withColumn("__rule", reason).withColumn("__near", filtered_shingles(F.col(text_col), k, shingle_filter(index, k)))
+    read = read.withColumn("__hash", F.when(rule.isNull(), sentence_hash(F.col(text_col))))
+    read = read.select(*dict.fromkeys([by, id_col, *order]), "__rule", "__hash", "__near")
+    path = scratch_path(rows.sparkSession, "accept")
+    read.write.parquet(path)
+    read = rows.sparkSession.read.schema(read.schema).parquet(path)
+    near = read.where(F.size("__near") > 0).select(id_col, F.explode("__near").alias("shingle"))
+    near = near.join(index.select("shingle").distinct(), "shingle", "left_semi").select(id_col).distinct()
+    passed = _judged(read.where(rule.isNull()), exclusion, near, id_col)
+    alive = passed.where("drop_reason is null")
+    first = alive.groupBy("__hash").agg(F.min(F.struct(_place(order), by)).alias("__first"))
+
+    def counted(found: DataFrame, name: Column, n: Column = F.count("*")) -> DataFrame:
+        return found.groupBy(F.col(by), name.alias("drop_reason")).agg(n.alias("n"))
+
+    duplicate, less = F.lit("duplicate"), -F.count("*")
+    kept = first.select(F.col(f"__first.{by}").alias(by))
+    parts = [counted(read.where(rule.isNotNull()), rule), counted(passed.where("drop_reason is not null"), F.col("drop_reason"))]
+    parts += [counted(kept, F.lit(None).cast("string")), counted(alive, duplicate), counted(kept, duplicate, less)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    sums = every.groupBy(by, "drop_reason").agg(F.sum("n").alias("n")).where("n > 0")
+    return drop_counts(sums, by, F.sum("n"))
+
+
+def _judged(rows: DataFrame, exclusion: DataFrame, near: DataFrame, id_col: str) -> DataFrame:
+    """Rows with ``drop_reason`` from their ``__rule``, their ``__hash`` and ``near`` ids."""
+    marked = rows.join(exclusion.select(F.col("hash").alias("__hash"), F.lit(True).alias("__leak")), "__hash", "left")
+    marked = marked.join(near.withColumn("__found", F.lit(True)), id_col, "left")
+    why = F.coalesce("__rule", F.when(F.col("__leak"), "hash"), F.when(F.col("__found"), "shingle"))
+    return marked.withColumn("drop_reason", why).drop("__leak", "__found", "__rule")
+
+
+def _place(order: Sequence[str]) -> Column:
+    """A row's place in ``order``: a null comes after all values, as in SQL."""
+    return F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))))
+
+
+def drop_counts(accepted: DataFrame, by: str, n: Column | None = None) -> DataFrame:
     """Rows per group and reason, with totals over groups and reasons (a rollup)."""
     reason = F.coalesce("drop_reason", F.lit("kept"))
-    return accepted.withColumn("reason", reason).rollup(by, "reason").agg(F.count("*").alias("n"))
+    return accepted.withColumn("reason", reason).rollup(by, "reason").agg((F.count("*") if n is None else n).alias("n"))
